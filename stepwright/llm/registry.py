@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import warc
+from . import token_store, warc
 
 QUERIES: dict[str, Callable] = {
+    "op2_token_planes": token_store.query,
     "op10_warc_archive": warc.query,
 }
 
