@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import token_store, warc
+from . import mix, token_store, warc
 
 QUERIES: dict[str, Callable] = {
     "op2_token_planes": token_store.query,
+    "op6_mix_blocks": mix.query,
     "op10_warc_archive": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_mix_blocks": mix.ORACLE_SQL,
     "op10_warc_archive": warc.ORACLE_SQL,
 }
