@@ -1,10 +1,11 @@
-"""Token ids in bit planes: encode documents, write them in doc_id order, read them back.
+"""Token ids in bit or byte planes: encode documents, write them in doc_id order, read them back.
 
 File layout (little-endian):
 
-* ``TKPL``, then u32 version, block size and bits per id;
+* ``TKPL``, then u32 version, block size, bits per id, 1 for byte planes;
 * blocks of ``block_ids`` ids (the last may be shorter). A block is transposed
-  to one plane per bit; each plane is one zstandard frame;
+  to one plane per bit or per byte; each plane is one zstandard frame. Byte
+  planes are the default: on text they are smaller and cheaper than bit planes;
 * the document index (doc_ids, whether null, lengths) as one zstandard frame;
 * the chunk index (ids in the block, then the length of each plane's frame) as
   one zstandard frame, with the block offsets implied by the running sum;
@@ -33,10 +34,10 @@ from .common import attempt_name, fresh_dir, make_dir, materialize, open_store,
 MAGIC = b"TKPL"
 BLOCK_IDS = 16384
 END_ID = 0
-_HEAD = struct.Struct("<4sIII")
+_HEAD = struct.Struct("<4sIIII")
 _TAIL = struct.Struct("<QIQIQ4s")
-#: Bound on the remembered pieces of a worker; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Bound on the remembered pieces of a worker; beyond it they become the old half, and the old half goes.
+CACHE_PIECES = 500_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 _ENCODERS: dict = {}
@@ -66,7 +67,7 @@ class Encoder:
         top = max([*self.tok.get_vocab(with_added_tokens=True).values(), 1])
         self.bits = max(8, int(top).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.limit, self.first, self.rest = cache_pieces, {}, {}
+        self.limit, self.first, self.rest, self.old, self.tails = cache_pieces, {}, {}, {}, {}
         self.starts = np.zeros(top + 1, dtype=bool)
         self.starts[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith("\u0120")]] = True
 
@@ -74,18 +75,47 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, pieces) -> None:
-        """Encode unseen pieces in one text; a token that starts with a space starts the next piece."""
-        miss = [p for p in pieces if p and p not in self.rest]
-        if "" in pieces:
-            self.rest[""] = self._whole(" ")
-        if miss:
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(miss)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        """Put ids of unseen pieces in the memory.
+
+        Closing full stops and commas after a letter or digit are pre-tokens of
+        their own, so only what stands before them is encoded. All of it goes
+        in as one text, where a token that starts with a space starts the next
+        piece.
+        """
+        rest, old, parts, cores = self.rest, self.old, [], {}
+        for p in pieces:
+            if p in rest:
+                continue
+            if p in old:
+                rest[p] = old[p]
+                continue
+            core = p.rstrip(".,")
+            if core == p or not core or not core[-1].isalnum():
+                core = p
+            parts.append((p, core))
+            if core not in rest and core not in cores:
+                if core in old:
+                    rest[core] = old[core]
+                else:
+                    cores[core] = None
+        if cores.pop("", 0) is None:
+            rest[""] = self._whole(" ")
+        if cores:
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(cores)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             raw, width = ids.tobytes(), self.dtype.itemsize
             cuts = (np.flatnonzero(self.starts[ids]) * width).tolist()
-            if len(cuts) != len(miss):
+            if len(cuts) != len(cores):
                 raise ValueError("the tokenizer does not start a token at each space")
             cuts.append(len(raw))
-            self.rest.update(zip(miss, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+            rest.update(zip(cores, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        for p, core in parts:
+            if core is not p:
+                tail = p[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._whole(tail)
+                rest[p] = rest[core] + self.tails[tail]
+        if len(self.tails) > 10_000:
+            self.tails.clear()
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or _TWO_SPACES.search(text) or any(s in text for s in self.special):
@@ -101,7 +131,7 @@ class Encoder:
             return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
         except KeyError:
             if len(self.rest) >= self.limit:
-                self.rest.clear()
+                self.old, self.rest = self.rest, {}
             self._learn(set(pieces))
             return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
 
@@ -116,15 +146,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
-    """Bit planes of ids, the highest bit first."""
+def to_planes(ids: np.ndarray, bits: int, per_byte: bool = False) -> list[bytes]:
+    """Planes of ids, the highest bit (or byte) first."""
+    if per_byte:
+        return [x.tobytes() for x in ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - (bits + 7) // 8 :].T]
     wide = ids.astype(">u4").view(np.uint8).reshape(-1, 4)
     flat = np.unpackbits(wide, axis=1)[:, 32 - bits :]
     return [x.tobytes() for x in np.packbits(flat.T, axis=1)]
 
 
-def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    """The ids of ``n`` long planes."""
+def from_planes(planes: list[bytes], n: int, per_byte: bool = False) -> np.ndarray:
+    """The ``n`` ids of planes."""
+    if per_byte:
+        wide = np.zeros((n, 4), dtype=np.uint8)
+        wide[:, 4 - len(planes) :] = np.frombuffer(b"".join(planes), dtype=np.uint8).reshape(len(planes), n).T
+        return wide.view(">u4").reshape(-1).astype("<u4")
     bits = len(planes)
     rows = np.frombuffer(b"".join(planes), dtype=np.uint8).reshape(bits, -1)
     flat = np.zeros((n, 32), dtype=np.uint8)
@@ -135,16 +171,16 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class Writer:
     """Writes one file of documents to a binary stream."""
 
-    def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS, level: int = 3):
+    def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS, level: int = 3, per_byte: bool = False):
         import zstandard
 
-        self.out, self.bits, self.block_ids = out, bits, block_ids
+        self.out, self.bits, self.block_ids, self.per_byte = out, bits, block_ids, per_byte
         self.z = zstandard.ZstdCompressor(level=level)
         self.pending: list[np.ndarray] = []
         self.n_pending = self.n_ids = 0
         self.chunks: list[list[int]] = []
         self.docs: list[tuple] = []
-        self.at = out.write(_HEAD.pack(MAGIC, 1, block_ids, bits)) or _HEAD.size
+        self.at = out.write(_HEAD.pack(MAGIC, 1, block_ids, bits, per_byte)) or _HEAD.size
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, doc_id is None, len(ids)))
@@ -164,7 +200,7 @@ class Writer:
         return len(data)
 
     def _block(self, ids: np.ndarray) -> None:
-        self.chunks.append([len(ids), *(self._put(self.z.compress(p)) for p in to_planes(ids, self.bits))])
+        self.chunks.append([len(ids), *(self._put(self.z.compress(p)) for p in to_planes(ids, self.bits, self.per_byte))])
 
     def close(self) -> None:
         if self.n_pending:
@@ -187,7 +223,7 @@ class Reader:
 
         self.f, self.z = f, zstandard.ZstdDecompressor()
         f.seek(0)
-        magic, version, self.block_ids, self.bits = _HEAD.unpack(f.read(_HEAD.size))
+        magic, version, self.block_ids, self.bits, self.per_byte = _HEAD.unpack(f.read(_HEAD.size))
         f.seek(size - _TAIL.size)
         doc_at, n_doc, chunk_at, n_chunk, docs, tail = _TAIL.unpack(f.read(_TAIL.size))
         if magic != MAGIC or tail != MAGIC or version != 1:
@@ -198,7 +234,7 @@ class Reader:
         self.nulls = np.frombuffer(raw[8 * docs : 9 * docs], dtype=np.uint8)
         self.lengths = np.frombuffer(raw[9 * docs :], dtype="<i8")
         f.seek(chunk_at)
-        self.chunks = np.frombuffer(self.z.decompress(f.read(n_chunk)), dtype="<u4").reshape(-1, self.bits + 1)
+        self.chunks = np.frombuffer(self.z.decompress(f.read(n_chunk)), dtype="<u4").reshape(-1, 1 + ((self.bits + 7) // 8 if self.per_byte else self.bits))
         sizes = self.chunks[:, 1:].sum(axis=1, dtype=np.int64)
         self.offsets = _HEAD.size + np.concatenate([[0], np.cumsum(sizes)])
 
@@ -208,7 +244,7 @@ class Reader:
         for n in self.chunks[k, 1:].tolist():
             planes.append(self.z.decompress(raw[at : at + n]))
             at += n
-        return from_planes(planes, int(self.chunks[k, 0]))
+        return from_planes(planes, int(self.chunks[k, 0]), bool(self.per_byte))
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids [start, stop) of the file, from the blocks that hold them."""
@@ -238,7 +274,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, per_byte: bool = True) -> DataFrame:
     """Encode and write ``docs`` below ``folder``; one row per file in doc_id order: part, file, n_docs, n_tokens.
 
     Texts are dealt by range over doc_id, then encoded and written in the same
@@ -259,7 +295,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
                 if writer is None:
                     fs, base = open_store(folder)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    writer = Writer(out, e.bits, block_ids)
+                    writer = Writer(out, e.bits, block_ids, per_byte=per_byte)
                 ids = np.frombuffer(e.encode(s), dtype=e.dtype)
                 writer.add(doc_id, np.concatenate([ids, end]) if len(end) else ids)
         if writer is not None:
