@@ -38,6 +38,7 @@ WEIGHTS = (1, 2, 3)
 BUCKET_DOCS = 500
 SHARD_SLOTS = 4096
 SLOT_CHUNK = 4096
+TASK_SLOTS = 100_000
 ROUNDS = 12
 SEED = 20240607
 #: A prime modulus below 2^31: products of two residues fit a long in any SQL engine.
@@ -111,11 +112,12 @@ def permuted(index: Column, n: Column, keys: Column) -> Column:
     return F.aggregate(keys, index, step)
 
 
-def draw_slots(sources: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def draw_slots(sources: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_repeats: int = MAX_REPEATS, tasks: int | None = None) -> DataFrame:
     """One row per slot of the mix: rank, slot, shard, block.
 
     Slots are generated in chunks that are dealt out before they are expanded,
-    so a source with a third of all words is not expanded in one task.
+    so a source with a third of all words is not expanded in one task. Give
+    ``tasks``, as chunk rows are so small that they would be put in one.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     s = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long")).filter("blocks > 0")
@@ -125,7 +127,8 @@ def draw_slots(sources: DataFrame, seed: int = SEED, block_words: int = BLOCK_WO
     base, keys = round_keys(F.col("rank"), F.col("pass"), F.col("blocks"), seed)
     s = s.withColumn("base_key", base).withColumn("keys", keys).withColumn("here", F.least(F.col("blocks"), F.col("slots") - F.col("pass") * F.col("blocks")))
     chunk = F.explode(F.sequence(zero, F.floor((F.col("here") - 1) / SLOT_CHUNK).cast("long")))
-    chunks = s.select("rank", "blocks", "shards", "pass", "here", "base_key", "keys", chunk.alias("chunk")).repartition("rank", "pass", "chunk")
+    chunks = s.select("rank", "blocks", "shards", "pass", "here", "base_key", "keys", chunk.alias("chunk"))
+    chunks = chunks.repartition(tasks, "rank", "pass", "chunk") if tasks else chunks.repartition("rank", "pass", "chunk")
     first = F.col("chunk") * SLOT_CHUNK
     k = chunks.withColumn("index", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("here")) - one)))
     u = stir((F.col("index") % P * 16807 + F.col("base_key")) % P)
@@ -141,15 +144,17 @@ def mix_rows(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS)
     shares and that is taken.
     """
     sources = materialize(source_targets(rows), "mix-sources")
-    n_docs = sources.agg(F.coalesce(F.sum("source_rows"), F.lit(0)).alias("n")).first()["n"]
+    n_docs, n_words = sources.agg(F.coalesce(F.sum("source_rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    tasks = max(1, -(-n_words // (block_words * TASK_SLOTS)))
     d = rows.join(sources.select("source", "rank", "source_size", "target"), rows["source"].eqNullSafe(sources["source"]), "inner").drop(sources["source"])
-    taken = draw_slots(sources, seed, block_words).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    taken = draw_slots(sources, seed, block_words, tasks=tasks).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     placed = with_offsets(d.filter("size > 0").select("rid", "doc_id", "rank", "size"), max(1, -(-n_docs // BUCKET_DOCS)))
     last = F.floor((F.col("offset") + F.col("size") - 1) / block_words).cast("long")
     cut = placed.select("rid", "rank", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block_words).cast("long"), last)).alias("block"))
     begin = F.greatest(F.col("offset"), F.col("block") * block_words)
     end = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = cut.join(taken, ["rank", "block"]).select("rid", (begin - F.col("offset")).alias("start"), (end - begin).alias("words"), "times")
+    # Rows made by explode escape Catalyst's size estimate: without the hint it would broadcast the counts of all blocks.
+    pieces = cut.join(taken.hint("merge"), ["rank", "block"]).select("rid", (begin - F.col("offset")).alias("start"), (end - begin).alias("words"), "times")
     return d.select("rid", "doc_id", "size", "source_size", "target"), pieces
 
 
