@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, minhash_forest, mix, token_store, warc
+from . import decontaminate, minhash_forest, mix, substring, token_store, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_benchmark_prefix_join": decontaminate.query,
     "op2_token_planes": token_store.query,
+    "op3_substring_anchors": substring.query,
     "op5_minhash_forest": minhash_forest.query,
     "op6_mix_blocks": mix.query,
     "op10_warc_archive": warc.query,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_prefix_join": decontaminate.ORACLE_SQL,
+    "op3_substring_anchors": substring.ORACLE_SQL,
     "op5_minhash_forest": minhash_forest.ORACLE_SQL,
     "op6_mix_blocks": mix.ORACLE_SQL,
     "op10_warc_archive": warc.ORACLE_SQL,
