@@ -49,15 +49,21 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/stepwright/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def few_tasks(spark: SparkSession, rows: int, per_task: int = 500_000) -> int:
+    """How many tasks should hold ``rows`` narrow rows: two a core at least, more as the rows grow."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
+def materialize(df: DataFrame, tag: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: an executor that is lost later costs a reread of the
-    table, not another run of what made it.
+    table, not another run of what made it. ``tasks`` bounds the number of
+    files where the rows are known to be few.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

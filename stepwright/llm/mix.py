@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_SQL, materialize, text_or_empty
+from .common import WORD_SQL, few_tasks, materialize, text_or_empty
 
 BLOCK_WORDS = 64
 MAX_REPEATS = 3
@@ -143,7 +143,7 @@ def mix_rows(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS)
     word of the document), words, times; one row per block that a document
     shares and that is taken.
     """
-    sources = materialize(source_targets(rows), "mix-sources")
+    sources = materialize(source_targets(rows), "mix-sources", 1)
     n_docs, n_words = sources.agg(F.coalesce(F.sum("source_rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     tasks = max(1, -(-n_words // (block_words * TASK_SLOTS)))
     d = rows.join(sources.select("source", "rank", "source_size", "target"), rows["source"].eqNullSafe(sources["source"]), "inner").drop(sources["source"])
@@ -162,7 +162,8 @@ def taken_words(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORD
     """rid, doc_id, size, source_size, target, taken for a stored table of (rid, doc_id, source, size)."""
     documents, pieces = mix_rows(rows, seed, block_words)
     sums = pieces.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return documents.join(sums, "rid", "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
+    out = documents.join(sums, "rid", "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
+    return out.coalesce(few_tasks(rows.sparkSession, rows.count()))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
