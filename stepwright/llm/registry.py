@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, minhash_forest, mix, substring, token_store, warc
+from . import decontaminate, minhash_forest, mix, substring, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_benchmark_prefix_join": decontaminate.query,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_substring_anchors": substring.query,
     "op5_minhash_forest": minhash_forest.query,
     "op6_mix_blocks": mix.query,
+    "op7_toxicity_channel": toxicity.query,
     "op10_warc_archive": warc.query,
 }
 
