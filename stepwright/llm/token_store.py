@@ -37,17 +37,21 @@ END_ID = 0
 _HEAD = struct.Struct("<4sIIII")
 _TAIL = struct.Struct("<QIQIQ4s")
 #: Bound on the remembered pieces of a worker; beyond it they become the old half, and the old half goes.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: Stand in front of pieces that no space precedes; texts that hold them are encoded in one go.
+_COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
+_UNSAFE = re.compile(r"\s\s|[\x01-\x03]")
+_ODD_STOP = re.compile(r"(?<![^\W_])[.,]|[.,](?=\S)")
 _ENCODERS: dict = {}
 
 
 class Encoder:
     """The ids of texts under one tokenizer file, as little-endian bytes of ``width`` bytes an id.
 
-    In a text without two adjacent white-space characters each space starts a
-    new pre-token of a byte-level tokenizer, so pieces between spaces are
+    In a text without two adjacent white-space characters each space, each line
+    end and, after a letter or digit, each full stop or comma that ends a word
+    starts a new pre-token of a byte-level tokenizer. Pieces between them are
     encoded apart and remembered. Any other text, and one that holds a special
     token's string, is encoded in one go.
     """
@@ -67,59 +71,55 @@ class Encoder:
         top = max([*self.tok.get_vocab(with_added_tokens=True).values(), 1])
         self.bits = max(8, int(top).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.limit, self.first, self.rest, self.old, self.tails = cache_pieces, {}, {}, {}, {}
-        self.starts = np.zeros(top + 1, dtype=bool)
-        self.starts[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith("\u0120")]] = True
+        self.starts = {m: np.zeros(top + 1, dtype=bool) for m in " \n"}
+        for t, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.starts[" "][i], self.starts["\n"][i] = t[:1] == "\u0120", t[:1] == "\u010a"
+        self.limit, self.first, self.old = cache_pieces, {}, {}
+        self.rest = self._fixed()
+
+    def _fixed(self) -> dict:
+        return {_COMMA: self._whole(","), _STOP: self._whole(".")}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces) -> None:
+    def _learn(self, pieces: set) -> None:
         """Put ids of unseen pieces in the memory.
 
-        Closing full stops and commas after a letter or digit are pre-tokens of
-        their own, so only what stands before them is encoded. All of it goes
-        in as one text, where a token that starts with a space starts the next
-        piece.
+        Pieces that follow a space go in as one text, where a token that starts
+        with a space starts the next piece; those that follow a line end too,
+        told apart by the line end's token.
         """
-        rest, old, parts, cores = self.rest, self.old, [], {}
-        for p in pieces:
-            if p in rest:
-                continue
-            if p in old:
-                rest[p] = old[p]
-                continue
-            core = p.rstrip(".,")
-            if core == p or not core or not core[-1].isalnum():
-                core = p
-            parts.append((p, core))
-            if core not in rest and core not in cores:
-                if core in old:
-                    rest[core] = old[core]
-                else:
-                    cores[core] = None
-        if cores.pop("", 0) is None:
-            rest[""] = self._whole(" ")
-        if cores:
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(cores)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            cuts = (np.flatnonzero(self.starts[ids]) * width).tolist()
-            if len(cuts) != len(cores):
-                raise ValueError("the tokenizer does not start a token at each space")
+        miss = pieces.difference(self.rest)
+        if self.old:
+            new = miss.difference(self.old)
+            self.rest.update((p, self.old[p]) for p in miss - new)
+            miss = new
+        if "" in miss:
+            miss.discard("")
+            self.rest[""] = self._whole(" ")
+        lines = [p for p in miss if p[0] == _LINE]
+        self._learn_joined(list(miss.difference(lines)), " ", 0)
+        self._learn_joined(lines, "\n", 1)
+
+    def _learn_joined(self, pieces: list, mark: str, skip: int) -> None:
+        if not pieces:
+            return
+        text = mark + mark.join([p[skip:] for p in pieces] if skip else pieces)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        cuts = (np.flatnonzero(self.starts[mark][ids]) * width).tolist()
+        if len(cuts) == len(pieces):
             cuts.append(len(raw))
-            rest.update(zip(cores, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        for p, core in parts:
-            if core is not p:
-                tail = p[len(core) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole(tail)
-                rest[p] = rest[core] + self.tails[tail]
-        if len(self.tails) > 10_000:
-            self.tails.clear()
+            self.rest.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        else:
+            self.rest.update((p, self._whole(mark + p[skip:])) for p in pieces)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _TWO_SPACES.search(text) or any(s in text for s in self.special):
+        if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
+        if not _ODD_STOP.search(text):
+            text = text.replace(",", " " + _COMMA).replace(".", " " + _STOP).replace("\n", " " + _LINE)
         pieces = text.split(" ")
         head = pieces[0]
         if head not in self.first:
@@ -131,7 +131,7 @@ class Encoder:
             return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
         except KeyError:
             if len(self.rest) >= self.limit:
-                self.old, self.rest = self.rest, {}
+                self.old, self.rest = self.rest, self._fixed()
             self._learn(set(pieces))
             return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
 
