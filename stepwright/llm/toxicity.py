@@ -35,9 +35,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
-MAX_LABELLED = 40_000
+MAX_LABELLED = 20_000
 MAX_INDICATORS = 5_000
 MIN_RATIO = 12.0
 CACHE_TOKENS = 400_000
@@ -176,13 +176,16 @@ def is_held_out(doc_id) -> bool:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, max_labelled: int) -> DataFrame:
-    """(text, label, fold) of the labelled rows that may be learned from, about ``max_labelled`` at most."""
+    """(text, label, fold) of the labelled rows that may be learned from, about ``max_labelled`` at most.
+
+    That bound on the ids lets them go to all tasks, so no text is shuffled.
+    """
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     y = y.groupBy("id").agg(F.max("label").alias("label")).withColumn("fold", F.crc32(F.col("id").cast("string")) % HELD_OUT).filter("fold != 0")
     n = y.count()
     if n > max_labelled:
         y = y.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty(text).alias("text")).join(y, "id").select("text", "label", "fold")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(y), "id").select("text", "label", "fold")
 
 
 class Scorer:
@@ -304,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     import pyarrow as pa
 
     model = language_model(count_trigrams(docs, text))
-    rows = _labelled(docs, labels, label, text, max_labelled)
+    rows = materialize(_labelled(docs, labels, label, text, max_labelled), "labelled")
     weights, nt, nc = choose_indicators(rows.filter("fold != 4"), model)
     scorer = Scorer(model, weights)
     if not nt or not nc:
