@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, minhash_forest, mix, substring, tiff, token_store, toxicity, warc
+from . import decontaminate, minhash_forest, mix, substring, tiff, token_store, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable] = {
     "op1_benchmark_prefix_join": decontaminate.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable] = {
     "op6_mix_blocks": mix.query,
     "op7_toxicity_channel": toxicity.query,
     "op8_tiff_pages": tiff.query,
+    "op9_wrapper_text": wrapper.query,
     "op10_warc_archive": warc.query,
 }
 
