@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, minhash_forest, mix, substring, tiff, token_store, toxicity, warc, wrapper
+from . import cotrain, decontaminate, minhash_forest, mix, substring, tiff, token_store, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable] = {
     "op1_benchmark_prefix_join": decontaminate.query,
     "op2_token_planes": token_store.query,
     "op3_substring_anchors": substring.query,
+    "op4_quality_cotraining": cotrain.query,
     "op5_minhash_forest": minhash_forest.query,
     "op6_mix_blocks": mix.query,
     "op7_toxicity_channel": toxicity.query,
