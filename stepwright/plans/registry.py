@@ -4,5 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analysis, runs
+
+QUERIES: dict[str, Callable] = {**analysis.QUERIES, **runs.QUERIES}
+ORACLE_SQL: dict[str, str] = {**analysis.ORACLE_SQL, **runs.ORACLE_SQL}
