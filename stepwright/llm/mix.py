@@ -175,20 +175,20 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, block
     space. ``n_chars`` is counted anew where it is a column.
     """
     names = docs.columns
-    stored = materialize(sized(docs, text).withColumn("rid", F.monotonically_increasing_id()), "mix-input")
-    if "source" not in names:
-        raise ValueError("documents need a source column")
-    _, pieces = mix_rows(stored.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"), seed, block_words)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"))
+    stored = materialize(sized(base).withColumn("rid", F.monotonically_increasing_id()), "mix-input")
+    _, pieces = mix_rows(stored.select("rid", "doc_id", "source", "size"), seed, block_words)
     plan = pieces.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "words", "times"))).alias("plan"))
-    j = stored.join(plan, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("plan.times"))))
+    j = stored.select("rid", "row", "text", "size").join(plan, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("plan.times"))))
     mine = F.filter("plan", lambda x: x["times"] >= F.col("copy"))
     got = F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    words = F.regexp_extract_all(text_or_empty(text), F.lit(WORD_SQL), F.lit(0))
+    words = F.regexp_extract_all(text_or_empty(), F.lit(WORD_SQL), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(F.col("all_words"), (x["start"] + 1).cast("int"), x["words"].cast("int")))), " ")
-    j = j.withColumn("all_words", F.when(got < F.col("size"), words)).withColumn(text, F.when(got < F.col("size"), cut).otherwise(F.col(text)))
+    j = j.withColumn("all_words", F.when(got < F.col("size"), words)).withColumn("text", F.when(got < F.col("size"), cut).otherwise(F.col("text")))
+    new = {text: F.col("text")}
     if "n_chars" in names:
-        j = j.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return j.select(*names)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return j.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ start are hashed in full (128 bits), and those that occur more than once
 are the repeated windows. Step 3 removes the words they cover. No step pairs
 occurrences, so a passage of a million copies costs a million rows.
 
-Within a document, hashes repeat without limit in step 1: a task keeps one row
-for each document and anchor. Anchors and windows are counted over all tasks by
-grouped sums with partial aggregation.
+Documents are stored in chunks in the shared folder. A chunk asks about each
+distinct hash that it has once, so a hot passage costs a row per chunk, and is
+answered by one bit; the chunk's texts are read again, never shuffled.
 
 Defined cases: null text has no words; texts shorter than a window keep all.
 Repeated rows are documents of their own, so each repeats the other. doc_id may
@@ -266,8 +266,10 @@ def _unpack(bits: list[bytes], values: np.ndarray, buckets: int) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW, chunk_bytes: int = 24 << 20) -> DataFrame:
     """The documents with ``text`` cut to its kept words where any goes, and n_words, n_removed.
 
-    A text that loses no word stays as it is.
+    A text that loses no word stays as it is. Columns n_words and n_removed of
+    the input give way to the new ones.
     """
+    docs = docs.drop("n_words", "n_removed")
     return _run(docs, text, window, chunk_bytes, digest=False)
 
 

@@ -42,7 +42,7 @@ CACHE_PIECES = 700_000
 #: Stand in front of pieces that no space precedes; texts that hold them are encoded in one go.
 _COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
 _UNSAFE = re.compile(r"\s\s|[\x01-\x03]")
-_ODD_STOP = re.compile(r"(?<![^\W_])[.,]|[.,](?=\S)")
+_ODD_STOP = re.compile(r"(?<![^\W_])[.,]|[.,](?=[^ \n])")
 _ENCODERS: dict = {}
 
 
