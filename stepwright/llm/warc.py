@@ -32,7 +32,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, fresh_dir, make_dir, materialize, open_store
+from .common import attempt_name, few_tasks, fresh_dir, make_dir, materialize, open_store
 
 MIN_REVISIT = 100
 BLOCK_LINES = 2000
@@ -274,7 +274,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
             f.close()
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    ranged = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = few_tasks(captures.sparkSession, size, 64 << 20)  # by archive bytes: captures are so small that they would be put in one task
+    ranged = captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranged.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -325,7 +327,7 @@ def archive(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISI
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: archive every page, then read every record back through the index."""
     _, files, folder = archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    found = read_records(scan_index(files, folder), folder)
+    found = read_records(materialize(scan_index(files, folder), "index-scan"), folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
