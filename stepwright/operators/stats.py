@@ -17,7 +17,7 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p, zz = k / n, z * z
     centre = (p + zz / (2 * n)) / (1 + zz / n)
     half = F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) * z / (1 + zz / n)
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), centre + half))
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:

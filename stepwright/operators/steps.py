@@ -20,7 +20,7 @@ SEMANTIC, DELTA_SCALE, PROGRESSIVE, REGRESSIVE, CRITIC_BOUNDARY = 0.85, 0.10, 0.
 CLASS_VALUE = {"progressive": 1.0, "neutral_useful": 0.5, "neutral_waste": 0.0, "redundant": -0.5, "regressive": -1.0}
 CRITIC_SIGNAL = CLASS_VALUE | {"neutral_useful": 0.25}
 BUDGETS = (512, 1024, 2048, 4096, 8192)
-VERIFY_WORDS = r"verif|check|confirm|substitut|test|validate|double-check"
+VERIFY_WORDS = r"verify|check|substitut|simplif|factor|assert|residual"
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:

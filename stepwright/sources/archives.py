@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 REQUIRED_FILES = ("generation_manifest.json", "generation_health.csv", "problems.jsonl", "trajectories.jsonl")
 #: Forms of credentials that must not be published.
-SECRET_PATTERNS = (r"sk-[A-Za-z0-9_-]{20,}", r"hf_[A-Za-z0-9]{20,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{30,}", r"nvapi-[A-Za-z0-9_-]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+SECRET_PATTERNS = (r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", r"hf_[A-Za-z0-9]{20,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{30,}", r"nvapi-[A-Za-z0-9_-]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: bool = True) -> DataFrame:
