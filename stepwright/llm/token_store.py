@@ -42,7 +42,6 @@ CACHE_PIECES = 700_000
 #: Stand in front of pieces that no space precedes; texts that hold them are encoded in one go.
 _COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
 _UNSAFE = re.compile(r"\s\s|[\x01-\x03]")
-_ODD_STOP = re.compile(r"(?<![^\W_])[.,]|[.,](?=[^ \n])")
 _ENCODERS: dict = {}
 
 
@@ -90,7 +89,7 @@ class Encoder:
         with a space starts the next piece; those that follow a line end too,
         told apart by the line end's token.
         """
-        miss = pieces.difference(self.rest)
+        miss = pieces
         if self.old:
             new = miss.difference(self.old)
             self.rest.update((p, self.old[p]) for p in miss - new)
@@ -116,9 +115,9 @@ class Encoder:
             self.rest.update((p, self._whole(mark + p[skip:])) for p in pieces)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
+        if not self.by_piece or not _plain_space(text) or any(s in text for s in self.special):
             return self._whole(text)
-        if not _ODD_STOP.search(text):
+        if _plain_stops(text):
             text = text.replace(",", " " + _COMMA).replace(".", " " + _STOP).replace("\n", " " + _LINE)
         pieces = text.split(" ")
         head = pieces[0]
@@ -127,13 +126,31 @@ class Encoder:
                 self.first.clear()
             self.first[head] = self._whole(head)
         del pieces[0]
-        try:
-            return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
-        except KeyError:
+        miss = set(pieces).difference(self.rest)
+        if miss:
             if len(self.rest) >= self.limit:
                 self.old, self.rest = self.rest, self._fixed()
-            self._learn(set(pieces))
-            return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
+                miss = set(pieces).difference(self.rest)
+            self._learn(miss)
+        return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
+
+
+def _plain_space(text: str) -> bool:
+    """Is all white space single, and are the marks of this module absent?"""
+    single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and not (_COMMA in text or _STOP in text or _LINE in text)
+    return single or not _UNSAFE.search(text)
+
+
+def _plain_stops(text: str) -> bool:
+    """Does each full stop and comma follow a letter or digit and precede a space, a line end or the end?"""
+    for mark in ".,":
+        parts = text.split(mark)
+        if len(parts) > 1:
+            if not all([p[-1:].isalnum() for p in parts[:-1]]):
+                return False
+            if not {p[:1] for p in parts[1:]} <= {" ", "\n", ""}:
+                return False
+    return True
 
 
 def encoder(path: str) -> Encoder:
