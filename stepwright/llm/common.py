@@ -93,6 +93,12 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def values_of(column, step: int = 500):
+    """The values of an Arrow array, some at a time: a batch of long texts is never held twice."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def attempt_name(prefix: str, suffix: str) -> str:
     """A file name that belongs to this attempt of this task alone.
 

@@ -202,16 +202,16 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
 
 
 def score(table: DataFrame, model, prior: float) -> DataFrame:
-    """doc_id, held_out, content_score, meta_score, score, predicted of every stored document."""
+    """doc_id, held_out, content_score, meta_score, score, predicted and kept (predicted good) of every stored document."""
     held = (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0).alias("held_out")
     if model is None:
         p = F.lit(prior)
-        return table.select("doc_id", held, p.alias("content_score"), p.alias("meta_score"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
+        return table.select("doc_id", held, p.alias("content_score"), p.alias("meta_score"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), (p >= 0.5).alias("kept"))
     wc, wm, (ac, bc), (am, bm) = model
     z = _scored(table, wc, wm, False).withColumn("c", F.col("zc") * ac + bc).withColumn("m", F.col("zm") * am + bm)
     p = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
     z = z.withColumn("score", p(F.col("c") + F.col("m") - prior))
-    return z.select("doc_id", held, p(F.col("c")).alias("content_score"), p(F.col("m")).alias("meta_score"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return z.select("doc_id", held, p(F.col("c")).alias("content_score"), p(F.col("m")).alias("meta_score"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

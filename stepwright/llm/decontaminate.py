@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, values_of
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -102,7 +102,7 @@ def word_frequency(docs: DataFrame, vocabulary: set[bytes], text: str = "text")
     def count(batches):
         c, have = Counter(), known.value
         for b in batches:
-            for s in b.column(0).to_pylist():
+            for s in values_of(b.column(0)):
                 c.update(have.intersection(words_of(s)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.binary()), "n": pa.array(list(c.values()), pa.int64())})
 
@@ -134,7 +134,7 @@ def _match_block(docs: DataFrame, items, text: str, window: int, keep: str | Non
         found = index.value
         for b in batches:
             n, spans, owners, rows = [], [], [], []
-            for i, s in enumerate(b.column(0).to_pylist()):
+            for i, s in enumerate(values_of(b.column(0))):
                 w = words_of(s)
                 x, y = found.match(w)
                 if x or not only_hits:
@@ -202,7 +202,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
         def keep(batches, index=index):
             found = index.value
             for b in batches:
-                clean = [not found.match(words_of(s))[0] for s in b.column(at).to_pylist()]
+                clean = [not found.match(words_of(s))[0] for s in values_of(b.column(at))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Bound on the remembered word hashes of a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _HASHES: dict[bytes, int] = {}
 _A = np.uint64(0x9E3779B97F4A7C15)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, values_of
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Sizes of the TIFF field types, and the tags in use.
@@ -280,7 +280,7 @@ def explode_pages(df: DataFrame, media: str = "media", carry: tuple[str, ...] =
                 cols = [b.column(i).take(pa.array(of, pa.int64())) for i in range(1, b.num_columns)]
                 return pa.RecordBatch.from_arrays([*cols, *(pa.array(out[k], t) for k, t in facts)], names=[*carry, *(k for k, _ in facts)])
 
-            for i, data in enumerate(b.column(0).to_pylist()):
+            for i, data in enumerate(values_of(b.column(0))):
                 for row in rows_of(data) if data else ():
                     for k in out:
                         out[k].append(row.get(k))
@@ -337,7 +337,7 @@ def fold_payloads(pages: DataFrame) -> DataFrame:
             out.append((doc_id, n_bytes, size, sha.hexdigest(), zlib.crc32(tail[-64:]), media_bytes, digest, feature))
 
         for b in batches:
-            for doc_id, n_bytes, media_bytes, page, digest, pixels, error in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, n_bytes, media_bytes, page, digest, pixels, error in zip(*map(values_of, b.columns)):
                 if error is not None:
                     raise ValueError(f"the stored file of {doc_id} cannot be read: {error}")
                 if page == 0:

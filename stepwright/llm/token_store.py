@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, fresh_dir, make_dir, materialize, open_store, text_or_empty
+from .common import attempt_name, fresh_dir, make_dir, materialize, open_store, text_or_empty, values_of
 
 MAGIC = b"TKPL"
 BLOCK_IDS = 16384
@@ -37,7 +37,7 @@ END_ID = 0
 _HEAD = struct.Struct("<4sIIII")
 _TAIL = struct.Struct("<QIQIQ4s")
 #: Bound on the remembered pieces of a worker; beyond it they become the old half, and the old half goes.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 450_000
 
 #: Stand in front of pieces that no space precedes; texts that hold them are encoded in one go.
 _COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
@@ -308,7 +308,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
         e, writer, out, name = encoder(path), None, None, attempt_name("tokens", ".tkpl")
         end = [] if end_id is None else np.array([end_id], dtype=e.dtype)
         for b in batches:
-            for doc_id, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, s in zip(values_of(b.column(0)), values_of(b.column(1))):
                 if writer is None:
                     fs, base = open_store(folder)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)

@@ -35,12 +35,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, values_of
 
 MAX_LABELLED = 20_000
 MAX_INDICATORS = 5_000
 MIN_RATIO = 12.0
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 200_000
 HELD_OUT = 5
 
 SYMBOLS, OTHER, EDGE = 28, 26, 27
@@ -81,7 +81,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in values_of(b.column(0)):
                 if t:
                     s = np.concatenate([[EDGE], symbols_of(t), [EDGE]])
                     total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -272,11 +272,11 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
             return out
 
         for b in batches:
-            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t, label in zip(values_of(b.column(0)), values_of(b.column(1))):
                 n[label == 1 and 1 or 0] += 1
                 found = {x for w in words_to_score(t, read) for x in indicators_of(w)}
                 (toxic if label == 1 else clean).update(found)
-                if len(toxic) + len(clean) > 500_000:
+                if len(toxic) + len(clean) > 250_000:
                     yield flush()
         toxic[""], clean[""] = n[1], n[0]
         yield flush()
@@ -317,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     def measure(batches):
         for b in batches:
-            x = [shared.value.strongest(t) for t in b.column(0).to_pylist()]
+            x = [shared.value.strongest(t) for t in values_of(b.column(0))]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": b.column(1).cast(pa.int32())})
 
     sample = rows.filter("fold = 4").select("text", "label").mapInArrow(measure, "x array<double>, y int").collect()  # bounded by max_labelled
@@ -337,7 +337,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = [shared.value.score(t) for t in b.column(1).to_pylist()]
+            s = [shared.value.score(t) for t in values_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([is_held_out(i) for i in b.column(0).to_pylist()]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -351,7 +351,7 @@ def remove_toxic(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFra
 
     def keep(batches):
         for b in batches:
-            yield b.filter(pa.array([shared.value.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([shared.value.score(t) < 0.5 for t in values_of(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -32,7 +32,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, few_tasks, fresh_dir, make_dir, materialize, open_store
+from .common import attempt_name, few_tasks, fresh_dir, make_dir, materialize, open_store, values_of
 
 MIN_REVISIT = 100
 BLOCK_LINES = 2000
@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
         name, out, at = attempt_name("pages", ".warc.gz"), None, 0
         for b in batches:
             rows = {k: [] for k in ("url_key", "page_id", "url", "record_type", "digest", "file", "offset", "length")}
-            for page_id, url, payload, digest, first, first_url in zip(*(c.to_pylist() for c in b.columns)):
+            for page_id, url, payload, digest, first, first_url in zip(*map(values_of, b.columns)):
                 member = encode_record(page_id, url, payload, digest, first, first_url, first is not None)
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_tasks, materialize
+from .common import few_tasks, materialize, values_of
 
 MIN_SUPPORT = 5
 TEMPLATE_SHARE = 0.9
@@ -346,7 +346,7 @@ def induce(pages: DataFrame, refs: DataFrame, size: int) -> DataFrame:
         total: dict = {}
         cache: dict = {}
         for b in batches:
-            for host, html, ref in zip(*(c.to_pylist() for c in b.columns)):
+            for host, html, ref in zip(*map(values_of, b.columns)):
                 if html and ref:
                     v = votes(parse(html), _memo(cache, host, ref))
                     total[host] = total[host] + v if host in total else v
@@ -372,7 +372,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             page_ids, urls, hosts, htmls, refs, wrappers = b.columns
             texts = []
-            for host, html, ref, w in zip(hosts.to_pylist(), htmls.to_pylist(), refs.to_pylist(), wrappers):
+            for host, html, ref, w in zip(values_of(hosts), values_of(htmls), values_of(refs), wrappers):
                 if not html:
                     texts.append("")
                     continue
