@@ -43,7 +43,7 @@ META = LAYOUT + HASHED
 ROUNDS = 3
 GROW = 400
 CONFIDENT = 0.95
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 HELD_OUT = 5
 
 
