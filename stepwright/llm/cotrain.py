@@ -27,14 +27,13 @@ label. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .shingles import fold_words, plain_words, word_hashes
+from .shingles import CACHE_WORDS, fold_words, word_hashes
 
 CONTENT = 256
 LAYOUT = 14
@@ -48,30 +47,41 @@ HELD_OUT = 5
 
 
 def content_view(text: str) -> np.ndarray:
-    """Unit-length counts of hashed words and word shapes."""
+    """Square roots of the shares of hashed words, and of hashed word shapes."""
     out = np.zeros(CONTENT, dtype=np.float32)
-    words = plain_words(text)
+    words = fold_words(text)
     if words:
         half = CONTENT // 2
-        out[:half] = np.bincount((word_hashes(fold_words(text)) % np.uint64(half)).astype(np.int64), minlength=half)
-        for shape, n in Counter(map(_shape, words)).items():
-            out[half + zlib.crc32(shape) % half] += n
-        for part in (out[:half], out[half:]):
-            part[:] = np.sqrt(part / len(words))
+        out[:half] = np.bincount((word_hashes(words) % np.uint64(half)).astype(np.int64), minlength=half)
+        out[half:] = np.bincount(_shape_buckets(shapes(text.encode("utf-8", "surrogatepass")), half), minlength=half)
+        out = np.sqrt(out / len(words))
     return out
 
 
 _KINDS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 48 if 48 <= c <= 57 else c for c in range(256))
-
-
-def _shape(word: bytes) -> bytes:
-    """Runs of letters, capitals and digits as one sign each; other signs as they are, at most twice in a row."""
-    out = bytearray()
-    for c in word[:24].translate(_KINDS):
-        if out[-1:] == bytes((c,)) and (c in b"Aa0" or out[-2:-1] == out[-1:]):
-            continue
-        out.append(c)
-    return bytes(out[:8])
+_SHAPES: dict[bytes, int] = {}
+
+
+def shapes(raw: bytes) -> list[bytes]:
+    """The shape of each word: a run of letters, capitals or digits as one sign, other signs as they are, at most twice in a row."""
+    a = np.frombuffer(raw.translate(_KINDS), dtype=np.uint8)
+    same = a[1:] == a[:-1]
+    drop = np.zeros(len(a), dtype=bool)
+    drop[1:] = same & np.isin(a[1:], (65, 97, 48))
+    drop[2:] |= same[1:] & same[:-1]
+    return a[~drop].tobytes().split()
+
+
+def _shape_buckets(found: list[bytes], buckets: int) -> np.ndarray:
+    """The hash of the first eight signs of each shape; shapes seen before are remembered."""
+    known = _SHAPES
+    try:
+        return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
+    except KeyError:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        known.update((w, zlib.crc32(w[:8]) % buckets) for w in set(found) if w not in known)
+        return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
 
 
 def layout_view(text: str, lang, source) -> np.ndarray:

@@ -236,6 +236,11 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_word_shapes():
+    assert cotrain.shapes("Hello world!! 123abc%%%% é\n\n".encode()) == [b"Aa", b"a!!", b"0a%%", b"a"]
+    assert cotrain.shapes(b"") == [] and cotrain.content_view("").sum() == 0
+
+
 @needs_tables
 def test_quality_on_held_out_labels(spark):
     rows = cotrain.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("held_out").collect()
