@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.equivalence import equivalent
 from ..functions.semantics import canonical_digest
-from ..operators import merge, replay, summary
+from ..operators import merge, queues, replay, summary
 from ..operators import sequences as seq
 from ..operators import steps as st
 from ..sources import archives
@@ -321,3 +321,50 @@ def trajectory_audit(spark, d):
     a = attempts(spark, d)
     reasons = tx.validation_reasons(F.col("valid"), F.lit(False), F.col("stop_reason"), F.lit("x"), F.array(F.struct(F.lit("answer").alias("action_type"))))
     return a.groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(reasons) == 0).alias("publishable"))
+
+
+@query("unresolved_failures", "SELECT doc_id, stop_reason, CASE WHEN stop_reason = 'format_error_limit' THEN 'protocol' ELSE 'infrastructure' END AS failure FROM (SELECT doc_id, CASE n_chars % 10 WHEN 0 THEN 'api_error' WHEN 1 THEN 'format_error_limit' WHEN 2 THEN 'trajectory_timeout' END AS stop_reason FROM labels JOIN documents USING (doc_id)) WHERE stop_reason IS NOT NULL")
+def unresolved_failures(spark, d):
+    return queues.unresolved(attempts(spark, d).withColumnRenamed("problem_id", "doc_id"), ["doc_id"])
+
+
+@query("source_summary", "SELECT source AS agent, count(*) AS records, count(DISTINCT doc_id) AS problems, count(*) FILTER (n_chars % 10 > 3) AS answers, count(*) FILTER (n_chars % 10 IN (0, 2)) AS infrastructure, count(*) FILTER (n_chars % 10 = 1) AS protocol FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def source_summary(spark, d):
+    return queues.source_summary(attempts(spark, d), "agent", "problem_id")
+
+
+@query("critic_queue", f"""WITH {STEPS_SQL} SELECT conv_id, turn, 'critic|' || conv_id || '|' || turn AS task_id, sha256(conv_id || ':' || turn) AS prompt_hash FROM s2 WHERE conv_id % 3 > 0 AND turn % 4 > 0 AND ((abs(round(base, 9)) < 0.08 AND action_type <> 'answer') OR turn % 5 = 0)""")
+def critic_queue(spark, d):
+    return queues.critic_queue(queue_steps(spark, d), ["conv_id", "turn"], F.concat_ws(":", "conv_id", "turn"))
+
+
+def queue_steps(spark, d):
+    s = steps(spark, d)
+    base = F.round(st.base_score(st.prm_signal(F.col("prm_delta")), F.col("tool_gain"), F.col("harmful_repeat"), F.col("error_flag")), 9)
+    return s.withColumn("base", base).withColumn("valid", F.col("conv_id") % 3 > 0).withColumn("critic_used", F.col("turn") % 4 == 0).withColumn("critic_error", F.when(F.col("turn") % 5 == 0, "failed"))
+
+
+@query("pending_evaluations", f"""WITH {STEPS_SQL}, q AS (SELECT conv_id, turn, 'critic|' || conv_id || '|' || turn AS task_id, sha256(conv_id || ':' || turn) AS prompt_hash FROM s2 WHERE conv_id % 3 > 0 AND turn % 4 > 0 AND ((abs(round(base, 9)) < 0.08 AND action_type <> 'answer') OR turn % 5 = 0))
+ SELECT * FROM q WHERE NOT (conv_id % 2 = 0 AND turn % 2 = 1)""")
+def pending_evaluations(spark, d):
+    q = critic_queue(spark, d)
+    done = q.filter((F.col("conv_id") % 2 == 0) & (F.col("turn") % 2 == 1)).withColumn("status", F.lit("success")).withColumn("judge_model", F.lit("m"))
+    stale = q.withColumn("prompt_hash", F.lit("other")).withColumn("status", F.lit("success")).withColumn("judge_model", F.lit("m"))
+    return queues.uncached(q, done.unionByName(stale), "m")
+
+
+@query("token_composition", f"""WITH {STEPS_SQL}, t AS (SELECT conv_id, greatest(0, output_tokens - hidden_tokens) AS v, CASE WHEN action_type = 'answer' THEN 'answer' WHEN position > conv_id % 5 + 1 THEN 'post' WHEN label IN ('progressive', 'neutral_useful') THEN 'useful' ELSE 'pre' END AS kind FROM s),
+ u AS (SELECT conv_id, {_PART('useful')} AS u, {_PART('pre')} AS p, {_PART('post')} AS w, {_PART('answer')} AS a FROM t GROUP BY conv_id) SELECT conv_id % 6 AS agent, {r('avg(u)')} AS t_useful, {r('avg(p)')} AS t_pre_waste, {r('avg(w)')} AS t_post_waste, {r('avg(a)')} AS t_answer,
+ {', '.join(f"{r(f'sum({c})::DOUBLE / greatest(sum(u + p + w + a), 1)')} AS {n}_share" for c, n in (('u', 't_useful'), ('p', 't_pre_waste'), ('w', 't_post_waste'), ('a', 't_answer')))} FROM u GROUP BY 1""")
+def token_composition(spark, d):
+    t = st.token_utility(labelled(spark, d).withColumn("solution", F.col("conv_id") % 5 + 1), "conv_id")
+    return queues.token_composition(t.withColumn("agent", F.col("conv_id") % 6))
+
+
+@query("solution_audit", f"""WITH {STEPS_SQL}, f AS (SELECT conv_id, min(position) FILTER (action_type = 'answer') AS a, max(position) AS n FROM s GROUP BY conv_id), x AS (SELECT conv_id, n, CASE WHEN conv_id % 2 = 1 THEN least(conv_id % 3 + 1, a) END AS solution FROM f)
+ SELECT conv_id % 6 AS agent, {r('avg((solution IS NOT NULL)::INT)')} AS detection_rate, {r('avg(coalesce(solution = n, false)::INT)')} AS terminal_rate FROM x GROUP BY 1""")
+def solution_audit(spark, d):
+    s = steps(spark, d).withColumn("correct", F.col("conv_id") % 2).withColumn("evidence_step", F.col("conv_id") % 3 + 1)
+    x = queues.first_solution(s, ["conv_id"]).groupBy("conv_id").agg(F.max("solution").alias("solution"), F.max("position").alias("n"))
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return x.groupBy((F.col("conv_id") % 6).alias("agent")).agg(rate(F.col("solution").isNotNull()).alias("detection_rate"), rate(F.col("solution") == F.col("n")).alias("terminal_rate"))

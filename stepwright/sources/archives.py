@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
 import tempfile
 import zipfile
@@ -143,6 +144,35 @@ def validate_archive(spark: SparkSession, path: str) -> dict:
     return counts
 
 
+def export_run(folder: str, tables: dict[str, DataFrame], kind: str, created_at: str) -> dict:
+    """Write tables as one JSON-lines or (names ending in .csv) CSV file each, and a manifest of counts and digests."""
+    os.makedirs(folder, exist_ok=True)
+    counts, spark = {}, None
+    for name, df in tables.items():
+        spark, counts[os.path.splitext(name)[0] + "_count"] = df.sparkSession, df.count()
+        parts = os.path.join(folder, "_" + name)
+        (write_csv if name.endswith(".csv") else write_jsonl)(df.coalesce(1), parts)
+        found = next((f for f in sorted(os.listdir(parts)) if f.startswith("part-")), None)
+        os.replace(os.path.join(parts, found), os.path.join(folder, name)) if found else open(os.path.join(folder, name), "w").close()
+        shutil.rmtree(parts)
+    manifest = build_manifest(spark, folder, kind, counts, created_at)
+    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
+        json.dump(manifest, f, indent=1, sort_keys=True)
+    return manifest
+
+
+def load_run(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of an exported run, after its digests were checked."""
+    folder = open_bundle(path)
+    with open(member(folder, "manifest.json"), encoding="utf-8") as f:
+        manifest = json.load(f)
+    wrong = [r for r in verify_digests(file_digests(spark, folder), manifest["sha256"]).collect() if r["name"] != "manifest.json"]
+    if wrong:
+        raise ValueError("; ".join(f"{r['name']}: {r['problem']}" for r in wrong))
+    read = lambda n: (read_csv if n.endswith(".csv") else read_jsonl)(spark, member(folder, n), schemas[n])
+    return {n: read(n) for n in schemas}
+
+
 def scan_secrets(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """Rows whose text holds something in the form of a credential, with the first such form's number."""
     which = F.lit(None).cast("int")

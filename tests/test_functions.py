@@ -250,3 +250,35 @@ def test_sandbox_sessions():
     assert s.run("import os").blocked
     assert s.run("u = 42\nu * 2").stdout == "84\n"
     assert sandbox.Session(seconds=1).run("while True: pass").timed_out
+
+
+def test_problem_rows(spark):
+    from stepwright.operators import queues
+
+    rows = spark.createDataFrame([("1", " q ", ["4 "], None, False), ("2", "q", ["4"], "bad", False), ("3", "q", ["4"], "", True), ("4", " ", ["4"], None, None), ("5", "q", [], None, None)], "id string, question string, answers array<string>, error string, is_multiple_answer boolean")
+    kept = queues.eligible_problems(rows)
+    assert [r["id"] for r in kept.collect()] == ["1"]
+    p = queues.map_problems(kept.withColumn("a", F.col("answers")[0]), {"id": "id", "problem": "question", "gold_answer": "a"}, "d").first()
+    assert (p["problem"], p["gold_answer"], p["subject"], p["level"]) == ("q", "4", "unknown", "unknown")
+    with pytest.raises(ValueError, match="limit"):
+        queues.checked_limit(rows, 6)
+
+
+def test_recovery_queue(spark):
+    from stepwright.operators import queues
+
+    kind = "k string, finished boolean, timed_out boolean, stop_reason string, final_answer string, steps array<struct<action_type:string>>"
+    t = spark.createDataFrame([("a", True, False, "explicit_final_answer", "4", [("answer",)]), ("b", False, False, "api_error", "", []), ("c", False, False, "format_error_limit", "", [])], kind)
+    assert [r["k"] for r in queues.recovery_selection(t, ["k"], skip_protocol=True).collect()] == ["b"]
+    chosen = queues.recovery_selection(t, ["k"])
+    log = spark.createDataFrame([("b", ["x"]), ("b", ["x"]), ("b", ["x"]), ("c", ["x"])], "k string, validation_reasons array<string>")
+    assert [(r["k"], r["attempts"]) for r in queues.pending_attempts(chosen, log, ["k"]).collect()] == [("c", 1)]
+    assert [r["k"] for r in queues.pending_attempts(chosen, spark.createDataFrame([("c", [])], log.schema), ["k"]).collect()] == ["b"]
+
+
+def test_assembled_rows(spark):
+    from stepwright.operators import queues
+
+    a, b = spark.createDataFrame([(1, 5)], "k int, x int"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, s string")
+    got = {r["k"]: (r["Q"], r["T"]) for r in queues.assemble(["k"], ("Q", a), ("T", b)).collect()}
+    assert got[1][0]["x"] == 5 and got[2][0] is None and got[2][1]["s"] == "z"

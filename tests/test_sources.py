@@ -88,3 +88,16 @@ def test_stream_windows(spark, tmp_path):
     q = latest.windowed_rates(s, "ts", "k", "v", "1 minute", "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["k"], r["n"], r["mean"]) for r in spark.sql("SELECT * FROM w").collect()) == [("x", 2, 2.0), ("y", 1, 2.0)]
+
+
+def test_exported_run_loads_again(spark, tmp_path):
+    tables = {"metrics.jsonl": spark.createDataFrame([(1, None), (2, "x")], "k int, v string"), "core.csv": spark.createDataFrame([("a", 0.5)], "agent string, c double")}
+    m = archives.export_run(str(tmp_path / "run"), tables, "metrics", "2024-01-01T00:00:00Z")
+    assert m["metrics_count"] == 2 and set(m["sha256"]) == set(tables)
+    schemas = {"metrics.jsonl": "k int, v string", "core.csv": "agent string, c double"}
+    path = archives.export_zip(str(tmp_path / "run"), str(tmp_path / "run.zip"))
+    loaded = archives.load_run(spark, path, schemas)
+    assert loaded["metrics.jsonl"].count() == 2 and loaded["core.csv"].first()["c"] == 0.5
+    (tmp_path / "run" / "core.csv").write_text("agent,c\na,0.9\n")
+    with pytest.raises(ValueError, match="mismatch"):
+        archives.load_run(spark, str(tmp_path / "run"), schemas)
