@@ -11,7 +11,7 @@ Restored texts are scored: indicators are words and word beginnings of 3 to 6
 letters that labelled toxic documents have far more often than clean ones (a
 likelihood-ratio test). A logistic function of the strongest indicators of a
 document, fitted on labelled rows that did not choose the indicators, gives
-the score.
+the score; after that fit the indicators are chosen anew from all of them.
 
 Labels are learned from rows whose crc32(doc_id as text) modulo 5 is not 0; of
 these at most about ``max_labelled`` are taken, by a hash of doc_id. All
@@ -193,7 +193,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.restorer, self.weights = Restorer(model), weights
-        self.coefficients = np.array([-4.0, 0.6, 0.3, 0.3])
+        self.coefficients = np.array([-4.0, 0.6, 0.3, 0.3, 0.3])
         self.base = None
         self._tokens: dict[str, tuple] = {}
 
@@ -208,23 +208,24 @@ class Scorer:
         return best
 
     def strongest(self, text: str | None) -> list[float]:
-        """The three largest token weights and the log of how many tokens have one."""
+        """The two largest token weights, and the logs of how many tokens have one and how often they occur."""
         if not text:
-            return [0.0] * 3
+            return [0.0] * 4
         low, known = text.lower(), self._tokens
         tokens = set(low.split())
         tokens.update(re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(low))
         if len(known) > CACHE_TOKENS:
             known.clear()
-        found = []
+        found, times = [], 0
         for t in tokens:
             w = known.get(t)
             if w is None:
                 w = known[t] = self._weight(t)
             if w:
                 found.append(w)
+                times += max(1, low.count(t))
         found.sort(reverse=True)
-        return [found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(len(found))]
+        return [found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(len(found)), math.log1p(times)]
 
     def score(self, text: str | None) -> float:
         if self.base is not None:
@@ -326,6 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         y = np.array([float(r["y"] == 1) for r in sample])
         if 0 < y.sum() < len(y):
             scorer.coefficients = fit_logistic(x, y, scorer.coefficients)
+    scorer.weights = choose_indicators(rows, model)[0]
     return scorer
 
 
