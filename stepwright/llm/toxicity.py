@@ -11,7 +11,9 @@ Restored texts are scored: indicators are words and word beginnings of 3 to 6
 letters that labelled toxic documents have far more often than clean ones (a
 likelihood-ratio test). A logistic function of the strongest indicators of a
 document, fitted on labelled rows that did not choose the indicators, gives
-the score; after that fit the indicators are chosen anew from all of them.
+a score; after that fit the indicators are chosen anew from all of them. A
+single indicator whose precision on labelled rows is sure (a lower bound at four
+deviations of at least ``SURE``) is enough: the score is the larger of both.
 
 Labels are learned from rows whose crc32(doc_id as text) modulo 5 is not 0; of
 these at most about ``max_labelled`` are taken, by a hash of doc_id. All
@@ -40,6 +42,8 @@ from .common import materialize, text_or_empty, values_of
 MAX_LABELLED = 20_000
 MAX_INDICATORS = 5_000
 MIN_RATIO = 12.0
+#: Deviations below an indicator's precision that still count as sure.
+SURE_Z, SURE = 4.0, 0.8
 CACHE_TOKENS = 200_000
 HELD_OUT = 5
 
@@ -191,7 +195,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, max_lab
 class Scorer:
     """The fitted model: language model, indicator weights and the logistic function over a document's strongest ones."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float]):
+    def __init__(self, model: np.ndarray, weights: dict[str, tuple[float, float]]):
         self.restorer, self.weights = Restorer(model), weights
         self.coefficients = np.array([-4.0, 0.6, 0.3, 0.3, 0.3])
         self.base = None
@@ -200,38 +204,38 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"_tokens": {}}
 
-    def _weight(self, token: str) -> float:
-        best = 0.0
-        for w in readings(token, self.restorer):
-            for x in indicators_of(w):
-                best = max(best, self.weights.get(x, 0.0))
-        return best
+    def _weight(self, token: str) -> tuple[float, float]:
+        """The largest weight and the largest sure precision of what a token may be."""
+        found = [self.weights[x] for w in readings(token, self.restorer) for x in indicators_of(w) if x in self.weights]
+        return (max(w for w, _ in found), max(p for _, p in found)) if found else (0.0, 0.0)
 
     def strongest(self, text: str | None) -> list[float]:
-        """The two largest token weights, and the logs of how many tokens have one and how often they occur."""
+        """The two largest token weights, the logs of how many tokens have one and how often they occur, and the largest sure precision."""
         if not text:
-            return [0.0] * 4
+            return [0.0] * 5
         low, known = text.lower(), self._tokens
         tokens = set(low.split())
         tokens.update(re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(low))
         if len(known) > CACHE_TOKENS:
             known.clear()
-        found, times = [], 0
+        found, times, sure = [], 0, 0.0
         for t in tokens:
             w = known.get(t)
             if w is None:
                 w = known[t] = self._weight(t)
-            if w:
-                found.append(w)
+            if w[0]:
+                found.append(w[0])
+                sure = max(sure, w[1])
                 times += max(1, low.count(t))
         found.sort(reverse=True)
-        return [found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(len(found)), math.log1p(times)]
+        return [found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(len(found)), math.log1p(times), sure]
 
     def score(self, text: str | None) -> float:
         if self.base is not None:
             return self.base
-        z = float(self.coefficients @ np.array([1.0, *self.strongest(text)]))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+        *x, sure = self.strongest(text)
+        z = float(self.coefficients @ np.array([1.0, *x]))
+        return max(sure, 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -248,8 +252,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float =
     return w
 
 
-def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict[str, float], int, int]:
-    """Weights of the indicators by how much more toxic than clean documents have them; and both numbers of documents."""
+def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict[str, tuple], int, int]:
+    """Weights and sure precisions of the indicators by how much more toxic than clean documents have them; and both numbers of documents."""
     import pyarrow as pa
 
     shared = rows.sparkSession.sparkContext.broadcast(Restorer(restorer_model))
@@ -297,8 +301,10 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
     every = (t + c) / (nt + nc)
     ratio = 2 * (xlogx(t, nt * every) + xlogx(c, nc * every) + xlogx(nt - t, nt * (1 - every)) + xlogx(nc - c, nc * (1 - every)))
     weight = F.log(((t + 0.5) / (nt + 1)) / ((c + 0.5) / (nc + 1)))
-    best = counts.filter("k != ''").withColumn("weight", weight).withColumn("ratio", ratio).filter(f"ratio >= {MIN_RATIO} and weight > 1.5")
-    chosen = {r["k"]: r["weight"] for r in best.orderBy(F.desc("ratio"), "k").limit(MAX_INDICATORS).collect()}
+    n, p, zz = t + c, t / (t + c), SURE_Z**2
+    sure = (p + zz / (2 * n) - SURE_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    best = counts.filter("k != ''").withColumn("weight", weight).withColumn("sure", F.when(sure >= SURE, sure).otherwise(0.0)).withColumn("ratio", ratio).filter(f"ratio >= {MIN_RATIO} and weight > 1.5")
+    chosen = {r["k"]: (r["weight"], r["sure"]) for r in best.orderBy(F.desc("ratio"), "k").limit(MAX_INDICATORS).collect()}
     counts.unpersist()
     return chosen, nt, nc
 
@@ -323,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     sample = rows.filter("fold = 4").select("text", "label").mapInArrow(measure, "x array<double>, y int").collect()  # bounded by max_labelled
     if sample:
-        x = np.array([[1.0, *r["x"]] for r in sample])
+        x = np.array([[1.0, *r["x"][:-1]] for r in sample])
         y = np.array([float(r["y"] == 1) for r in sample])
         if 0 < y.sum() < len(y):
             scorer.coefficients = fit_logistic(x, y, scorer.coefficients)
