@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few_tasks, materialize
 from .shingles import plain_words, scramble, word_hashes
 
 WINDOW = 35
@@ -263,7 +263,7 @@ def _unpack(bits: list[bytes], values: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, dtype=bool)
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW, chunk_bytes: int = 12 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW, chunk_bytes: int = 24 << 20) -> DataFrame:
     """The documents with ``text`` cut to its kept words where any goes, and n_words, n_removed.
 
     A text that loses no word stays as it is. Columns n_words and n_removed of
@@ -343,9 +343,10 @@ def _run(docs: DataFrame, text: str, window: int, chunk_bytes: int, digest: bool
 
     asked = materialize(docs.mapInArrow(first, _ROWS), "anchors")
     n_chunks = asked.filter("bucket = -1").count()
-    anchor_bits = materialize(repeated_bits(asked).withColumn("step", F.lit(1)), "anchor-bits")
+    few = few_tasks(spark, n_chunks * buckets, 4096)
+    anchor_bits = materialize(repeated_bits(asked).withColumn("step", F.lit(1)), "anchor-bits", few)
     windows = materialize(_by_chunk(anchor_bits, n_chunks).mapInArrow(second, _ROWS), "windows")
-    window_bits = materialize(repeated_bits(windows).withColumn("step", F.lit(2)), "window-bits")
+    window_bits = materialize(repeated_bits(windows).withColumn("step", F.lit(2)), "window-bits", few)
     if digest:
         kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:
@@ -358,7 +359,7 @@ def _run(docs: DataFrame, text: str, window: int, chunk_bytes: int, digest: bool
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: words of repeated 35-word windows of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _run(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", WINDOW, 12 << 20, digest=True)
+    return _run(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", WINDOW, 24 << 20, digest=True)
 
 
 ORACLE_SQL = r"""
