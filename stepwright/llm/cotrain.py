@@ -153,19 +153,16 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a)), float(b)
 
 
-def _scored(table: DataFrame, wc: np.ndarray, wm: np.ndarray, keep: bool) -> DataFrame:
-    """Log-odds of both views for each stored document; with the views if ``keep``."""
+def _scored(table: DataFrame, wc: np.ndarray, wm: np.ndarray) -> DataFrame:
+    """doc_id and the log-odds of both views for each stored document."""
     import pyarrow as pa
 
-    names = ["doc_id", "zc", "zm"] + ["content", "meta"] * keep
-
     def run(batches):
         for b in batches:
-            c, m = b.column(1), b.column(2)
-            zc, zm = (_matrix(c.to_pylist(), CONTENT) @ wc, _matrix(m.to_pylist(), META) @ wm) if b.num_rows else (np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zc), pa.array(zm), *([c, m] if keep else [])], names=names)
+            zc, zm = (_matrix(b.column(1).to_pylist(), CONTENT) @ wc, _matrix(b.column(2).to_pylist(), META) @ wm) if b.num_rows else (np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zc), pa.array(zm)], names=["doc_id", "zc", "zm"])
 
-    return table.select("doc_id", "content", "meta").mapInArrow(run, "doc_id long, zc double, zm double" + ", content binary, meta binary" * keep)
+    return table.select("doc_id", "content", "meta").mapInArrow(run, "doc_id long, zc double, zm double")
 
 
 def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, grow: int = GROW, max_labelled: int = MAX_LABELLED):
@@ -184,26 +181,32 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
         return None, float(truth.mean()) if len(truth) else 0.5
     xc, xm = _matrix([r["content"] for r in rows], CONTENT), _matrix([r["meta"] for r in rows], META)
     tc, tm, yc, ym = xc[seed], xm[seed], truth[seed], truth[seed]
-    free = table.join(y.select("doc_id"), "doc_id", "left_anti") if rounds else None
+    free = table.join(y.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null") if rounds else None
     limit = float(np.log(CONFIDENT / (1 - CONFIDENT)))
     used: list[int] = []
     for _ in range(rounds):
         wc, wm = train(tc, yc), train(tm, ym)
-        pool = _scored(free, wc, wm, True)
+        pool = _scored(free, wc, wm)
         if used:
             pool = pool.filter(~F.col("doc_id").isin(used))
         pool = pool.persist()
+        chosen = []
         for teacher in ("zc", "zm"):
             for sign, value in ((1, 1.0), (-1, 0.0)):
-                sure = pool.filter(sign * F.col(teacher) >= limit).orderBy(F.desc(sign * F.col(teacher)), "doc_id").limit(grow).collect()
-                if not sure:
-                    continue
-                used += [r["doc_id"] for r in sure if r["doc_id"] is not None]
-                if teacher == "zc":
-                    tm, ym = np.concatenate([tm, _matrix([r["meta"] for r in sure], META)]), np.concatenate([ym, np.full(len(sure), value)])
-                else:
-                    tc, yc = np.concatenate([tc, _matrix([r["content"] for r in sure], CONTENT)]), np.concatenate([yc, np.full(len(sure), value)])
+                sure = pool.filter(sign * F.col(teacher) >= limit).orderBy(F.desc(sign * F.col(teacher)), "doc_id").select("doc_id").limit(grow).collect()
+                chosen += [(r["doc_id"], teacher, value) for r in sure]
         pool.unpersist()
+        ids = sorted({i for i, _, _ in chosen})
+        if not ids:
+            break
+        used += ids
+        view = {r["doc_id"]: r for r in table.filter(F.col("doc_id").isin(ids)).collect()}  # at most 4 * grow documents
+        for teacher in ("zc", "zm"):
+            mine = [(view[i], value) for i, t, value in chosen if t == teacher]
+            if mine and teacher == "zc":
+                tm, ym = np.concatenate([tm, _matrix([r["meta"] for r, _ in mine], META)]), np.concatenate([ym, [v for _, v in mine]])
+            elif mine:
+                tc, yc = np.concatenate([tc, _matrix([r["content"] for r, _ in mine], CONTENT)]), np.concatenate([yc, [v for _, v in mine]])
     wc, wm = train(tc, yc), train(tm, ym)
     held = test if 0 < truth[test].sum() < test.sum() else seed
     cc, cm = platt(xc[held] @ wc, truth[held]), platt(xm[held] @ wm, truth[held])
@@ -218,7 +221,7 @@ def score(table: DataFrame, model, prior: float) -> DataFrame:
         p = F.lit(prior)
         return table.select("doc_id", held, p.alias("content_score"), p.alias("meta_score"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), (p >= 0.5).alias("kept"))
     wc, wm, (ac, bc), (am, bm) = model
-    z = _scored(table, wc, wm, False).withColumn("c", F.col("zc") * ac + bc).withColumn("m", F.col("zm") * am + bm)
+    z = _scored(table, wc, wm).withColumn("c", F.col("zc") * ac + bc).withColumn("m", F.col("zm") * am + bm)
     p = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
     z = z.withColumn("score", p(F.col("c") + F.col("m") - prior))
     return z.select("doc_id", held, p(F.col("c")).alias("content_score"), p(F.col("m")).alias("meta_score"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
