@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09-\x0d"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
+#: Documents with their texts that one task should write, so that files are not small.
+TASK_TEXTS = 20_000
+
 _LOCAL_TMP: dict[str, str] = {}
 
 

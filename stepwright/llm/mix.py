@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_SQL, few_tasks, materialize, text_or_empty
+from .common import TASK_TEXTS, WORD_SQL, few_tasks, materialize, text_or_empty
 
 BLOCK_WORDS = 64
 MAX_REPEATS = 3
@@ -188,6 +188,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, block
     new = {text: F.col("text")}
     if "n_chars" in names:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    j = j.coalesce(few_tasks(docs.sparkSession, stored.count(), TASK_TEXTS))
     return j.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])
 
 
