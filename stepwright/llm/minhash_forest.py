@@ -12,17 +12,20 @@ the similarity and a 128-bit sketch does not rule it out. A pair is taken if it
 among the ``keep`` most alike plausible ones, by sketch, of either of its rows.
 In a sparse region that reaches down to ``min_depth`` shared minhashes; in a
 crowded one the order puts deeper prefixes first, so the depth adapts to the
-region.
+region. A row is crowded if in some tree rows that share ``min_depth`` minhashes
+lie beyond its look-ahead, or if a plausible pair of it was not among the taken.
 
 Candidates are confirmed on full shingle sets in two rounds: first the nearest
 neighbours of the first ``lead_trees`` trees, then those candidates that still
-join two components. Links inside a component cannot change the result.
+join two components. Links inside a component cannot change the result. Then
+all crowded rows meet in an exact prefix-filter join on their shingles, rare
+ones first, for pairs across components (``crowded_pairs``), again in two
+rounds: the likeliest pair of each two components, then what is left.
 
 Misses: a pair at similarity 0.8 shares two minhashes in one tree with
-probability 0.64, so 20 trees all fail with 1e-9; in a region so crowded that
-five shared minhashes are needed, 20 trees fail with 4e-4, and then only
-if no third document links the two. The sketch rules out a true pair at
-0.8 with 3e-6, and fewer the more alike.
+probability 0.64, so 20 trees all fail with 1e-9. The sketch rules out a true
+pair at 0.8 with 3e-6, and fewer the more alike. What the look-ahead and the
+choice of most alike pairs leave out, the exact join of crowded rows finds.
 
 Defined cases: null or wordless texts have n_shingles 0, link with nothing and
 are their own component. Rows that repeat a doc_id are one node if their sets
@@ -53,6 +56,8 @@ KEEP = 4
 LEAD_TREES = 4
 #: Equal bits of 128 below which a pair is ruled out; at similarity 0.8 the mean is 115.2 and the deviation 3.4.
 MIN_EQUAL_BITS = 98
+#: Buckets of shingles whose counts order the shingles of crowded rows; any order gives the same pairs.
+RARITY_BUCKETS = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -129,19 +134,21 @@ def _best(of: np.ndarray, equal: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(path, rep, size, sketch, fresh: int, min_depth: int, look_ahead: int, keep: int, lead_trees: int):
-    """Candidate pairs (u, v, lead) of ordered rows whose later row is at ``fresh`` or beyond.
+    """Candidate pairs (u, v, lead) of ordered rows whose later row is at ``fresh`` or beyond, and the crowded rows.
 
     Rows are in path order, so a row whose common prefix with the row d ahead is
     too short has none further on: it leaves the search, and only crowded
     regions look far.
     """
     n, head = len(rep), path[:, : 1 + 4 * min_depth]
-    active, found = np.arange(n), []
+    active, found, cut = np.arange(n), [], rep[:0]
     for d in range(1, min(look_ahead, n - 1) + 1):
         active = active[active < n - d]
         active = active[(head[active] == head[active + d]).all(axis=1)]
         if not len(active):
             break
+        if d == look_ahead:
+            cut = np.concatenate([rep[active], rep[active + d]])
         i = active[active + d >= fresh]
         j = i + d
         ok = (rep[i] != rep[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
@@ -150,20 +157,21 @@ def _neighbours(path, rep, size, sketch, fresh: int, min_depth: int, look_ahead:
         ok = equal >= MIN_EQUAL_BITS
         found.append((i[ok], j[ok], equal[ok]))
     if not found:
-        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool), np.unique(cut)]
     i, j, equal = (np.concatenate(x) for x in zip(*found))
     place = np.minimum(_best(i, equal), _best(j, equal)) if len(i) else i
     ok = place < keep
+    cut = np.unique(np.concatenate([cut, rep[i[~ok]], rep[j[~ok]]]))
     i, j, place = i[ok], j[ok], place[ok]
-    return rep[i], rep[j], (place == 0) & (path[i, 0] < lead_trees)
+    return rep[i], rep[j], (place == 0) & (path[i, 0] < lead_trees), cut
 
 
 def _matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, look_ahead: int = LOOK_AHEAD, keep: int = KEEP, lead_trees: int = LEAD_TREES) -> DataFrame:
-    """Distinct candidate pairs u < v with ``lead``, true for nearest neighbours in the leading trees."""
+def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, look_ahead: int = LOOK_AHEAD, keep: int = KEEP, lead_trees: int = LEAD_TREES) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs u < v with ``lead``, true for nearest neighbours in the leading trees; and the crowded rows (node)."""
     import pyarrow as pa
 
     width = 1 + 4 * depth
@@ -184,8 +192,11 @@ def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min
             if tail is not None:
                 fresh = len(tail[1])
                 now = [np.concatenate(x) for x in zip(tail, now)]
-            u, v, lead = _neighbours(*now, fresh, min_depth, look_ahead, keep, lead_trees)
+            u, v, lead, cut = _neighbours(*now, fresh, min_depth, look_ahead, keep, lead_trees)
             tail = [x[-look_ahead:] for x in now]
+            if len(cut):
+                m = len(cut)
+                yield pa.RecordBatch.from_arrays([pa.array(cut), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names)
             if len(u):
                 none = pa.nulls(len(u), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(lead), pa.nulls(len(u), pa.int64()), none, none, pa.nulls(len(u), pa.int64())], names=names)
@@ -203,7 +214,89 @@ def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min
     borders = found.filter("part is not null").select("path", F.col("u").alias("rep"), "n_shingles", "sketch").coalesce(1).sortWithinPartitions("path", "rep")
     across = borders.mapInArrow(lambda batches: search(batches, False), schema)
     every = found.filter("part is null").select("u", "v", "lead").unionByName(across.select("u", "v", "lead"))
-    return every.groupBy("u", "v").agg(F.max("lead").alias("lead"))
+    pairs = every.filter("v is not null").groupBy("u", "v").agg(F.max("lead").alias("lead"))
+    return pairs, every.filter("v is null").select(F.col("u").alias("node")).distinct()
+
+
+def _rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of the texts fall into each bucket; a table of fixed size."""
+    import pyarrow as pa
+
+    def count(batches):
+        total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+        for b in batches:
+            for t in values_of(b.column(0)):
+                np.add.at(total, (shingle_set(fold_words(t), k) % np.uint64(RARITY_BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(total[at])})
+
+    found = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Every pair that can reach the similarity among rows of (node, component, text) of different components.
+
+    u < v, both components and ``shared``, how many prefix shingles the pair has in common.
+
+    The shingles of a row are in one order for all rows, rare ones first. The
+    first common one of a pair lies in the prefix of both: its places bound what
+    the pair can have in common. The row with fewer shingles has the shorter
+    prefix. Rows meet by (shingle, two components), so a large component is not
+    joined with itself, and no list of rows is cut.
+    """
+    import pyarrow as pa
+
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(_rarity(texts, k))
+
+    def prefixes(batches):
+        names = ["g", "node", "component", "n", "place"]
+        for b in batches:
+            for node, component, text in zip(*(values_of(b.column(i)) for i in range(3))):
+                s = shingle_set(fold_words(text), k)
+                n = len(s)
+                often = shared.value[(s % np.uint64(RARITY_BUCKETS)).astype(np.int64)]
+                order = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+                place = np.flatnonzero(often[order] > 1)
+                if len(place):
+                    m = len(place)
+                    yield pa.RecordBatch.from_arrays([pa.array(s[order[place]].view(np.int64)), pa.array(np.full(m, node)), pa.array(np.full(m, component)), pa.array(np.full(m, n)), pa.array(place + 1)], names=names)
+
+    rows = materialize(texts.select("node", "component", "text").mapInArrow(prefixes, "g long, node long, component long, n long, place long"), "prefixes")
+    short = rows.filter(F.lit(100 + percent) * (F.col("n") - F.col("place") + 1) >= 2 * percent * F.col("n"))
+    # What a row can have in common with a row of m shingles is enough if its room is at least percent * m.
+    room = (100 + percent) * (F.col("n") - F.col("place") + 1) - percent * F.col("n")
+
+    def by_component(of: DataFrame, c: str) -> DataFrame:
+        """The components of a shingle with the bounds of their rows; a component of one row is bounded by the row itself."""
+        return of.groupBy("g", F.col("component").alias("c" + c)).agg(F.min("n").alias("least_" + c), F.max("n").alias("most_" + c), F.max(room).alias("room_" + c))
+
+    def meet(least_x, most_x, room_x, least_y, most_y, room_y):
+        return (least_x <= most_y) & (100 * most_x >= percent * least_y) & (room_x >= percent * least_y) & (room_y >= percent * least_x)
+
+    cx, cy = ([F.col(n + c) for n in ("least_", "most_", "room_")] for c in "xy")
+    cross = by_component(short, "x").join(by_component(rows, "y").hint("merge"), "g").filter(F.col("cx") != F.col("cy")).filter(meet(*cx, *cy)).select("g", "cx", "cy", *cy)
+    x = short.select("g", F.col("component").alias("cx"), F.col("node").alias("x"), F.col("n").alias("nx"), room.alias("rx"))
+    y = rows.select("g", F.col("component").alias("cy"), F.col("node").alias("y"), F.col("n").alias("ny"), room.alias("ry"))
+    nx, ny, rx, ry = (F.col(c) for c in ("nx", "ny", "rx", "ry"))
+    j = cross.join(x.hint("merge"), ["g", "cx"]).filter(meet(nx, nx, rx, *cy)).drop("least_y", "most_y", "room_y")
+    j = j.join(y.hint("merge"), ["g", "cy"]).filter(meet(nx, nx, rx, ny, ny, ry)).filter((nx < ny) | (F.col("x") < F.col("y")))
+    first = F.col("x") < F.col("y")
+    j = j.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.when(first, F.col("cx")).otherwise(F.col("cy")).alias("cu"), F.when(first, F.col("cy")).otherwise(F.col("cx")).alias("cv"))
+    return j.groupBy("u", "v", "cu", "cv").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _still_apart(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
+    """The pairs (u, v) that join two components."""
+    j = pairs.select("u", "v").join(so_far.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(so_far.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    return j.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+
+
+def _stars(so_far: DataFrame) -> DataFrame:
+    return so_far.select(F.col("component").alias("u"), F.col("node").alias("v"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -238,18 +331,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     classes = materialize(classes.filter("rep is not null"), "classes", few)
     named = feats.select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "signature")
     reps = named.join(classes, ["rep", "k1", "k2"], "left_semi")
-    pairs = materialize(candidate_pairs(reps), "pairs", few)
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    pairs, crowded = candidate_pairs(reps)
+    pairs, crowded = materialize(pairs, "pairs", few), materialize(crowded, "crowded", few)
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowded).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
     texts = materialize(plain.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts", 4 * few)
     first = materialize(confirm(pairs.filter("lead"), texts, k, percent), "links", 4 * few)
     so_far = components(first)
-    far = pairs.filter("not lead")
-    far = far.join(so_far.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(so_far.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-    far = far.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-    second = materialize(confirm(far, texts, k, percent), "links", 4 * few)
-    edges = so_far.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(second)
-    final = components(edges)
+    second = materialize(confirm(_still_apart(pairs.filter("not lead"), so_far), texts, k, percent), "links", 4 * few)
+    final = components(_stars(so_far).unionByName(second))
+    if not crowded.isEmpty():
+        members = crowded.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        rest = materialize(crowded_pairs(texts.join(members.hint("merge"), "node"), k, percent), "crowded-pairs", few)
+        likely = rest.groupBy(F.least("cu", "cv"), F.greatest("cu", "cv")).agg(F.max(F.struct("shared", "u", "v")).alias("p")).select("p.u", "p.v")
+        third = materialize(confirm(likely, texts, k, percent), "links", 4 * few)
+        so_far = components(_stars(final).unionByName(third))
+        fourth = materialize(confirm(_still_apart(rest, so_far), texts, k, percent), "links", 4 * few)
+        final = components(_stars(so_far).unionByName(fourth))
     named = classes.join(final, classes["rep"] == final["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     j = feats.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

@@ -110,6 +110,32 @@ def test_components_match_all_pairs(spark):
     assert got == {i: find(i) for i in range(k)}
 
 
+def test_links_inside_a_crowd_of_one_template(spark, monkeypatch):
+    """400 documents of one template, none linked, and twelve more, each linked to one of them; four trees that look four rows ahead."""
+    monkeypatch.setattr(minhash_forest.candidate_pairs, "__defaults__", (4, 6, 2, 4, 1, 4))
+    template, docs = prose(70, 400).split(), []
+    for i in range(400):
+        w = template.copy()
+        for p in range(14):
+            w[28 * p + (i * 7 + p * 3) % 20] = f"own{i}x{p}"
+        docs.append((i, " ".join(w)))
+    for m in range(12):
+        w = docs[m * 30][1].split()
+        for p in (5, 150, 290, 399, 60):
+            w[p] = f"pair{m}x{p}"
+        docs.append((1000 + m, " ".join(w)))
+    sets = [shingle_set(fold_words(t), 5) for _, t in docs]
+    links = set()
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links.add((docs[b][0], docs[a][0]))
+    assert links == {(m * 30, 1000 + m) for m in range(12)}
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(400)} | {1000 + m: m * 30 for m in range(12)}
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5000, 5001)], "u long, v long").repartition(7)
