@@ -357,11 +357,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    doc_id names a document; of rows that repeat one, one stays.
+    Rows are numbered once, and groups are made of row numbers: a null or repeated
+    doc_id joins nothing. A group without any doc_id keeps its first row.
     """
-    kept = near_duplicates(docs, text).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"]).coalesce(few_tasks(docs.sparkSession, docs.count(), TASK_TEXTS))
+    spark, names = docs.sparkSession, docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    stored = materialize(row, "dedup-input")
+    found = near_duplicates(stored.select(F.col("rid").alias("doc_id"), F.col("row").getField(text).alias("text")))
+    ids = stored.select("rid", F.col("row").getField("doc_id").cast("long").alias("id"))
+    named = found.select(F.col("doc_id").alias("rid"), "component_id").join(ids.hint("merge"), "rid")
+    chosen = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "rid")).alias("first")).select("first.rid")
+    out = stored.join(chosen.hint("merge"), "rid", "left_semi")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names]).coalesce(few_tasks(spark, stored.count(), TASK_TEXTS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

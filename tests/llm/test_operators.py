@@ -151,6 +151,14 @@ def test_keep_one_of_each_group(spark, edge_dir):
     assert len(ids) == len(set(ids)) and {7, 9, 6, 20} <= set(ids) and not {8, 10, 17, 21} & set(ids)
 
 
+def test_keep_one_keeps_rows_with_null_and_repeated_ids(spark):
+    near = prose(81, 200)
+    rows = [(None, prose(82, 90), "a"), (None, prose(83, 90), "b"), (None, near + " end", "c"), (5, near, "d"), (6, prose(84, 90), "e"), (6, prose(85, 90), "f"), (7, prose(86, 80), "g"), (3, near + " more", "h"), (7, near + " more words", "i"), (None, prose(82, 90), "j")]
+    kept = minhash_forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    tags = sorted(r["tag"] for r in kept.collect())
+    assert tags in ([*"abefgh"], [*"befghj"]) and kept.columns == ["doc_id", "text", "tag"]
+
+
 # -- substrings ----------------------------------------------------------------------------------------------------
 
 
