@@ -3,9 +3,11 @@
 A character language model (trigrams over 28 symbols: a to z with accents
 folded, any other letter, a boundary) is counted over the whole texts of all
 documents. Tokens that look disguised are decoded: digits and signs stand for
-letters, a run of a letter stands for one or two, and a row of single
-characters stands for a word. Each token is a lattice of such readings, and
-Viterbi search finds the reading that is likeliest under channel and model.
+letters and a run of a letter stands for one or two. In a row of single
+characters each separator is dropped or parts two words, so the row is decoded
+into words. Each token or row is a lattice of such readings, whatever its
+length, and Viterbi search finds the reading that is likeliest under channel
+and model.
 
 Restored texts are scored: indicators are words and word beginnings of 3 to 6
 letters that labelled toxic documents have far more often than clean ones (a
@@ -52,8 +54,10 @@ SYMBOLS, OTHER, EDGE = 28, 26, 27
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 LEET_COST, COLLAPSE_COST, DROP_COST = -1.2, -0.4, -15.0
 
-_SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){2,}\w(?!\S)")
-_DISGUISED = re.compile(r"[0-9@$!|+(€£]|(.)\1\1")
+#: A row of single characters, leet signs among them, with up to three separators between two; quotes and stops may stand around it.
+_SPACED = re.compile(r"(?<![^\s\"'\[{<])(?:(?:[^\W_]|[@$!|+(€£])[\s.\-_*]{1,3}){2,}(?:[^\W_]|[@$!|+(€£])(?=[.,;:!?\"')\]}>]*(?:\s|$))")
+_SEPARATORS = re.compile(r"[\s.\-_*]+")
+_DISGUISED = re.compile(r"[0-9@$!|+(€£]|(.)\1")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -131,10 +135,33 @@ class Restorer:
             i = j
         return out
 
+    def row_lattice(self, row: str) -> list[list[tuple[str, float]]]:
+        """As ``lattice`` for a row of single characters: between two of them a boundary (a space) or nothing."""
+        out, chars, i = [], _SEPARATORS.sub("", row), 0
+        while i < len(chars):
+            j = i
+            while j < len(chars) and chars[j] == chars[i]:
+                j += 1
+            if out:
+                out.append([("", 0.0), (" ", 0.0)])
+            reads = self.lattice(chars[i:j])[0]
+            if j - i > 1:  # a boundary inside the run
+                reads = [*reads, *((x[0] + " " + x[1], cost) for x, cost in reads if len(x) == 2)]
+            out.append(reads)
+            i = j
+        return out
+
+    def decode_row(self, row: str) -> list[str]:
+        """The words of the likeliest reading of a row of single characters."""
+        return self._likeliest(self.row_lattice(row)).split()
+
     def decode(self, token: str) -> str:
         """The likeliest reading of one token."""
-        best = {(EDGE, EDGE): (0.0, "")}
-        for reads in self.lattice(token):
+        return self._likeliest(self.lattice(token))
+
+    def _likeliest(self, lattice: list[list[tuple[str, float]]]) -> str:
+        best: dict = {(EDGE, EDGE): (0.0, None)}
+        for reads in lattice:
             now: dict = {}
             for (a, b), (score, said) in best.items():
                 for letters, cost in reads:
@@ -144,9 +171,17 @@ class Restorer:
                         s += self.model[x][y][z]
                         x, y = y, z
                     if (x, y) not in now or now[x, y][0] < s:
-                        now[x, y] = (s, said + letters)
+                        now[x, y] = (s, (said, letters))
             best = now
-        return max((s + self.model[a][b][EDGE], said) for (a, b), (s, said) in best.items())[1]
+
+        def spelled(said) -> str:
+            parts = []
+            while said is not None:
+                said, letters = said
+                parts.append(letters)
+            return "".join(reversed(parts))
+
+        return max((s + self.model[a][b][EDGE], spelled(said)) for (a, b), (s, said) in best.items())[1]
 
 
 def words_to_score(text: str, restore) -> set[str]:
@@ -156,17 +191,25 @@ def words_to_score(text: str, restore) -> set[str]:
     for t in set(low.split()):
         found.update(restore(t))
     for m in _SPACED.finditer(low):
-        found.update(restore(re.sub(r"[ .\-_*]", "", m.group())))
+        found.update(restore(m.group()))
     return found
 
 
 def readings(token: str, restorer: Restorer) -> tuple[str, ...]:
-    """The word of a token without signs at its ends and, if it looks disguised, its likeliest readings with and without them."""
+    """The word of a token without signs at its ends and, if it looks disguised, its likeliest readings with and without them.
+
+    A row of single characters has the words that it is decoded into, and all of it as one word.
+    """
+    if _SPACED.fullmatch(token):
+        if not any(c.isalpha() for c in token):
+            return ()
+        joined = _SEPARATORS.sub("", token)
+        return tuple(x for x in {*restorer.decode_row(token), joined, restorer.decode(joined)} if x)
     core = token.strip(_STRIP)
     found = {core}
     if _DISGUISED.search(token):
         for bare in {core, token.strip("\"'()[]{}<>.,;:?%&*#~^=/\\-_`")}:
-            if 2 < len(bare) <= 40 and any(c.isalpha() for c in bare) and _DISGUISED.search(bare):
+            if len(bare) > 2 and any(c.isalpha() for c in bare) and _DISGUISED.search(bare):
                 found.add(restorer.decode(bare))
     return tuple(x for x in found if x)
 
@@ -215,7 +258,7 @@ class Scorer:
             return [0.0] * 5
         low, known = text.lower(), self._tokens
         tokens = set(low.split())
-        tokens.update(re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(low))
+        tokens.update(m.group() for m in _SPACED.finditer(low))
         if len(known) > CACHE_TOKENS:
             known.clear()
         found, times, sure = [], 0, 0.0

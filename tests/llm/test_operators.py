@@ -244,6 +244,19 @@ def test_spaced_words_are_joined(restorer):
     assert toxicity.readings("plain", restorer) == ("plain",)
 
 
+@pytest.fixture(scope="module")
+def reader():
+    text = "you are a stupid man . you idiot . he is an idiot and you are good . hello you stupid moron in a house . the man is a good clown and you are " * 50
+    s = np.concatenate([[toxicity.EDGE], toxicity.symbols_of(text), [toxicity.EDGE]])
+    model = toxicity.Restorer(toxicity.language_model(np.bincount(s[:-2] * toxicity.SYMBOLS**2 + s[1:-1] * toxicity.SYMBOLS + s[2:], minlength=toxicity.SYMBOLS**3)))
+    return lambda t: toxicity.readings(t, model)
+
+
+@pytest.mark.parametrize(("text", "word"), [("you are a s t u p i d man", "stupid"), ("y o u i d i o t", "idiot"), ("i d ! o t", "idiot"), ("so $ t u p 1 d.", "stupid"), ("a s-t-u-p-i-d man", "stupid"), ("i d d d i o t", "idiot"), ("i" * 40 + "diot", "idiot"), ("iddiot", "idiot"), ("s  t  u  p  i  d", "stupid")])
+def test_spacing_and_long_runs_are_decoded(reader, text, word):
+    assert word in toxicity.words_to_score(text, reader)
+
+
 def test_viterbi_is_the_best_of_all_readings(restorer):
     from itertools import product
 
