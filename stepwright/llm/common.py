@@ -24,6 +24,9 @@ TASK_TEXTS = 20_000
 
 _LOCAL_TMP: dict[str, str] = {}
 
+#: Memories of a worker process that end with each task: workers are used again, by other stages too.
+TASK_MEMORIES: list[dict] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -96,6 +99,33 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose workers give back at the end of each task what they hold."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _forget()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _forget() -> None:
+    """Empty the memories of this process and return its free pages to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for memory in TASK_MEMORIES:
+        memory.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def values_of(column, step: int = 500):
     """The values of an Arrow array, some at a time: a batch of long texts is never held twice."""
     for i in range(0, len(column), step):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_tasks, materialize
+from .common import few_tasks, map_arrow, materialize
 
 
 def contract_locally(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def contract_locally(edges: DataFrame) -> DataFrame:
             part = nodes[i : i + 50_000]
             yield pa.RecordBatch.from_pydict({"u": pa.array([find(x) for x in part], pa.int64()), "v": pa.array(part, pa.int64())})
 
-    return edges.select("u", "v").mapInArrow(contract, "u long, v long")
+    return map_arrow(edges.select("u", "v"), contract, "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

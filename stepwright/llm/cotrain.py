@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .shingles import CACHE_WORDS, fold_words, word_hashes
 
 CONTENT = 256
@@ -116,7 +116,7 @@ def views(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(c, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "content", "meta"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return d.mapInArrow(compute, "doc_id long, content binary, meta binary")
+    return map_arrow(d, compute, "doc_id long, content binary, meta binary")
 
 
 def _matrix(values, width: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def _scored(table: DataFrame, wc: np.ndarray, wm: np.ndarray) -> DataFrame:
             zc, zm = (_matrix(b.column(1).to_pylist(), CONTENT) @ wc, _matrix(b.column(2).to_pylist(), META) @ wm) if b.num_rows else (np.zeros(0), np.zeros(0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(zc), pa.array(zm)], names=["doc_id", "zc", "zm"])
 
-    return table.select("doc_id", "content", "meta").mapInArrow(run, "doc_id long, zc double, zm double")
+    return map_arrow(table.select("doc_id", "content", "meta"), run, "doc_id long, zc double, zm double")
 
 
 def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, grow: int = GROW, max_labelled: int = MAX_LABELLED):

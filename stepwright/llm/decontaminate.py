@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, values_of
+from .common import map_arrow, materialize, text_or_empty, values_of
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -106,7 +106,7 @@ def word_frequency(docs: DataFrame, vocabulary: set[bytes], text: str = "text")
                 c.update(have.intersection(words_of(s)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.binary()), "n": pa.array(list(c.values()), pa.int64())})
 
-    counts = docs.select(F.col(text)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select(F.col(text)), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in counts.collect()}  # as many rows as the block has words
 
 
@@ -150,9 +150,9 @@ def _match_block(docs: DataFrame, items, text: str, window: int, keep: str | Non
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     if keep is None:
-        return docs.select(text).mapInArrow(match, _MATCH)
+        return map_arrow(docs.select(text), match, _MATCH)
     kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(text, keep).mapInArrow(match, f"key {kind}, {_MATCH}").withColumnRenamed("key", keep)
+    return map_arrow(docs.select(text, keep), match, f"key {kind}, {_MATCH}").withColumnRenamed("key", keep)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -205,7 +205,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
                 clean = [not found.match(words_of(s))[0] for s in values_of(b.column(at))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = map_arrow(out, keep, docs.schema)
     return out
 
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TASK_TEXTS, few_tasks, materialize, values_of
+from .common import TASK_TEXTS, few_tasks, map_arrow, materialize, values_of
 from .components import components
 from .shingles import fold_words, shingle_set
 
@@ -93,7 +93,7 @@ def features(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame
                     sig.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(compute, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), compute, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
 
 
 def _fixed(a: np.ndarray):
@@ -120,7 +120,7 @@ def forest_rows(reps: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Data
                     path = np.concatenate([np.full((part.num_rows, 1), t, dtype=np.uint8), prefix], axis=1)
                     yield pa.RecordBatch.from_arrays([_fixed(path), part.column(0), part.column(1), _fixed(sketch)], names=["path", "rep", "n_shingles", "sketch"])
 
-    return reps.select("rep", "n_shingles", "signature").mapInArrow(explode, "path binary, rep long, n_shingles long, sketch binary")
+    return map_arrow(reps.select("rep", "n_shingles", "signature"), explode, "path binary, rep long, n_shingles long, sketch binary")
 
 
 def _best(of: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -209,10 +209,10 @@ def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min
     names = ["u", "v", "lead", "part", "path", "sketch", "n_shingles"]
     schema = "u long, v long, lead boolean, part long, path binary, sketch binary, n_shingles long"
     rows = forest_rows(reps, trees, depth).repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
-    found = materialize(rows.mapInArrow(search, schema), "forest")
+    found = materialize(map_arrow(rows, search, schema), "forest")
     # The first and last rows of each range meet once more, in order: neighbours across a border.
     borders = found.filter("part is not null").select("path", F.col("u").alias("rep"), "n_shingles", "sketch").coalesce(1).sortWithinPartitions("path", "rep")
-    across = borders.mapInArrow(lambda batches: search(batches, False), schema)
+    across = map_arrow(borders, lambda batches: search(batches, False), schema)
     every = found.filter("part is null").select("u", "v", "lead").unionByName(across.select("u", "v", "lead"))
     pairs = every.filter("v is not null").groupBy("u", "v").agg(F.max("lead").alias("lead"))
     return pairs, every.filter("v is null").select(F.col("u").alias("node")).distinct()
@@ -230,7 +230,7 @@ def _rarity(texts: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(total[at])})
 
-    found = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(texts.select("text"), count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(RARITY_BUCKETS, dtype=np.int64)
     out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -265,7 +265,7 @@ def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
                     m = len(place)
                     yield pa.RecordBatch.from_arrays([pa.array(s[order[place]].view(np.int64)), pa.array(np.full(m, node)), pa.array(np.full(m, component)), pa.array(np.full(m, n)), pa.array(place + 1)], names=names)
 
-    rows = materialize(texts.select("node", "component", "text").mapInArrow(prefixes, "g long, node long, component long, n long, place long"), "prefixes")
+    rows = materialize(map_arrow(texts.select("node", "component", "text"), prefixes, "g long, node long, component long, n long, place long"), "prefixes")
     short = rows.filter(F.lit(100 + percent) * (F.col("n") - F.col("place") + 1) >= 2 * percent * F.col("n"))
     # What a row can have in common with a row of m shingles is enough if its room is at least percent * m.
     room = (100 + percent) * (F.col("n") - F.col("place") + 1) - percent * F.col("n")
@@ -320,7 +320,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int =
 
     left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     j = pairs.select("u", "v").join(left, "u").join(right, "v")
-    return j.select("u", "v", "text_u", "text_v").mapInArrow(check, "u long, v long")
+    return map_arrow(j.select("u", "v", "text_u", "text_v"), check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

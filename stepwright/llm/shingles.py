@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import TASK_MEMORIES
+
 #: Bound on the remembered word hashes of a worker.
 CACHE_WORDS = 250_000
 
 _HASHES: dict[bytes, int] = {}
+TASK_MEMORIES.append(_HASHES)
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_tasks, materialize
+from .common import few_tasks, map_arrow, materialize
 from .shingles import plain_words, scramble, word_hashes
 
 WINDOW = 35
@@ -227,7 +227,7 @@ def repeated_bits(rows: DataFrame) -> DataFrame:
             yield _answer(group)
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("chunk")).otherwise(F.col("bucket"))
-    return rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions("bucket").mapInArrow(answer, _BITS)
+    return map_arrow(rows.withColumn("spread", spread).repartition("spread").drop("spread").sortWithinPartitions("bucket"), answer, _BITS)
 
 
 def _by_chunk(bits: DataFrame, n_chunks: int) -> DataFrame:
@@ -341,11 +341,11 @@ def _run(docs: DataFrame, text: str, window: int, chunk_bytes: int, digest: bool
                 out = table.set_column(at, text, new).append_column("n_words", pa.array(n, pa.int64())).append_column("n_removed", pa.array(gone, pa.int64()))
             yield from out.to_batches(max_chunksize=2000)
 
-    asked = materialize(docs.mapInArrow(first, _ROWS), "anchors")
+    asked = materialize(map_arrow(docs, first, _ROWS), "anchors")
     n_chunks = asked.filter("bucket = -1").count()
     few = few_tasks(spark, n_chunks * buckets, 4096)
     anchor_bits = materialize(repeated_bits(asked).withColumn("step", F.lit(1)), "anchor-bits", few)
-    windows = materialize(_by_chunk(anchor_bits, n_chunks).mapInArrow(second, _ROWS), "windows")
+    windows = materialize(map_arrow(_by_chunk(anchor_bits, n_chunks), second, _ROWS), "windows")
     window_bits = materialize(repeated_bits(windows).withColumn("step", F.lit(2)), "window-bits", few)
     if digest:
         kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -353,7 +353,7 @@ def _run(docs: DataFrame, text: str, window: int, chunk_bytes: int, digest: bool
         from pyspark.sql.types import LongType, StructField, StructType
 
         kind = StructType([*schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    return _by_chunk(anchor_bits.unionByName(window_bits), n_chunks).mapInArrow(third, kind)
+    return map_arrow(_by_chunk(anchor_bits.unionByName(window_bits), n_chunks), third, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, values_of
+from .common import map_arrow, materialize, text_or_empty, values_of
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Sizes of the TIFF field types, and the tags in use.
@@ -293,7 +293,7 @@ def explode_pages(df: DataFrame, media: str = "media", carry: tuple[str, ...] =
                 yield emit(out, of)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    return df.select(media, *carry).mapInArrow(explode, f"{kinds}, {_PAGE}" if carry else _PAGE)
+    return map_arrow(df.select(media, *carry), explode, f"{kinds}, {_PAGE}" if carry else _PAGE)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -318,7 +318,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                     media.append(write_tiff([a[y : y + PAGE_ROWS] for y in range(0, len(a), PAGE_ROWS)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")), encode, "doc_id long, n_bytes long, media binary")
 
 
 def fold_payloads(pages: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def fold_payloads(pages: DataFrame) -> DataFrame:
             close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return pages.select("doc_id", "n_bytes", "media_bytes", "page", "media_sha256", "pixels", "error").mapInArrow(fold, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(pages.select("doc_id", "n_bytes", "media_bytes", "page", "media_sha256", "pixels", "error"), fold, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

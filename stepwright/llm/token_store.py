@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, fresh_dir, make_dir, materialize, open_store, text_or_empty, values_of
+from .common import attempt_name, fresh_dir, make_dir, map_arrow, materialize, open_store, text_or_empty, values_of
 
 MAGIC = b"TKPL"
 BLOCK_IDS = 16384
@@ -136,9 +136,14 @@ class Encoder:
 
 
 def _plain_space(text: str) -> bool:
-    """Is all white space single, and are the marks of this module absent?"""
-    single = len(text.split()) == text.count(" ") + text.count("\n") + 1 and not (_COMMA in text or _STOP in text or _LINE in text)
-    return single or not _UNSAFE.search(text)
+    """Is all white space single, and are the marks of this module absent?
+
+    The first test is the cheap one: a text whose words, joined by one space, give
+    it back has single spaces and line ends only. Other texts are searched.
+    """
+    if " ".join(text.split()) == text.replace("\n", " "):
+        return not (_COMMA in text or _STOP in text or _LINE in text)
+    return not _UNSAFE.search(text)
 
 
 def _plain_stops(text: str) -> bool:
@@ -322,7 +327,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return materialize(d.mapInArrow(write, "part long, file string, n_docs long, n_tokens long"), "token-files")
+    return materialize(map_arrow(d, write, "part long, file string, n_docs long, n_tokens long"), "token-files")
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -354,7 +359,7 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
     table = spark.createDataFrame(rows, "file string, start long")
-    return table.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_arrow(table.repartition(max(1, len(rows))), read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def store(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, values_of
+from .common import map_arrow, materialize, text_or_empty, values_of
 
 MAX_LABELLED = 20_000
 MAX_INDICATORS = 5_000
@@ -97,7 +97,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"k": pa.array(k), "n": pa.array(total[k])})
 
     counts = np.zeros(SYMBOLS**3, dtype=np.int64)
-    for r in docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(docs.select(text), count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
     return counts
 
@@ -329,7 +329,7 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
         toxic[""], clean[""] = n[1], n[0]
         yield flush()
 
-    counts = rows.select("text", "label").mapInArrow(count, "k string, t long, c long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = map_arrow(rows.select("text", "label"), count, "k string, t long, c long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = counts.filter("k = '' or t >= 3").persist()
     n = counts.filter("k = ''").select("t", "c").first() or (0, 0)
     nt, nc = n[0], n[1]
@@ -370,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
             x = [shared.value.strongest(t) for t in values_of(b.column(0))]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": b.column(1).cast(pa.int32())})
 
-    sample = rows.filter("fold = 4").select("text", "label").mapInArrow(measure, "x array<double>, y int").collect()  # bounded by max_labelled
+    sample = map_arrow(rows.filter("fold = 4").select("text", "label"), measure, "x array<double>, y int").collect()  # bounded by max_labelled
     if sample:
         x = np.array([[1.0, *r["x"][:-1]] for r in sample])
         y = np.array([float(r["y"] == 1) for r in sample])
@@ -391,7 +391,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
             s = [shared.value.score(t) for t in values_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([is_held_out(i) for i in b.column(0).to_pylist()]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def remove_toxic(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
@@ -404,7 +404,7 @@ def remove_toxic(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFra
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) < 0.5 for t in values_of(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, few_tasks, fresh_dir, make_dir, materialize, open_store, values_of
+from .common import attempt_name, few_tasks, fresh_dir, make_dir, map_arrow, materialize, open_store, values_of
 
 MIN_REVISIT = 100
 BLOCK_LINES = 2000
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
             out.close()
 
     schema = pa.schema([(k, pa.int64() if k in ("page_id", "offset", "length") else pa.string()) for k in ("url_key", "page_id", "url", "record_type", "digest", "file", "offset", "length")])
-    return materialize(with_revisits(pages, min_revisit).mapInArrow(write, CAPTURE), "captures")
+    return materialize(map_arrow(with_revisits(pages, min_revisit), write, CAPTURE), "captures")
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -195,7 +195,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     schema = pa.schema([("file", pa.string()), ("first_key", pa.string()), ("blocks", pa.int64()), ("captures", pa.int64())])
     order = ["url_key", "page_id", "file", "offset"]
     ranged = captures.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ranged.mapInArrow(write, "file string, first_key string, blocks long, captures long"), "index-files")
+    return materialize(map_arrow(ranged, write, "file string, first_key string, blocks long, captures long"), "index-files")
 
 
 def index_tail(start: int, length: int) -> bytes:
@@ -235,7 +235,7 @@ def scan_index(files: DataFrame, folder: str) -> DataFrame:
                         cols = list(zip(*read_block(f, offset, length)))
                         yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(kinds, cols)})
 
-    return files.select("file").repartition(files.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(read, CAPTURE)
+    return map_arrow(files.select("file").repartition(files.sparkSession.sparkContext.defaultParallelism * 2), read, CAPTURE)
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
@@ -277,7 +277,7 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
     size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = few_tasks(captures.sparkSession, size, 64 << 20)  # by archive bytes: captures are so small that they would be put in one task
     ranged = captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
-    return ranged.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_arrow(ranged, read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def lookup(urls: DataFrame, files: DataFrame, folder: str, column: str = "url") -> DataFrame:
@@ -314,7 +314,7 @@ def lookup(urls: DataFrame, files: DataFrame, folder: str, column: str = "url")
             cols = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(kinds, cols)})
 
-    return urls.select(F.col(column).cast("string")).mapInArrow(find, "query string, " + CAPTURE)
+    return map_arrow(urls.select(F.col(column).cast("string")), find, "query string, " + CAPTURE)
 
 
 def archive(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame, DataFrame, str]:

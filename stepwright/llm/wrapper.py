@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_tasks, materialize, values_of
+from .common import few_tasks, map_arrow, materialize, values_of
 
 MIN_SUPPORT = 5
 TEMPLATE_SHARE = 0.9
@@ -355,7 +355,7 @@ def induce(pages: DataFrame, refs: DataFrame, size: int) -> DataFrame:
                 total = {}
         yield pa.RecordBatch.from_pydict({"host": pa.array(list(total), pa.string()), "votes": pa.array([v.reshape(-1).tolist() for v in total.values()], pa.list_(pa.int64()))})
 
-    parts = _with(pages, refs, size).select("host", "html", "reference").mapInArrow(vote, "host string, votes array<long>")
+    parts = map_arrow(_with(pages, refs, size).select("host", "html", "reference"), vote, "host string, votes array<long>")
     summed = parts.select("host", F.posexplode("votes").alias("k", "v")).groupBy("host", "k").agg(F.sum("v").alias("v"))
     wrappers = summed.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("wrapper"))
     return refs.join(wrappers, "host", "left")
@@ -386,7 +386,7 @@ def extract(pages: DataFrame) -> DataFrame:
     refs = materialize(references(p), "references", few_tasks(spark, 0))
     size = refs.agg(F.coalesce(F.sum(F.length("reference") + F.length("host")), F.lit(0))).first()[0]
     wrappers = materialize(induce(p, refs, size), "wrappers", few_tasks(spark, 0))
-    return _with(p, wrappers, 2 * size).select("page_id", "url", "host", "html", "reference", "wrapper").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    return map_arrow(_with(p, wrappers, 2 * size).select("page_id", "url", "host", "html", "reference", "wrapper"), apply, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,18 @@ def test_encoder_agrees_with_its_library(encoder, text):
     assert np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.tuples(st.sampled_from(["ab", "x9", "é", "foo.", "w,", "漢", "3.5", ""]), st.sampled_from([" ", " ", "\n", "\t", "\n\n", "\n\n\n", "  ", "\u00a0", "\r\n"])), max_size=500))
+@settings(max_examples=150, deadline=None)
+def test_encoder_agrees_on_runs_of_white_space(encoder, parts):
+    text = "".join(a + b for a, b in parts)[:2000]
+    assert np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a\tb\tc\n\n\nd", "x\ty\tz\n\n\nw foo.", "col1\tcol2\tcol3\n\n\nnext", "a\x1cb c\n\nd", "a\u2003b c\n\nd", "end \n", "\n"])
+def test_tabs_do_not_hide_blank_lines(encoder, text):
+    assert np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("per_byte", [False, True])
 def test_token_file_round_trip(per_byte):
     rng, out = np.random.default_rng(3), io.BytesIO()
