@@ -70,7 +70,15 @@ def materialize(df: DataFrame, tag: str, tasks: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
     (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        remove_dir(t.sparkSession, t.stored_at)
 
 
 def remove_dir(spark: SparkSession, uri: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_tasks, map_arrow, materialize
+from .common import discard, few_tasks, map_arrow, materialize
 
 
 def contract_locally(edges: DataFrame) -> DataFrame:
@@ -63,11 +63,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     meet in equi-joins whose hot keys the adaptive planner can split.
     """
     spark, mark = edges.sparkSession, None
-    now = materialize(contract_locally(edges), "edges")
+    now = materialize(contract_locally(edges), "edges", 4 * few_tasks(spark, 0))
     for _ in range(max_rounds):
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == mark or after[0] == 0:
             return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
-        mark = after
-        now = materialize(_small_star(_large_star(now)), "edges", few_tasks(spark, after[0]))
+        mark, before = after, now
+        now = materialize(_small_star(_large_star(before)), "edges", few_tasks(spark, after[0]))
+        discard(before)
     raise RuntimeError("components did not settle")

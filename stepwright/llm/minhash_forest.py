@@ -1,8 +1,8 @@
 """MinHash near-dedup with an LSH forest.
 
 A document is its set of distinct ``k``-word shingles. Documents with equal
-sets are one class, represented by its smallest doc_id; only representatives
-enter the forest. Each has ``trees`` signature prefixes of ``depth`` minhashes,
+sets are one class, which has a number; only classes enter the forest, as
+representatives. Each has ``trees`` signature prefixes of ``depth`` minhashes,
 one per tree. A tree is its representatives in the order of their prefix, over
 all tasks (range partitions; the representative's id breaks ties, so no region
 is one task's alone). Candidates of a representative are the next ones in that
@@ -31,7 +31,8 @@ Defined cases: null or wordless texts have n_shingles 0, link with nothing and
 are their own component. Rows that repeat a doc_id are one node if their sets
 are equal. A null doc_id takes the component of its set; if no row of the set
 has a doc_id the component is null. kept is doc_id = component_id, null-safe.
-Other columns are ignored. No rows in, no rows out.
+Rows that repeat a doc_id with another set are nodes of their own, and each has
+the component of its set. Other columns are ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TASK_TEXTS, few_tasks, map_arrow, materialize, values_of
+from .common import TASK_TEXTS, discard, few_tasks, map_arrow, materialize, values_of
 from .components import components
 from .shingles import fold_words, shingle_set
 
@@ -58,6 +59,8 @@ LEAD_TREES = 4
 MIN_EQUAL_BITS = 98
 #: Buckets of shingles whose counts order the shingles of crowded rows; any order gives the same pairs.
 RARITY_BUCKETS = 1 << 20
+#: Ranges of a tree whose borders one task looks at, and those before them that it sees too.
+BORDER_RANGES, BORDER_OVERLAP = 256, 8
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -72,6 +75,14 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _name(s: np.ndarray) -> tuple:
+    """128 bits that name a set, as two signed numbers; none for the empty set."""
+    if not len(s):
+        return None, None
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def features(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (128 bits that name the set) and signature (128 minhashes)."""
     import pyarrow as pa
@@ -82,15 +93,10 @@ def features(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame
             for t in values_of(b.column(1)):
                 s = shingle_set(fold_words(t), k)
                 n.append(len(s))
-                if len(s):
-                    d = xxhash.xxh3_128_digest(s.tobytes())
-                    k1.append(int.from_bytes(d[:8], "little", signed=True))
-                    k2.append(int.from_bytes(d[8:], "little", signed=True))
-                    sig.append(minhashes(s).tobytes())
-                else:
-                    k1.append(None)
-                    k2.append(None)
-                    sig.append(None)
+                x, y = _name(s)
+                k1.append(x)
+                k2.append(y)
+                sig.append(minhashes(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "signature"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), compute, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
@@ -170,8 +176,8 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, look_ahead: int = LOOK_AHEAD, keep: int = KEEP, lead_trees: int = LEAD_TREES) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs u < v with ``lead``, true for nearest neighbours in the leading trees; and the crowded rows (node)."""
+def candidate_pairs(reps: DataFrame, few: int, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, look_ahead: int = LOOK_AHEAD, keep: int = KEEP, lead_trees: int = LEAD_TREES) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: distinct candidate pairs u < v with ``lead``, true for nearest neighbours in the leading trees; and the crowded rows (node)."""
     import pyarrow as pa
 
     width = 1 + 4 * depth
@@ -210,36 +216,69 @@ def candidate_pairs(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, min
     schema = "u long, v long, lead boolean, part long, path binary, sketch binary, n_shingles long"
     rows = forest_rows(reps, trees, depth).repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
     found = materialize(map_arrow(rows, search, schema), "forest")
-    # The first and last rows of each range meet once more, in order: neighbours across a border.
-    borders = found.filter("part is not null").select("path", F.col("u").alias("rep"), "n_shingles", "sketch").coalesce(1).sortWithinPartitions("path", "rep")
+    # The first and last rows of each range meet once more, in order: neighbours across a border. A task takes
+    # BORDER_RANGES ranges and the few before them, so that its first row too has the neighbours it had.
+    group = F.floor(F.col("part") / BORDER_RANGES)
+    last = F.pmod(F.col("part"), F.lit(BORDER_RANGES)) >= BORDER_RANGES - BORDER_OVERLAP
+    borders = found.filter("part is not null").withColumn("group", F.explode(F.when(last, F.array(group, group + 1)).otherwise(F.array(group))))
+    borders = borders.select("group", "path", F.col("u").alias("rep"), "n_shingles", "sketch").repartition("group").sortWithinPartitions("group", "path", "rep").drop("group")
     across = map_arrow(borders, lambda batches: search(batches, False), schema)
     every = found.filter("part is null").select("u", "v", "lead").unionByName(across.select("u", "v", "lead"))
     pairs = every.filter("v is not null").groupBy("u", "v").agg(F.max("lead").alias("lead"))
-    return pairs, every.filter("v is null").select(F.col("u").alias("node")).distinct()
+    pairs, crowded = materialize(pairs, "pairs", few), materialize(every.filter("v is null").select(F.col("u").alias("node")).distinct(), "crowded", few)
+    discard(found)
+    return pairs, crowded
 
 
-def _rarity(texts: DataFrame, k: int) -> np.ndarray:
-    """How many shingles of the texts fall into each bucket; a table of fixed size."""
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each bucket; a table of fixed size."""
     import pyarrow as pa
 
     def count(batches):
         total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for b in batches:
-            for t in values_of(b.column(0)):
-                np.add.at(total, (shingle_set(fold_words(t), k) % np.uint64(RARITY_BUCKETS)).astype(np.int64), 1)
+            for raw in values_of(b.column(0)):
+                np.add.at(total, (_set(raw) % np.uint64(RARITY_BUCKETS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(total[at])})
 
-    found = map_arrow(texts.select("text"), count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(sets.select("set"), count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(RARITY_BUCKETS, dtype=np.int64)
     out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Every pair that can reach the similarity among rows of (node, component, text) of different components.
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u8")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, k: int) -> DataFrame:
+    """(node, set) for ``wanted`` rows of (node, rep, k1, k2): the shingles of the rows of doc_id ``rep`` whose set has that name.
+
+    A doc_id may repeat with other texts: its rows are told apart by the name of their set.
+    """
+    import pyarrow as pa
+
+    def compute(batches):
+        for b in batches:
+            nodes, sets = [], []
+            for node, k1, k2, t in zip(*map(values_of, b.columns)):
+                s = shingle_set(fold_words(t), k)
+                if _name(s) == (k1, k2):
+                    nodes.append(node)
+                    sets.append(s.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).filter("rep is not null and text is not null")
+    found = plain.join(wanted.hint("merge"), "rep")
+    return map_arrow(found.groupBy("rep", "node", "k1", "k2", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("node", "k1", "k2", "text"), compute, "node long, set binary")
+
+
+def crowded_pairs(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every pair that can reach the similarity among rows of (node, component, set) of different components.
 
-    u < v, both components and ``shared``, how many prefix shingles the pair has in common.
+    u < v, both components and ``shared``, how many prefix shingles the pair has
+    in common; and the stored table of prefixes behind it.
 
     The shingles of a row are in one order for all rows, rare ones first. The
     first common one of a pair lies in the prefix of both: its places bound what
@@ -249,14 +288,13 @@ def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     """
     import pyarrow as pa
 
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(_rarity(texts, k))
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def prefixes(batches):
         names = ["g", "node", "component", "n", "place"]
         for b in batches:
-            for node, component, text in zip(*(values_of(b.column(i)) for i in range(3))):
-                s = shingle_set(fold_words(text), k)
+            for node, component, raw in zip(*(values_of(b.column(i)) for i in range(3))):
+                s = _set(raw)
                 n = len(s)
                 often = shared.value[(s % np.uint64(RARITY_BUCKETS)).astype(np.int64)]
                 order = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
@@ -265,7 +303,7 @@ def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
                     m = len(place)
                     yield pa.RecordBatch.from_arrays([pa.array(s[order[place]].view(np.int64)), pa.array(np.full(m, node)), pa.array(np.full(m, component)), pa.array(np.full(m, n)), pa.array(place + 1)], names=names)
 
-    rows = materialize(map_arrow(texts.select("node", "component", "text"), prefixes, "g long, node long, component long, n long, place long"), "prefixes")
+    rows = materialize(map_arrow(sets.select("node", "component", "set"), prefixes, "g long, node long, component long, n long, place long"), "prefixes")
     short = rows.filter(F.lit(100 + percent) * (F.col("n") - F.col("place") + 1) >= 2 * percent * F.col("n"))
     # What a row can have in common with a row of m shingles is enough if its room is at least percent * m.
     room = (100 + percent) * (F.col("n") - F.col("place") + 1) - percent * F.col("n")
@@ -286,7 +324,7 @@ def crowded_pairs(texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     j = j.join(y.hint("merge"), ["g", "cy"]).filter(meet(nx, nx, rx, ny, ny, ry)).filter((nx < ny) | (F.col("x") < F.col("y")))
     first = F.col("x") < F.col("y")
     j = j.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.when(first, F.col("cx")).otherwise(F.col("cy")).alias("cu"), F.when(first, F.col("cy")).otherwise(F.col("cx")).alias("cv"))
-    return j.groupBy("u", "v", "cu", "cv").agg(F.count(F.lit(1)).alias("shared"))
+    return j.groupBy("u", "v", "cu", "cv").agg(F.count(F.lit(1)).alias("shared")), rows
 
 
 def _still_apart(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
@@ -299,58 +337,62 @@ def _stars(so_far: DataFrame) -> DataFrame:
     return so_far.select(F.col("component").alias("u"), F.col("node").alias("v"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the similarity; ``texts`` has node and text."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the similarity; ``sets`` has node and set."""
     import pyarrow as pa
 
     def check(batches):
-        last, s = None, None
         for b in batches:
-            u, v, tu, tv = b.columns
+            u, v, su, sv = b.columns
             out = []
-            for i, (x, a, c) in enumerate(zip(values_of(u), values_of(tu), values_of(tv))):
-                if last is None or x != last:
-                    last, s = x, shingle_set(fold_words(a), k)
-                t = shingle_set(fold_words(c), k)
+            for i, (x, y) in enumerate(zip(values_of(su), values_of(sv))):
+                s, t = _set(x), _set(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     out.append(i)
             take = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([u.take(take), v.take(take)], names=["u", "v"])
 
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
     j = pairs.select("u", "v").join(left, "u").join(right, "v")
-    return map_arrow(j.select("u", "v", "text_u", "text_v"), check, "u long, v long")
+    return map_arrow(j.select("u", "v", "set_u", "set_v"), check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Distinct sets are numbered, and candidates, links and components are made of
+    these numbers; a component then takes the smallest doc_id of its sets.
+    """
     feats = materialize(features(docs, text, k), "minhash")
-    classes = feats.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     few = few_tasks(docs.sparkSession, feats.count())
-    classes = materialize(classes.filter("rep is not null"), "classes", few)
-    named = feats.select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "signature")
-    reps = named.join(classes, ["rep", "k1", "k2"], "left_semi")
-    pairs, crowded = candidate_pairs(reps)
-    pairs, crowded = materialize(pairs, "pairs", few), materialize(crowded, "crowded", few)
+    classes = feats.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = materialize(classes.filter("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes", few)
+    pairs, crowded = candidate_pairs(classes.withColumnRenamed("rep", "doc_id").withColumnRenamed("node", "rep"), few)
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowded).distinct()
-    plain = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
-    texts = materialize(plain.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts", 4 * few)
-    first = materialize(confirm(pairs.filter("lead"), texts, k, percent), "links", 4 * few)
+    wanted = classes.select("node", "rep", "k1", "k2").join(nodes.hint("merge"), "node", "left_semi")
+    sets = materialize(shingle_sets(docs, wanted, text, k), "candidate-sets", 2 * few)
+    first = materialize(confirm(pairs.filter("lead"), sets, percent), "links", 2 * few)
     so_far = components(first)
-    second = materialize(confirm(_still_apart(pairs.filter("not lead"), so_far), texts, k, percent), "links", 4 * few)
+    second = materialize(confirm(_still_apart(pairs.filter("not lead"), so_far), sets, percent), "links", 2 * few)
     final = components(_stars(so_far).unionByName(second))
+    scratch = [first, second]
     if not crowded.isEmpty():
         members = crowded.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        rest = materialize(crowded_pairs(texts.join(members.hint("merge"), "node"), k, percent), "crowded-pairs", few)
+        found, prefixes = crowded_pairs(sets.join(members.hint("merge"), "node"), percent)
+        rest = materialize(found, "crowded-pairs", few)
         likely = rest.groupBy(F.least("cu", "cv"), F.greatest("cu", "cv")).agg(F.max(F.struct("shared", "u", "v")).alias("p")).select("p.u", "p.v")
-        third = materialize(confirm(likely, texts, k, percent), "links", 4 * few)
+        third = materialize(confirm(likely, sets, percent), "links", 2 * few)
         so_far = components(_stars(final).unionByName(third))
-        fourth = materialize(confirm(_still_apart(rest, so_far), texts, k, percent), "links", 4 * few)
+        fourth = materialize(confirm(_still_apart(rest, so_far), sets, percent), "links", 2 * few)
         final = components(_stars(so_far).unionByName(fourth))
-    named = classes.join(final, classes["rep"] == final["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+        scratch += [prefixes, rest, third, fourth]
+    discard(pairs, crowded, sets, *scratch)
+    placed = classes.select("k1", "k2", "rep", "node").join(final, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = placed.select("k1", "k2", "root").join(least.hint("merge"), "root").drop("root")
     j = feats.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return j.select("doc_id", "n_shingles", component.alias("component_id")).coalesce(few).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -362,7 +404,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark, names = docs.sparkSession, docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    stored = materialize(row, "dedup-input")
+    stored = materialize(row, "dedup-input", few_tasks(spark, docs.count(), TASK_TEXTS))
     found = near_duplicates(stored.select(F.col("rid").alias("doc_id"), F.col("row").getField(text).alias("text")))
     ids = stored.select("rid", F.col("row").getField("doc_id").cast("long").alias("id"))
     named = found.select(F.col("doc_id").alias("rid"), "component_id").join(ids.hint("merge"), "rid")

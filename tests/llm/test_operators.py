@@ -148,6 +148,35 @@ def test_links_inside_a_crowd_of_one_template(spark, monkeypatch):
     assert got == {i: i for i in range(400)} | {1000 + m: m * 30 for m in range(12)}
 
 
+def test_repeated_ids_with_other_texts_are_nodes_of_their_own(spark):
+    a, b = prose(300, 200), prose(301, 200)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " end"), (1, a), (None, b), (None, None), (4, "")]
+    got = sorted(map(tuple, minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (4, 4, True)], key=str)
+
+
+def test_neighbours_across_many_borders(spark, monkeypatch):
+    """Ranges of a few rows each, three to a task: the same links as in one range."""
+    monkeypatch.setattr(minhash_forest, "BORDER_RANGES", 3)
+    monkeypatch.setattr(minhash_forest, "BORDER_OVERLAP", 1)
+    docs = []
+    for group in range(60):
+        base = prose(400 + group, 120).split()
+        docs += [(2 * group, " ".join(base)), (2 * group + 1, edited(base, group + 1, 0.02))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sets = {i: shingle_set(fold_words(t), 5) for i, t in docs}
+    for group in range(60):
+        s, t = sets[2 * group], sets[2 * group + 1]
+        both = len(np.intersect1d(s, t))
+        assert got[2 * group] == 2 * group
+        assert (got[2 * group + 1] == 2 * group) == (100 * both >= 80 * (len(s) + len(t) - both))
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5000, 5001)], "u long, v long").repartition(7)
