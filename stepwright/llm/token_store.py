@@ -29,10 +29,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attempt_name, fresh_dir, make_dir, map_arrow, materialize, open_store, text_or_empty, values_of
+from .common import attempt_name, few_tasks, fresh_dir, make_dir, map_arrow, open_store, text_or_empty, values_of
 
 MAGIC = b"TKPL"
 BLOCK_IDS = 16384
+#: Tokens that a task reads back.
+READ_TOKENS = 32 << 20
 END_ID = 0
 _HEAD = struct.Struct("<4sIIII")
 _TAIL = struct.Struct("<QIQIQ4s")
@@ -300,7 +302,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
     """Encode and write ``docs`` below ``folder``; one row per file in doc_id order: part, file, n_docs, n_tokens.
 
     Texts are dealt by range over doc_id, then encoded and written in the same
-    task: ids never cross the network.
+    task: ids never cross the network. The list of files, a row for each task
+    that wrote one, is the driver's; a task that runs again names its own file.
     """
     import pyarrow as pa
 
@@ -327,7 +330,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return materialize(map_arrow(d, write, "part long, file string, n_docs long, n_tokens long"), "token-files")
+    kind = "part long, file string, n_docs long, n_tokens long"
+    return docs.sparkSession.createDataFrame(map_arrow(d, write, kind).collect(), kind)
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -359,7 +363,8 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
     table = spark.createDataFrame(rows, "file string, start long")
-    return map_arrow(table.repartition(max(1, len(rows))), read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    tasks = max(1, min(len(rows), few_tasks(spark, before, READ_TOKENS)))
+    return map_arrow(table.repartition(tasks), read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def store(spark: SparkSession, docs: DataFrame) -> DataFrame:

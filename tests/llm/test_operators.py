@@ -252,6 +252,26 @@ def test_mix_is_near_targets_and_repeats_itself(spark):
     assert all(abs(taken - len(sizes) * target) < 0.03 * taken for _, taken, target, sizes in by.values())
 
 
+def test_shards_hold_whole_blocks_in_the_drawn_places(spark, edge_dir):
+    """Every slot has one place; the words of a document in all shards are the words taken."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    shards = mix.mixed_shards(docs, block_words=8, shard_slots=16).collect()
+    places = sorted((r["shard"], r["place"]) for r in shards)
+    assert places == [(i // 16, i % 16) for i in range(len(places))] and len(places) > 100
+    rows = common.materialize(mix.sized(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"), "t")
+    taken = {}
+    for r in mix.taken_words(rows, block_words=8).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    assert sum(len([w for w in r["text"].replace("\x1f", "?").split() if w]) for r in shards) == sum(taken.values())
+    assert {i for r in shards for i in r["doc_ids"]} == {i for i, n in taken.items() if n}
+    by_shard = {}
+    for r in shards:
+        by_shard.setdefault(r["shard"], []).append(r["source"])
+    assert len({tuple(x) for x in by_shard.values()}) > 1  # the draw differs by shard
+
+
 def test_mixed_documents_hold_the_words_taken(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     mixed = mix.mixed_documents(docs, block_words=8)
