@@ -283,38 +283,76 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
 def lookup(urls: DataFrame, files: DataFrame, folder: str, column: str = "url") -> DataFrame:
     """Captures of each URL in ``urls``, by two binary searches and range reads.
 
-    The driver holds one key per index file (as many as tasks wrote the index);
-    a task searches the block directory of the file it has come to.
+    The driver holds one key per index file (as many as tasks wrote the index).
+    A URL goes to each file that can hold its key, found by binary search over
+    these; a file's URLs meet in one task, in key order, which searches the file's
+    block directory and reads the blocks from there. A key with a third of all
+    captures lies in many files, so in many tasks.
     """
     import pyarrow as pa
 
     entries = sorted((r["first_key"], r["file"]) for r in files.select("first_key", "file").collect())
-    keys = [k for k, _ in entries]
+    first_keys = [k for k, _ in entries]
     kinds = [("query", pa.string()), ("url_key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 
+    def places(batches):
+        for b in batches:
+            rows = []
+            for url in values_of(b.column(0)):
+                key = url_key(url)
+                first = max(0, bisect.bisect_left(first_keys, key) - 1)
+                rows += [(url, key, i) for i in range(first, bisect.bisect_right(first_keys, key))]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_pydict({"query": pa.array(cols[0], pa.string()), "url_key": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int64())})
+
     def find(batches):
         fs, base = open_store(folder)
-        directories: dict = {}
+        n, f, blocks, held = None, None, [], {}
         for b in batches:
-            out = []
-            for url in b.column(0).to_pylist():
-                key = url_key(url)
-                i = max(0, bisect.bisect_left(keys, key) - 1)
-                while i < len(keys) and keys[i] <= key:
-                    name = entries[i][1]
-                    if name not in directories:
-                        directories[name] = read_directory(fs, f"{base}/{name}")
-                    blocks = directories[name]
-                    j = max(0, bisect.bisect_left(blocks, key, key=lambda x: x[0]) - 1)
-                    with fs.open_input_file(f"{base}/{name}") as f:
-                        while j < len(blocks) and blocks[j][0] <= key:
-                            out += [(url, *row) for row in read_block(f, blocks[j][1], blocks[j][2]) if row[0] == key]
-                            j += 1
-                    i += 1
-            cols = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(kinds, cols)})
-
-    return map_arrow(urls.select(F.col(column).cast("string")), find, "query string, " + CAPTURE)
+            out: list = []
+            for url, key, i in zip(*map(values_of, b.columns)):
+                if i != n:
+                    if f is not None:
+                        f.close()
+                    n, path, held = i, f"{base}/{entries[i][1]}", {}
+                    blocks, f = read_directory(fs, path), fs.open_input_file(path)
+                j = max(0, bisect.bisect_left(blocks, key, key=lambda x: x[0]) - 1)
+                held = {k: v for k, v in held.items() if k >= j}
+                while j < len(blocks) and blocks[j][0] <= key:
+                    if j not in held:
+                        held = {k: v for k, v in held.items() if k >= j - 1} | {j: read_block(f, blocks[j][1], blocks[j][2])}
+                    lines = held[j]
+                    at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                    while at < len(lines) and lines[at][0] == key:
+                        out.append((url, *lines[at]))
+                        at += 1
+                    j += 1
+                    if len(out) > 20_000:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
+        if f is not None:
+            f.close()
+
+    def batch(rows):
+        cols = list(zip(*rows)) or [()] * len(kinds)
+        return pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(kinds, cols)})
+
+    asked = map_arrow(urls.select(F.col(column).cast("string")), places, "query string, url_key string, n long")
+    return map_arrow(asked.repartition("n").sortWithinPartitions("n", "url_key"), find, "query string, " + CAPTURE)
+
+
+def one_url_per_key(pages: DataFrame) -> DataFrame:
+    """(url): for each key of the index, one URL that has it."""
+    import pyarrow as pa
+
+    def keys(batches):
+        for b in batches:
+            urls = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in urls], pa.string()), b.column(0)], names=["url_key", "url"])
+
+    urls = pages.select(F.col("url").cast("string").alias("url")).distinct()
+    return map_arrow(urls, keys, "url_key string, url string").groupBy("url_key").agg(F.min("url").alias("url")).select("url")
 
 
 def archive(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame, DataFrame, str]:
@@ -325,9 +363,11 @@ def archive(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISI
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: archive every page, then read every record back through the index."""
-    _, files, folder = archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    found = read_records(materialize(scan_index(files, folder), "index-scan"), folder)
+    """op10: archive every page, then look every URL key up in the index and read the records back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    _, files, folder = archive(spark, pages)
+    captures = materialize(lookup(one_url_per_key(pages), files, folder), "found", few_tasks(spark, 0))
+    found = read_records(captures, folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

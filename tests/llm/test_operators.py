@@ -463,3 +463,13 @@ def test_lookup_over_many_blocks(spark, monkeypatch):
     urls = spark.createDataFrame([(u,) for u in sorted({r[1] for r in rows})[:60]], "url string")
     got = sorted((r["query"], r["page_id"]) for r in warc.lookup(urls, files, folder).collect())
     assert got == sorted((u, i) for i, u, _ in rows if u in {r["url"] for r in urls.collect()})
+
+
+def test_every_capture_is_found_by_its_key(spark):
+    """One URL with most captures, in many blocks and files; URLs that share a key; null and empty URLs."""
+    urls = ["http://hot.example/a"] * 700 + [f"http://h{i % 13}.example/{i}" for i in range(150)] + ["http://www.x.example/", "https://x.example", None, "", None]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(4)
+    folder = common.fresh_dir(spark, "warc")
+    files = warc.write_index(warc.write_archives(pages, folder), folder, block_lines=7)
+    got = sorted(r["page_id"] for r in warc.lookup(warc.one_url_per_key(pages), files, folder).collect())
+    assert got == list(range(len(urls)))
