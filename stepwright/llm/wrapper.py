@@ -7,9 +7,11 @@ simple tree matching, and votes: for each node of the reference, how many pages
 have a matching node, and how many of these have the same text. Summed over all
 pages of the host the votes are its wrapper: nodes with the same text nearly
 everywhere are template, varying slots are content. A page is then aligned with
-the wrapper again: the node that spans its varying slots is its content, and
-what the template or a role (menu, footer, advert, form, comments, ...) marks
-inside it is left out.
+the wrapper again. Its content is where its varying slots are: the outermost
+article and main elements if these hold half of that text, else the lowest node
+over all of it. What the template or a role (menu, footer, advert, form,
+comments, ...) marks inside is left out. Roles come from elements, ARIA roles and
+words of classes and ids, a compound word only if all its parts fit.
 
 The wrappers are a table by host. It is broadcast if its size, which is
 measured, is below ``BROADCAST_BYTES``; beyond that pages meet it in a merge
@@ -34,14 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import few_tasks, map_arrow, materialize, values_of
 
-MIN_SUPPORT = 5
-TEMPLATE_SHARE = 0.9
-MAX_TEMPLATE = 0.3
+MIN_SUPPORT = 3
+#: A node is template if it is on this share of the host's pages and has the same text on this share of those.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 0.5, 0.9
+MAX_TEMPLATE = 0.7
 BROADCAST_BYTES = 32 << 20
 CACHE_HOSTS = 5_000
 
 #: Elements of HTML by what they mean for text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "object", "canvas", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "title", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "button", "label", "legend"}
 BREAKS = {"br", "hr"}
@@ -49,42 +52,59 @@ CLOSES_P = BLOCK - {"button", "label", "option", "legend", "caption", "title"}
 SIBLING_CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "menu", "body", "html", "div", "article", "section", "main", "nav", "aside", "form", "blockquote", "td", "th", "footer", "header", "figure", "details"}
 ROLE_TAGS = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "search"}
-ROLE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "commentlist", "disqus", "consent", "cookie", "cookies", "cookie-notice", "copyright", "footer", "header", "menu", "nav", "navbar", "navigation", "masthead", "newsletter", "notice", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "replies", "reply", "responses", "share", "sharing", "sidebar", "side-bar", "site-footer", "site-header", "skip-link", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+ROLE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "disqus", "consent", "cookie", "cookies", "copyright", "footer", "header", "menu", "nav", "navbar", "navigation", "masthead", "newsletter", "notice", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "replies", "reply", "responses", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Parts that a class or id may have beside a word of a role and still name that role: "comment-list", but not "ad-hoc".
+ROLE_PARTS = {"area", "bar", "block", "body", "bottom", "box", "buttons", "column", "container", "content", "form", "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site", "skip", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
 ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 MAIN_TAGS = {"article", "main"}
 
 _LEX = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPLIT = re.compile(r"[\s_]+")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NUMBER = re.compile(r"\d*")
 
 
 class Node:
-    """A block element: its tag, whether it has a boilerplate role, and its child nodes and text runs in order."""
+    """A block element: its tag, whether it has a boilerplate role, and its child nodes and text runs in order.
 
-    __slots__ = ("tag", "role", "items", "kids")
+    ``shape`` is equal for nodes whose trees have the same tags and roles.
+    """
+
+    __slots__ = ("tag", "role", "items", "kids", "shape")
 
     def __init__(self, tag: str, role: bool = False):
-        self.tag, self.role, self.items, self.kids = tag, role, [], []
+        self.tag, self.role, self.items, self.kids, self.shape = tag, role, [], [], 0
 
     def text(self) -> str:
         return "\n".join(x for x in self.items if isinstance(x, str))
 
 
+def _names_role(word: str, in_main: bool) -> bool:
+    """Does one word of a class or id name a boilerplate role? Inside an article its own header does not."""
+    parts = [x for x in word.replace("_", "-").split("-") if not _NUMBER.fullmatch(x)]
+    named = [x for x in parts if x in ROLE_WORDS and not (in_main and x == "header")]
+    return bool(named) and all(x in ROLE_WORDS or x in ROLE_PARTS for x in parts)
+
+
 def _role(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ROLE_TAGS or (tag == "header" and not in_main):
         return True
     if not attributes or tag in ("html", "body"):
         return False
+    seen = set()
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "role" and value in ARIA:
+        if name == "role" and value.strip() in ARIA:
             return True
-        if name in ("class", "id") and tag not in MAIN_TAGS:
-            for word in _SPLIT.split(value):
-                if word in ROLE_WORDS or word.split("-")[0] in ROLE_WORDS or word.split("-")[-1] in ROLE_WORDS:
-                    return True
+        if name in ("class", "id"):
+            words = value.split()
+            if any(w in COMMENT_WORDS for w in words) if tag in MAIN_TAGS else any(_names_role(w, in_main) for w in words):
+                return True
     return False
 
 
@@ -174,6 +194,8 @@ def parse(html: str) -> Node:
         if tag in MAIN_TAGS:
             main_depth += 1
     flush()
+    for x in reversed(nodes_of(root)):  # children come before their parents
+        x.shape = hash((x.tag, x.role, *[k.shape for k in x.kids]))
     return root
 
 
@@ -181,51 +203,77 @@ def _key(node: Node) -> tuple:
     return node.tag, node.role
 
 
-def match(a: Node, b: Node) -> tuple[int, list]:
-    """Simple tree matching of two trees with equal roots: size, and the matched pairs of nodes.
+def _align(a: Node, b: Node, chosen: dict):
+    """Size of the largest matching of two trees with equal roots; asks for those of children by yielding them.
 
-    Leaves at both ends of two child lists are matched without the quadratic
-    table, which is what long runs of paragraphs come to.
+    Children at both ends of the two lists whose trees have one shape are paired
+    without the quadratic table, which is what runs of paragraphs come to: such a
+    pair matches all of both trees, so no other matching is larger.
     """
-    if _key(a) != _key(b):
-        return 0, []
-    pairs, size = [(a, b)], 1
-    x, y, i = a.kids, b.kids, 0
-    while i < len(x) and i < len(y) and _key(x[i]) == _key(y[i]):
-        n, p = match(x[i], y[i])
-        size += n
-        pairs += p
+    x, y, i, j = a.kids, b.kids, 0, 0
+    while i < len(x) and i < len(y) and x[i].shape == y[i].shape:
         i += 1
-    j = 0
-    while j < len(x) - i and j < len(y) - i and _key(x[-1 - j]) == _key(y[-1 - j]):
-        n, p = match(x[-1 - j], y[-1 - j])
-        size += n
-        pairs += p
+    while j < len(x) - i and j < len(y) - i and x[-1 - j].shape == y[-1 - j].shape:
         j += 1
+    ends = [*zip(x[:i], y[:i]), *zip(x[len(x) - j :], y[len(y) - j :])]
+    size, middle = 1, []
+    for pair in ends:
+        size += yield pair
     x, y = x[i : len(x) - j], y[i : len(y) - j]
     if x and y:
-        best = [[(0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for r in range(1, len(x) + 1):
-            for c in range(1, len(y) + 1):
-                up, left = best[r - 1][c][0], best[r][c - 1][0]
-                found = (up, None) if up >= left else (left, None)
-                if _key(x[r - 1]) == _key(y[c - 1]):
-                    n, p = match(x[r - 1], y[c - 1])
-                    if best[r - 1][c - 1][0] + n > found[0]:
-                        found = (best[r - 1][c - 1][0] + n, p)
-                best[r][c] = found
+        worth: dict = {}
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for r in range(len(x)):
+            for c in range(len(y)):
+                most = max(best[r][c + 1], best[r + 1][c])
+                if _key(x[r]) == _key(y[c]):
+                    worth[r, c] = n = yield x[r], y[c]
+                    most = max(most, best[r][c] + n)
+                best[r + 1][c + 1] = most
         r, c = len(x), len(y)
-        size += best[r][c][0]
+        size += best[r][c]
         while r and c:
-            n, p = best[r][c]
-            if p is not None:
-                pairs += p
-                r, c = r - 1, c - 1
-            elif best[r - 1][c][0] >= best[r][c - 1][0]:
+            if best[r][c] == best[r - 1][c]:
                 r -= 1
-            else:
+            elif best[r][c] == best[r][c - 1]:
                 c -= 1
-    return size, pairs
+            else:
+                r, c = r - 1, c - 1
+                middle.append((x[r], y[c]))
+    chosen[id(a), id(b)] = ends + middle
+    return size
+
+
+def match(a: Node, b: Node) -> tuple[int, list]:
+    """Simple tree matching of two trees: the size of the largest matching that keeps order and levels, and its pairs of nodes.
+
+    Works with a stack of its own: pages may be nested deeper than Python's calls.
+    """
+    if _key(a) != _key(b):
+        return 0, []
+    chosen: dict = {}
+    stack, said = [_align(a, b, chosen)], None
+    while stack:
+        try:
+            x, y = stack[-1].send(said)
+        except StopIteration as end:
+            stack.pop()
+            said = end.value
+            continue
+        if x.shape == y.shape:
+            said = len(nodes_of(x))
+        else:
+            stack.append(_align(x, y, chosen))
+            said = None
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.shape == y.shape:
+            pairs += zip(nodes_of(x), nodes_of(y))
+        else:
+            pairs.append((x, y))
+            todo += chosen[id(x), id(y)]
+    return len(pairs), pairs
 
 
 def nodes_of(root: Node) -> list[Node]:
@@ -238,80 +286,93 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
+def outside_roles(root: Node) -> list[Node]:
+    """The nodes in document order without those of a role and all below them."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if not x.role:
+            out.append(x)
+            todo += reversed(x.kids)
+    return out
+
+
+def _length(x: Node) -> int:
+    return sum(len(t) for t in x.items if isinstance(t, str))
+
+
 def votes(page: Node, reference: list[Node]) -> np.ndarray:
-    """Two numbers for each reference node: is it matched, and with the same text."""
+    """Three numbers for each reference node: is it matched, with the same text, and (at the root) the page's text outside roles."""
     index = {id(x): i for i, x in enumerate(reference)}
-    out = np.zeros((len(reference), 2), dtype=np.int64)
+    out = np.zeros((len(reference), 3), dtype=np.int64)
     for r, p in match(reference[0], page)[1]:
         i = index[id(r)]
         out[i, 0] += 1
         out[i, 1] += r.text() == p.text()
+    out[0, 2] = sum(map(_length, outside_roles(page)))
     return out
 
 
-def template_texts(page: Node, reference: list[Node], wrapper: np.ndarray) -> set[int]:
-    """Ids of page nodes whose text is the host's template: matched and constant, on enough pages."""
+def constant_nodes(reference: list[Node], wrapper: np.ndarray) -> np.ndarray:
+    """Which reference nodes are the host's template, by the votes of all its pages.
+
+    Where constant text is over ``MAX_TEMPLATE`` of the host's text outside roles,
+    its pages are copies of one article rather than frames around different ones,
+    and nothing is template.
+    """
+    none = np.zeros(len(reference), dtype=bool)
     if not len(wrapper) or wrapper[0, 0] < MIN_SUPPORT:
+        return none
+    constant = (wrapper[:, 0] >= TEMPLATE_PAGES * wrapper[0, 0]) & (wrapper[:, 1] >= TEMPLATE_SHARE * wrapper[:, 0])
+    plain = {id(x) for x in outside_roles(reference[0])}
+    same = sum(int(wrapper[i, 1]) * _length(x) for i, x in enumerate(reference) if constant[i] and id(x) in plain)
+    return constant if same <= MAX_TEMPLATE * wrapper[0, 2] else none
+
+
+def template_texts(page: Node, reference: list[Node], constant: np.ndarray) -> set[int]:
+    """Ids of page nodes that match a constant node and have its text."""
+    if not constant.any():
         return set()
-    n = wrapper[0, 0]
-    constant = (wrapper[:, 0] >= TEMPLATE_SHARE * n) & (wrapper[:, 1] >= TEMPLATE_SHARE * wrapper[:, 0])
     index = {id(x): i for i, x in enumerate(reference)}
     return {id(p) for r, p in match(reference[0], page)[1] if constant[index[id(r)]] and r.text() == p.text() and p.text()}
 
 
-def content_root(page: Node, template: set[int]) -> Node:
-    """The lowest node over all varying text outside roles; an article or main element that holds most of it goes first."""
+def content_roots(page: Node, template: set[int]) -> list[Node]:
+    """Where the varying text outside roles is: all outermost article and main elements if they hold half of it, else the lowest node over all of it."""
+    order = outside_roles(page)
     mass: dict[int, int] = {}
-    mains = []
-
-    def weigh(x: Node) -> int:
-        if x.role:
-            mass[id(x)] = 0
-            return 0
-        own = 0 if id(x) in template else sum(len(t) for t in x.items if isinstance(t, str))
-        mass[id(x)] = total = own + sum(weigh(k) for k in x.kids)
+    for x in reversed(order):
+        mass[id(x)] = (0 if id(x) in template else _length(x)) + sum(mass.get(id(k), 0) for k in x.kids)
+    if not mass.get(id(page)):
+        return [page]
+    mains, todo = [], [page]
+    while todo:
+        x = todo.pop()
         if x.tag in MAIN_TAGS:
             mains.append(x)
-        return total
-
-    total = weigh(page)
-    if not total:
-        return page
-    if mains:
-        held = max(mains, key=lambda x: mass[id(x)])
-        if 2 * mass[id(held)] >= total:
-            return held
+        else:
+            todo += [k for k in reversed(x.kids) if mass.get(id(k))]
+    if 2 * sum(mass[id(x)] for x in mains) >= mass[id(page)]:
+        return mains
     x = page
     while True:
         full = [k for k in x.kids if mass.get(id(k), 0) == mass[id(x)]]
         if not full:
-            return x
+            return [x]
         x = full[0]
 
 
 def main_text(page: Node, template: set[int]) -> str:
-    """The blocks below the content root, in page order, a line each.
-
-    Where constant text is over ``MAX_TEMPLATE`` of what is below the root, the
-    host's pages are copies of one article rather than frames around different
-    ones, and nothing is left out as template.
-    """
-    found: list[tuple[str, bool]] = []
-
-    def take(x: Node):
-        if x.role:
-            return
-        for item in x.items:
-            if isinstance(item, Node):
-                take(item)
-            else:
-                found.append((item, id(x) in template))
-
-    take(content_root(page, template))
-    constant = sum(len(t) for t, c in found if c)
-    if constant > MAX_TEMPLATE * sum(len(t) for t, _ in found):
-        return "\n".join(t for t, _ in found)
-    return "\n".join(t for t, c in found if not c)
+    """The blocks below the content roots that neither a role nor the template marks, in page order, a line each."""
+    found: list[str] = []
+    todo: list = list(reversed(content_roots(page, template)))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            found.append(x[0])
+        elif not x.role:
+            todo += [t if isinstance(t, Node) else (t,) for t in reversed(x.items) if isinstance(t, Node) or id(x) not in template]
+    return "\n".join(found)
 
 
 def _host(url):
@@ -339,7 +400,7 @@ def references(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame, refs: DataFrame, size: int) -> DataFrame:
-    """host, reference and wrapper (votes over all pages of the host, as int64 pairs)."""
+    """host, reference and wrapper (votes over all pages of the host, three numbers a node)."""
     import pyarrow as pa
 
     def vote(batches):
@@ -369,6 +430,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def apply(batches):
         cache: dict = {}
+        constant: dict = {}
         for b in batches:
             page_ids, urls, hosts, htmls, refs, wrappers = b.columns
             texts = []
@@ -377,14 +439,16 @@ def extract(pages: DataFrame) -> DataFrame:
                     texts.append("")
                     continue
                 page = parse(html)
-                wrapper = np.array(w.values.to_numpy() if w.is_valid else [], dtype=np.int64).reshape(-1, 2)
-                template = template_texts(page, _memo(cache, host, ref), wrapper) if ref else set()
-                texts.append(main_text(page, template))
+                if ref and host not in constant:
+                    if len(constant) >= CACHE_HOSTS:
+                        constant.clear()
+                    constant[host] = constant_nodes(_memo(cache, host, ref), np.array(w.values.to_numpy() if w.is_valid else [], dtype=np.int64).reshape(-1, 3))
+                texts.append(main_text(page, template_texts(page, _memo(cache, host, ref), constant[host]) if ref else set()))
             yield pa.RecordBatch.from_arrays([page_ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     spark = pages.sparkSession
     refs = materialize(references(p), "references", few_tasks(spark, 0))
-    size = refs.agg(F.coalesce(F.sum(F.length("reference") + F.length("host")), F.lit(0))).first()[0]
+    size = refs.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host")), F.lit(0))).first()[0]
     wrappers = materialize(induce(p, refs, size), "wrappers", few_tasks(spark, 0))
     return map_arrow(_with(p, wrappers, 2 * size).select("page_id", "url", "host", "html", "reference", "wrapper"), apply, "page_id long, url string, text string, n_chars long")
 

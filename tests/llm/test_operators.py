@@ -413,6 +413,13 @@ def page(body: str, title: str = "t") -> str:
         (page("<form><p>q</form><div>text <p>para</p> more</div>"), "text\npara\nmore"),
         (page("<div role=navigation>n</div><ul><li>a<li>b</ul><!-- c --><p hidden>z</p>"), "a\nb"),
         ("plain text", "plain text"),
+        (page('<div style="overflow:hidden"><p>main article words</p></div>'), "main article words"),
+        (page('<p title="hidden gems of Rome">gems</p><p data-role="navigation">kept</p><p Hidden>gone</p>'), "gems\nkept"),
+        (page("<div class=ad-hoc>a</div><div class='related-work'>b</div><div class='ad-slot-1'>c</div><div id=comment-list>d</div><div class='x site_footer'>e</div>"), "a\nb"),
+        (page("let <math>x=2</math> hold"), "let x=2 hold"),
+        (page("<article><p>one</article><article><p>two</p><div class=ad>buy</div></article><article class=comment>me too</article><div>tail</div>"), "one\ntwo"),
+        (page("<main><div>lead</div><article><header>by</header><p>x</article></main><p>out"), "lead\nby\nx"),
+        (page("<div>" * 4000 + "deep" + "</div>" * 3990), "deep"),
         ("1 < 2 &lt; 3", "1 < 2 < 3"),
         ("", ""),
         ("<p", ""),
@@ -429,6 +436,40 @@ def test_constant_nodes_of_a_host_are_template(spark):
     assert all(got[i] == prose(i, 30) + "\n" + prose(i + 50, 20) for i in range(8)) and got[90] == "alone"
 
 
+def test_short_pages_lose_the_template_of_their_host(spark):
+    """The host decides what is template, not the length of a page; hosts of copies keep their text."""
+    body = "<div><p>Welcome to our long standing and much loved site of many pages</p></div><div><p>{}</p></div>"
+    rows = [(i, "http://h.example/", page(body.format(prose(i, 200 if i else 3)))) for i in range(8)]
+    rows += [(100 + i, "http://copies.example/", page(f"<div><p>{prose(7, 40)}</p><p>{prose(9, 30)}</p></div>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(i, 200 if i else 3) for i in range(8)) and all(got[100 + i] == prose(7, 40) + "\n" + prose(9, 30) for i in range(6))
+
+
+def test_deep_pages_are_aligned(spark):
+    rows = [(i, "http://d.example/", "<div>" * (3000 + i) + f"<p>{prose(i, 9)}" + "<section>" * 40) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: prose(i, 9) for i in range(4)}
+
+
+@given(st.lists(st.sampled_from(["<div>", "<p>", "<ul><li>", "</div>", "</ul>", "<section>", "</section>", "x"]), max_size=14), st.lists(st.sampled_from(["<div>", "<p>", "<ul><li>", "</div>", "</ul>", "<section>", "</section>", "y"]), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_tree_matching_is_the_largest(one, two):
+    def largest(a, b):
+        if wrapper._key(a) != wrapper._key(b):
+            return 0
+
+        def lists(x, y):
+            if not x or not y:
+                return 0
+            return max(lists(x[1:], y), lists(x, y[1:]), lists(x[1:], y[1:]) + largest(x[0], y[0]))
+
+        return 1 + lists(a.kids, b.kids)
+
+    a, b = wrapper.parse("".join(one)), wrapper.parse("".join(two))
+    size, pairs = wrapper.match(a, b)
+    assert size == len(pairs) == largest(a, b) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size
+
+
 def test_tree_matching_counts_common_nodes():
     a, b = wrapper.parse("<div><p>1<p>2<ul><li>3</ul></div>"), wrapper.parse("<div><p>1<ul><li>9<li>3</ul><p>x</div>")
     size, pairs = wrapper.match(a, b)
