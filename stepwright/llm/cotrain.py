@@ -1,10 +1,11 @@
 """Quality by co-training of a text view and a metadata view.
 
-View 1 (content) sees the words: hashed words and word shapes, ``CONTENT``
-numbers a document. View 2 (page metadata) sees what can be known without
-reading: source, language, length, and the layout of the page (lines, their
-lengths and repetition, capitals, digits, signs). Both are computed once, over
-whole texts of all documents, and stored.
+View 1 (content) sees which words a document has: hashed lower-case words,
+``CONTENT`` numbers. View 2 (page metadata) sees what can be known without reading
+them: source, language, length, the layout of the page (lines, their lengths and
+repetition, shares of capitals, digits and signs) and how often each word shape
+(such as a capital before small letters before a stop) occurs. No number is in
+both. Both are computed once, over whole texts of all documents, and stored.
 
 Each view has a logistic classifier, first trained on labelled rows. In each
 round both score all unlabelled documents; the ``grow`` that a view is surest
@@ -20,8 +21,8 @@ most about ``max_labelled`` of them; those with remainder 4 calibrate.
 Defined cases: null and empty texts have empty content and zero layout and are
 scored; null source or language is a value of its own. Without labels of both
 kinds every score is the share of good labels (0.5 if there are none). Repeated
-doc_ids are scored row by row; a doc_id labelled twice counts with the smaller
-label. Other columns are ignored.
+doc_ids are scored row by row and learned from once; a doc_id labelled twice
+counts with the smaller label. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,35 +32,34 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import TASK_MEMORIES, few_tasks, map_arrow, materialize, text_or_empty, values_of
 from .shingles import CACHE_WORDS, fold_words, word_hashes
 
 CONTENT = 256
 LAYOUT = 14
 HASHED = 48
-META = LAYOUT + HASHED
+SHAPES = 128
+META = LAYOUT + HASHED + SHAPES
 ROUNDS = 3
-GROW = 400
-CONFIDENT = 0.95
+GROW = 100
+CONFIDENT = 0.98
 MAX_LABELLED = 8_000
 HELD_OUT = 5
 
 
 def content_view(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed words, and of hashed word shapes."""
-    out = np.zeros(CONTENT, dtype=np.float32)
+    """Square roots of the shares of hashed words."""
     words = fold_words(text)
-    if words:
-        half = CONTENT // 2
-        out[:half] = np.bincount((word_hashes(words) % np.uint64(half)).astype(np.int64), minlength=half)
-        out[half:] = np.bincount(_shape_buckets(shapes(text.encode("utf-8", "surrogatepass")), half), minlength=half)
-        out = np.sqrt(out / len(words))
-    return out
+    if not words:
+        return np.zeros(CONTENT, dtype=np.float32)
+    return np.sqrt(np.bincount((word_hashes(words) % np.uint64(CONTENT)).astype(np.int64), minlength=CONTENT) / len(words)).astype(np.float32)
 
 
 _KINDS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c > 127 else 48 if 48 <= c <= 57 else c for c in range(256))
 _SHAPES: dict[bytes, int] = {}
+TASK_MEMORIES.append(_SHAPES)
 
 
 def shapes(raw: bytes) -> list[bytes]:
@@ -73,19 +73,19 @@ def shapes(raw: bytes) -> list[bytes]:
 
 
 def _shape_buckets(found: list[bytes], buckets: int) -> np.ndarray:
-    """The hash of the first eight signs of each shape; shapes seen before are remembered."""
+    """The hash of each whole shape; shapes seen before are remembered."""
     known = _SHAPES
     try:
         return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
     except KeyError:
         if len(known) > CACHE_WORDS:
             known.clear()
-        known.update((w, zlib.crc32(w[:8]) % buckets) for w in set(found) if w not in known)
+        known.update((w, zlib.crc32(w) % buckets) for w in set(found) if w not in known)
         return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
 
 
 def layout_view(text: str, lang, source) -> np.ndarray:
-    """Layout measures, then hashed source and language."""
+    """Layout measures, hashed source and language, then square roots of the shares of hashed word shapes."""
     out = np.zeros(META, dtype=np.float32)
     n = len(text)
     if n:
@@ -97,6 +97,9 @@ def layout_view(text: str, lang, source) -> np.ndarray:
         signs = len(a) - upper - lower - digit - space
         size = [len(x) for x in lines] or [0]
         out[:LAYOUT] = [np.log1p(n) / 10, np.log1p(len(lines)) / 5, np.log1p(np.mean(size)) / 8, np.std(size) / (1 + np.mean(size)), upper / len(a), digit / len(a), signs / len(a), space / len(a), 1 - len(set(lines)) / max(1, len(lines)), counts[46] / len(a), counts[33] / len(a), counts[124] / len(a), (counts[35:43].sum() - counts[39]) / len(a), 1.0]
+        found = shapes(raw)
+        if found:
+            out[LAYOUT + HASHED :] = np.sqrt(np.bincount(_shape_buckets(found, SHAPES), minlength=SHAPES) / len(found))
     for tag, value in (("l", lang), ("s", source)):
         out[LAYOUT + zlib.crc32(f"{tag}:{value}".encode()) % HASHED] += 1
     return out
@@ -111,8 +114,8 @@ def views(docs: DataFrame, text: str = "text") -> DataFrame:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 ids, texts, lang, source = part.columns
-                c = [content_view(t).astype(np.float16).tobytes() for t in texts.to_pylist()]
-                m = [layout_view(t, x, y).astype(np.float16).tobytes() for t, x, y in zip(texts.to_pylist(), lang.to_pylist(), source.to_pylist())]
+                c = [content_view(t).astype(np.float16).tobytes() for t in values_of(texts)]
+                m = [layout_view(t, x, y).astype(np.float16).tobytes() for t, x, y in zip(values_of(texts), lang.to_pylist(), source.to_pylist())]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(c, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "content", "meta"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
@@ -165,7 +168,41 @@ def _scored(table: DataFrame, wc: np.ndarray, wm: np.ndarray) -> DataFrame:
     return map_arrow(table.select("doc_id", "content", "meta"), run, "doc_id long, zc double, zm double")
 
 
-def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, grow: int = GROW, max_labelled: int = MAX_LABELLED):
+def _one_row():
+    """Of the rows that share a doc_id, the views of one."""
+    return F.min(F.struct("content", "meta")).alias("v")
+
+
+def _surest(pool: DataFrame, limit: float, grow: dict[float, int]) -> list:
+    """For each teacher the ``grow[class]`` surest documents of each class, in one pass: each task keeps as many, then each of 256 parts, then all."""
+    import pyarrow as pa
+
+    def best(batches):
+        kept: dict = {}
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for k, teacher in ((1, "zc"), (2, "zm")):
+                z = b.column(k).to_numpy()
+                for sign, value in ((1, 1.0), (-1, 0.0)):
+                    at = np.flatnonzero(sign * z >= limit)
+                    old_z, old_i = kept.get((teacher, value), (z[:0], ids[:0]))
+                    all_z, all_i = np.concatenate([old_z, sign * z[at]]), np.concatenate([old_i, ids[at]])
+                    order = np.lexsort((all_i, -all_z))[: grow[value]]
+                    kept[teacher, value] = all_z[order], all_i[order]
+        rows = [(t, v, float(z), int(i)) for (t, v), (zs, ids) in kept.items() for z, i in zip(zs, ids)]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.int64()))], names=["teacher", "value", "z", "doc_id"])
+
+    some = map_arrow(pool.select("doc_id", "zc", "zm"), best, "teacher string, value double, z double, doc_id long")
+    top = some.distinct().withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    for group in (["teacher", "value", "part"], ["teacher", "value"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("z"), "doc_id"))
+        top = top.withColumn("n", place).filter(F.col("n") <= F.when(F.col("value") == 1, grow[1.0]).otherwise(grow[0.0]))
+    top = top.groupBy("teacher", "value").agg(F.collect_list(F.struct("z", "doc_id")).alias("best"))
+    return top.orderBy("teacher", F.desc("value")).collect()
+
+
+def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS, grow: int = GROW, max_labelled: int = MAX_LABELLED, confident: float = CONFIDENT):
     """Coefficients of both views, their calibrations and the prior; or (None, share) without both labels."""
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     y = y.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -173,7 +210,8 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
     fold = F.crc32(F.col("doc_id").cast("string")) % HELD_OUT
     share = 1.0 if n <= max_labelled else max_labelled / n
     some = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).withColumn("fold", fold).filter("fold != 0")
-    rows = table.join(F.broadcast(some), "doc_id").select("label", "fold", "content", "meta").collect()  # bounded by max_labelled
+    rows = table.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label", "fold").agg(_one_row()).select("doc_id", "label", "fold", "v.content", "v.meta").collect()  # bounded by max_labelled
+    rows.sort(key=lambda r: r["doc_id"])
     truth = np.array([float(r["label"] == 1) for r in rows])
     folds = np.array([r["fold"] for r in rows])
     seed, test = folds != 4, folds == 4
@@ -182,25 +220,23 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
     xc, xm = _matrix([r["content"] for r in rows], CONTENT), _matrix([r["meta"] for r in rows], META)
     tc, tm, yc, ym = xc[seed], xm[seed], truth[seed], truth[seed]
     free = table.join(y.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null") if rounds else None
-    limit = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+    limit = float(np.log(confident / (1 - confident)))
+    good = float(truth[seed].mean())
+    sizes = {1.0: max(1, round(grow * good)), 0.0: max(1, round(grow * (1 - good)))}
     used: list[int] = []
     for _ in range(rounds):
         wc, wm = train(tc, yc), train(tm, ym)
         pool = _scored(free, wc, wm)
         if used:
             pool = pool.filter(~F.col("doc_id").isin(used))
-        pool = pool.persist()
         chosen = []
-        for teacher in ("zc", "zm"):
-            for sign, value in ((1, 1.0), (-1, 0.0)):
-                sure = pool.filter(sign * F.col(teacher) >= limit).orderBy(F.desc(sign * F.col(teacher)), "doc_id").select("doc_id").limit(grow).collect()
-                chosen += [(r["doc_id"], teacher, value) for r in sure]
-        pool.unpersist()
+        for r in _surest(pool, limit, sizes):
+            chosen += [(i, r["teacher"], r["value"]) for _, i in r["best"]]
         ids = sorted({i for i, _, _ in chosen})
         if not ids:
             break
         used += ids
-        view = {r["doc_id"]: r for r in table.filter(F.col("doc_id").isin(ids)).collect()}  # at most 4 * grow documents
+        view = {r["doc_id"]: r["v"] for r in table.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(_one_row()).collect()}  # at most 4 * grow documents
         for teacher in ("zc", "zm"):
             mine = [(view[i], value) for i, t, value in chosen if t == teacher]
             if mine and teacher == "zc":
