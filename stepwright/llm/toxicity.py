@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, text_or_empty, values_of
 
 MAX_LABELLED = 20_000
-MAX_INDICATORS = 5_000
 MIN_RATIO = 12.0
 #: Deviations below an indicator's precision that still count as sure.
 SURE_Z, SURE = 4.0, 0.8
@@ -200,6 +199,10 @@ def readings(token: str, restorer: Restorer) -> tuple[str, ...]:
 
     A row of single characters has the words that it is decoded into, and all of it as one word.
     """
+    disguised = _DISGUISED.search(token)
+    if not disguised and not _SEPARATORS.search(token):
+        core = token.strip(_STRIP)
+        return (core,) if core else ()
     if _SPACED.fullmatch(token):
         if not any(c.isalpha() for c in token):
             return ()
@@ -207,7 +210,7 @@ def readings(token: str, restorer: Restorer) -> tuple[str, ...]:
         return tuple(x for x in {*restorer.decode_row(token), joined, restorer.decode(joined)} if x)
     core = token.strip(_STRIP)
     found = {core}
-    if _DISGUISED.search(token):
+    if disguised:
         for bare in {core, token.strip("\"'()[]{}<>.,;:?%&*#~^=/\\-_`")}:
             if len(bare) > 2 and any(c.isalpha() for c in bare) and _DISGUISED.search(bare):
                 found.add(restorer.decode(bare))
@@ -239,17 +242,22 @@ class Scorer:
     """The fitted model: language model, indicator weights and the logistic function over a document's strongest ones."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, tuple[float, float]]):
-        self.restorer, self.weights = Restorer(model), weights
+        self.restorer = Restorer(model)
+        self.use(weights)
         self.coefficients = np.array([-4.0, 0.6, 0.3, 0.3, 0.3])
         self.base = None
         self._tokens: dict[str, tuple] = {}
 
+    def use(self, weights: dict[str, tuple[float, float]]) -> None:
+        """Take these indicators. Their first three letters tell most words apart from all of them."""
+        self.weights, self.heads = weights, {k.rstrip("*")[:3] for k in weights}
+
     def __getstate__(self):
         return self.__dict__ | {"_tokens": {}}
 
     def _weight(self, token: str) -> tuple[float, float]:
         """The largest weight and the largest sure precision of what a token may be."""
-        found = [self.weights[x] for w in readings(token, self.restorer) for x in indicators_of(w) if x in self.weights]
+        found = [self.weights[x] for w in readings(token, self.restorer) if w[:3] in self.heads for x in indicators_of(w) if x in self.weights]
         return (max(w for w, _ in found), max(p for _, p in found)) if found else (0.0, 0.0)
 
     def strongest(self, text: str | None) -> list[float]:
@@ -257,19 +265,19 @@ class Scorer:
         if not text:
             return [0.0] * 5
         low, known = text.lower(), self._tokens
-        tokens = set(low.split())
+        tokens = Counter(low.split())
         tokens.update(m.group() for m in _SPACED.finditer(low))
         if len(known) > CACHE_TOKENS:
             known.clear()
         found, times, sure = [], 0, 0.0
-        for t in tokens:
+        for t, n in tokens.items():
             w = known.get(t)
             if w is None:
                 w = known[t] = self._weight(t)
             if w[0]:
                 found.append(w[0])
                 sure = max(sure, w[1])
-                times += max(1, low.count(t))
+                times += n
         found.sort(reverse=True)
         return [found[0] if found else 0.0, found[1] if len(found) > 1 else 0.0, math.log1p(len(found)), math.log1p(times), sure]
 
@@ -347,7 +355,7 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
     n, p, zz = t + c, t / (t + c), SURE_Z**2
     sure = (p + zz / (2 * n) - SURE_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     best = counts.filter("k != ''").withColumn("weight", weight).withColumn("sure", F.when(sure >= SURE, sure).otherwise(0.0)).withColumn("ratio", ratio).filter(f"ratio >= {MIN_RATIO} and weight > 1.5")
-    chosen = {r["k"]: (r["weight"], r["sure"]) for r in best.orderBy(F.desc("ratio"), "k").limit(MAX_INDICATORS).collect()}
+    chosen = {r["k"]: (r["weight"], r["sure"]) for r in best.collect()}  # at most the words of max_labelled documents
     counts.unpersist()
     return chosen, nt, nc
 
@@ -376,7 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         y = np.array([float(r["y"] == 1) for r in sample])
         if 0 < y.sum() < len(y):
             scorer.coefficients = fit_logistic(x, y, scorer.coefficients)
-    scorer.weights = choose_indicators(rows, model)[0]
+    scorer.use(choose_indicators(rows, model)[0])
     return scorer
 
 
