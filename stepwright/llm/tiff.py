@@ -6,8 +6,9 @@ horizontal differencing for 8-, 16- and 32-bit samples, and emits one row per
 page. The writer makes the same kinds of file.
 
 Defined cases: a null or empty media value has no page. A file that cannot be
-read gives one row with page -1 and the reason in ``error``; pages before the
-fault are kept. A directory that was walked before ends the walk. Other columns
+read, or whose directory asks for more pixels than its strips or tiles can hold,
+gives one row with page -1 and the reason in ``error``; pages before the fault are
+kept. A directory that was walked before ends the walk. Other columns
 of the table can be carried along by name.
 """
 
@@ -30,6 +31,9 @@ TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 
+#: No codec here makes more bytes of one: a deflate match of 258 bytes takes two bits, an LZW code of 9 bits names 3,840 at most.
+MOST_EXPANSION = 4096
+
 ROW_BYTES = 64
 PAGE_ROWS = 2048
 STRIP_ROWS = 512
@@ -237,9 +241,16 @@ def read_pages(data: bytes):
         tiled = TILE_OFFSETS in tags
         th, tw = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
         offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+        if width < 1 or height < 1 or samples < 1 or th < 1 or tw < 1:
+            raise ValueError("a page without pixels")
+        planes = 1 if planar == 1 else samples
+        if not len(offsets) == len(counts) == planes * -(-height // th) * -(-width // tw):
+            raise ValueError("the page has not got the strips or tiles that its size asks for")
+        if width * height * samples * (bits // 8) > MOST_EXPANSION * max(1, sum(counts)) or th * tw * samples * (bits // 8) > MOST_EXPANSION * max(1, max(counts)):
+            raise ValueError("the page is larger than its stored bytes can be")
         dtype, per = np.dtype(f"{e}u{bits // 8}"), samples if planar == 1 else 1
         pixels, k = np.zeros((height, width, samples), dtype=dtype.newbyteorder("=")), 0
-        for plane in range(1 if planar == 1 else samples):
+        for plane in range(planes):
             for y in range(0, height, th):
                 for x in range(0, width, tw):
                     raw = decompress(data[offsets[k] : offsets[k] + counts[k]], kind)
@@ -269,7 +280,7 @@ def explode_pages(df: DataFrame, media: str = "media", carry: tuple[str, ...] =
             for f, pixels in read_pages(data):
                 yield {**f, "page": page, "media_sha256": digest, "pixels": pixels.tobytes()}
                 page += 1
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as x:
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error) as x:
             yield {"page": -1, "media_sha256": digest, "error": str(x)[:200] or type(x).__name__}
 
     def explode(batches):

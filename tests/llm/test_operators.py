@@ -17,6 +17,7 @@ from stepwright.llm.shingles import fold_words, shingle_set
 from .conftest import edge_documents, prose
 
 SMALL = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 
 
@@ -339,20 +340,68 @@ def test_viterbi_is_the_best_of_all_readings(restorer):
 
 @needs_tables
 def test_toxicity_on_held_out_labels(spark):
-    rows = toxicity.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.93 * len(rows)
+    labels, docs = spark.read.parquet(f"{LARGER}/labels.parquet"), spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = toxicity.query(spark, LARGER).join(labels, "doc_id").filter("held_out").collect()
+    toxic, found = {r["doc_id"] for r in rows if r["toxic"]}, {r["doc_id"] for r in rows if r["predicted"]}
+    assert len(toxic & found) >= 0.9 * len(toxic) and len(found - toxic) <= 0.01 * len(rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    # Their telling words in leetspeak or letter by letter: found by the decoder, lost without it.
+    scorer, texts = toxicity.fit(docs, labels), {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    leet = str.maketrans("oieas", "01345")
+
+    def disguise(text, k):
+        def hide(t):
+            return t if scorer._weight(t.lower())[0] == 0 else t.lower().translate(leet) if k % 2 else " ".join(t.lower())
+
+        return " ".join(hide(t) for t in text.split())
+
+    hidden = [disguise(texts[i], k) for k, i in enumerate(sorted(toxic & found))]
+    caught = sum(scorer.score(t) >= 0.5 for t in hidden)
+    scorer.restorer.decode = lambda token: token
+    scorer.restorer.decode_row = lambda row: [row]
+    scorer._tokens.clear()
+    plain = sum(scorer.score(t) >= 0.5 for t in hidden)
+    print(len(hidden), caught, plain)
+    assert caught >= 0.75 * len(hidden) and plain <= 0.5 * caught
+
+
+def test_indicators_count_whole_tokens(restorer):
+    scorer = toxicity.Scorer(np.zeros((28, 28, 28)), {"ass": (3.0, 0.9)})
+    assert scorer.strongest("ass class classes pass")[3] == pytest.approx(np.log1p(1)) and scorer.strongest("ass, ass")[0] == 3.0
 
 
 def test_word_shapes():
     assert cotrain.shapes("Hello world!! 123abc%%%% é\n\n".encode()) == [b"Aa", b"a!!", b"0a%%", b"a"]
     assert cotrain.shapes(b"") == [] and cotrain.content_view("").sum() == 0
+    a, b = (cotrain.layout_view(x, None, None) for x in ("a1B2c3D4", "a1B2c3!!"))
+    assert (a[cotrain.LAYOUT + cotrain.HASHED :] != b[cotrain.LAYOUT + cotrain.HASHED :]).any()  # they differ after their eighth sign
 
 
 @needs_tables
 def test_quality_on_held_out_labels(spark):
-    rows = cotrain.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
+    rows = cotrain.query(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").filter("held_out").collect()
+    bad = [r for r in rows if r["quality"] == 0]
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.975 * len(rows)
+    assert sum(r["predicted"] == 0 for r in bad) >= 0.9 * len(bad)
+
+
+def test_the_other_view_learns_from_pseudo_labels(spark):
+    """Twelve labelled rows name the sources; the words that go with a source are learned from unlabelled rows."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(400):
+        good = i % 2
+        words = [f"{'good' if good else 'bad'}{rng.integers(40)}" if rng.random() < 0.2 else f"any{rng.integers(400)}" for _ in range(25)]
+        rows.append((i, " ".join(words), "en", "a" if good else "b"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    named = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 not in (0,)][:24]
+    labels = spark.createDataFrame([(i, i % 2) for i in named], "doc_id long, quality int")
+    table = common.materialize(cotrain.views(docs), "views")
+
+    def content_right(rounds):
+        got = cotrain.score(table, *cotrain.fit(table, labels, rounds=rounds, confident=0.7)).collect()
+        return sum((r["content_score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got) / len(got)
+
+    assert content_right(3) > content_right(0) + 0.05
 
 
 # -- TIFF ----------------------------------------------------------------------------------------------------------
@@ -388,6 +437,22 @@ def test_pages_of_a_column(spark):
     assert sorted(got) == [(1, 0, True), (1, 1, True), (4, -1, False), (5, -1, False)]
 
 
+def test_a_directory_cannot_ask_for_more_than_is_stored():
+    import struct
+
+    good = bytearray(tiff.write_tiff([np.zeros((2, 3), np.uint8)], tiff.DEFLATE))
+    at = struct.unpack_from("<I", good, 4)[0]
+    n = struct.unpack_from("<H", good, at)[0]
+    for tag, value in ((tiff.WIDTH, 2_000_000), (tiff.LENGTH, 2_000_000), (tiff.ROWS_PER_STRIP, 0), (tiff.SAMPLES, 60_000), (tiff.LENGTH, 0)):
+        bad = bytearray(good)
+        for k in range(n):
+            p = at + 2 + 12 * k
+            if struct.unpack_from("<H", bad, p)[0] in ((tag, tiff.LENGTH, tiff.ROWS_PER_STRIP) if value == 2_000_000 else (tag,)):
+                struct.pack_into("<HHII", bad, p, struct.unpack_from("<H", bad, p)[0], 4, 1, value)
+        with pytest.raises(ValueError):
+            list(tiff.read_pages(bytes(bad)))
+
+
 def test_tiff_query_against_plain_loop(spark, edge_dir):
     got = {(r["doc_id"], r["payload_sha256"]): r for r in tiff.query(spark, edge_dir).collect()}
     for i, t in edge_documents()[["doc_id", "text"]].itertuples(index=False):
