@@ -24,6 +24,9 @@ TASK_TEXTS = 20_000
 
 _LOCAL_TMP: dict[str, str] = {}
 
+#: Rows of an Arrow batch at most: whole texts are long, and a batch is held by the executor and by its worker.
+BATCH_ROWS = 4_000
+
 #: Memories of a worker process that end with each task: workers are used again, by other stages too.
 TASK_MEMORIES: list[dict] = []
 
@@ -108,7 +111,13 @@ def open_store(uri: str):
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` whose workers give back at the end of each task what they hold."""
+    """``df.mapInArrow(run, schema)`` whose workers give back at the end of each task what they hold.
+
+    Where the session allows longer Arrow batches than ``BATCH_ROWS``, it is set to that.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
 
     def tidy(batches):
         try:

@@ -107,7 +107,9 @@ def word_frequency(docs: DataFrame, vocabulary: set[bytes], text: str = "text")
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.binary()), "n": pa.array(list(c.values()), pa.int64())})
 
     counts = map_arrow(docs.select(F.col(text)), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counts.collect()}  # as many rows as the block has words
+    found = {bytes(r["word"]): r["n"] for r in counts.collect()}  # as many rows as the block has words
+    known.destroy()
+    return found
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):

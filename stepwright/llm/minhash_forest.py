@@ -237,8 +237,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for b in batches:
-            for raw in values_of(b.column(0)):
-                np.add.at(total, (_set(raw) % np.uint64(RARITY_BUCKETS)).astype(np.int64), 1)
+            total += np.bincount(_bucket(_flat(b.column(0))), minlength=RARITY_BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "n": pa.array(total[at])})
 
@@ -248,8 +247,13 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u8")
+def _flat(sets) -> np.ndarray:
+    """The shingles of an Arrow array of sets, set after set."""
+    return sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(RARITY_BUCKETS)).astype(np.int64)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, k: int) -> DataFrame:
@@ -266,12 +270,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, k: int) -> DataF
                 s = shingle_set(fold_words(t), k)
                 if _name(s) == (k1, k2):
                     nodes.append(node)
-                    sets.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).filter("rep is not null and text is not null")
     found = plain.join(wanted.hint("merge"), "rep")
-    return map_arrow(found.groupBy("rep", "node", "k1", "k2", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("node", "k1", "k2", "text"), compute, "node long, set binary")
+    return map_arrow(found.groupBy("rep", "node", "k1", "k2", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("node", "k1", "k2", "text"), compute, "node long, set array<long>")
 
 
 def crowded_pairs(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -293,10 +297,10 @@ def crowded_pairs(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     def prefixes(batches):
         names = ["g", "node", "component", "n", "place"]
         for b in batches:
-            for node, component, raw in zip(*(values_of(b.column(i)) for i in range(3))):
-                s = _set(raw)
-                n = len(s)
-                often = shared.value[(s % np.uint64(RARITY_BUCKETS)).astype(np.int64)]
+            flat, ends = _flat(b.column(2)), np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            for node, component, end, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist()):
+                s = flat[end - n : end]
+                often = shared.value[_bucket(s)]
                 order = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
                 place = np.flatnonzero(often[order] > 1)
                 if len(place):
@@ -304,6 +308,7 @@ def crowded_pairs(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
                     yield pa.RecordBatch.from_arrays([pa.array(s[order[place]].view(np.int64)), pa.array(np.full(m, node)), pa.array(np.full(m, component)), pa.array(np.full(m, n)), pa.array(place + 1)], names=names)
 
     rows = materialize(map_arrow(sets.select("node", "component", "set"), prefixes, "g long, node long, component long, n long, place long"), "prefixes")
+    shared.destroy()
     short = rows.filter(F.lit(100 + percent) * (F.col("n") - F.col("place") + 1) >= 2 * percent * F.col("n"))
     # What a row can have in common with a row of m shingles is enough if its room is at least percent * m.
     room = (100 + percent) * (F.col("n") - F.col("place") + 1) - percent * F.col("n")
@@ -339,23 +344,10 @@ def _stars(so_far: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity; ``sets`` has node and set."""
-    import pyarrow as pa
-
-    def check(batches):
-        for b in batches:
-            u, v, su, sv = b.columns
-            out = []
-            for i, (x, y) in enumerate(zip(values_of(su), values_of(sv))):
-                s, t = _set(x), _set(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append(i)
-            take = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([u.take(take), v.take(take)], names=["u", "v"])
-
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-    j = pairs.select("u", "v").join(left, "u").join(right, "v")
-    return map_arrow(j.select("u", "v", "set_u", "set_v"), check, "u long, v long")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    alike = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
+    return pairs.select("u", "v").join(left, "u").join(right, "v").filter(alike).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

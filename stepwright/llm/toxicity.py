@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_or_empty, values_of
+from .common import TASK_MEMORIES, discard, map_arrow, materialize, text_or_empty, values_of
 
 MAX_LABELLED = 20_000
 MIN_RATIO = 12.0
@@ -255,6 +255,10 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"_tokens": {}}
 
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        TASK_MEMORIES.append(self._tokens)
+
     def _weight(self, token: str) -> tuple[float, float]:
         """The largest weight and the largest sure precision of what a token may be."""
         found = [self.weights[x] for w in readings(token, self.restorer) if w[:3] in self.heads for x in indicators_of(w) if x in self.weights]
@@ -343,6 +347,7 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
     nt, nc = n[0], n[1]
     if not nt or not nc:
         counts.unpersist()
+        shared.destroy()
         return {}, nt, nc
 
     def xlogx(k, whole):
@@ -357,6 +362,7 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
     best = counts.filter("k != ''").withColumn("weight", weight).withColumn("sure", F.when(sure >= SURE, sure).otherwise(0.0)).withColumn("ratio", ratio).filter(f"ratio >= {MIN_RATIO} and weight > 1.5")
     chosen = {r["k"]: (r["weight"], r["sure"]) for r in best.collect()}  # at most the words of max_labelled documents
     counts.unpersist()
+    shared.destroy()
     return chosen, nt, nc
 
 
@@ -370,6 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     scorer = Scorer(model, weights)
     if not nt or not nc:
         scorer.base = nt / (nt + nc) if nt + nc else 0.0
+        discard(rows)
         return scorer
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
@@ -379,12 +386,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": b.column(1).cast(pa.int32())})
 
     sample = map_arrow(rows.filter("fold = 4").select("text", "label"), measure, "x array<double>, y int").collect()  # bounded by max_labelled
+    shared.destroy()
     if sample:
         x = np.array([[1.0, *r["x"][:-1]] for r in sample])
         y = np.array([float(r["y"] == 1) for r in sample])
         if 0 < y.sum() < len(y):
             scorer.coefficients = fit_logistic(x, y, scorer.coefficients)
     scorer.use(choose_indicators(rows, model)[0])
+    discard(rows)
     return scorer
 
 
