@@ -48,7 +48,7 @@ def share_within(n: str, *keys: str) -> Column:
 def hash_pick(seed: int, *parts: Column, of: Column) -> Column:
     """A pseudorandom index below ``of`` from md5 of seed and parts joined by ':'; the same in any SQL engine."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % of
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % of.cast("long")
 
 
 def hash_order(seed: int, *parts: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.semantics import hash_pick, ratio
+from .sequences import key_ranges
 
 Z95 = 1.959963984540054
 
@@ -55,24 +56,43 @@ def paired_tests(df: DataFrame, agent: str, problem: str, value: str) -> DataFra
     return g.withColumn("p", mcnemar_exact(F.col("left_only"), F.col("right_only")))
 
 
-def bootstrap_means(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int, seed: int = 42) -> DataFrame:
-    """Mean of each resample of a group: keys, b, mean. Indices come from md5, so any engine draws the same."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.filter(F.col(value).isNotNull()).select(*keys, (F.row_number().over(w) - 1).alias("i"), F.col(value).cast("double").alias("v"))
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_agg(F.struct("i", "v")).alias("vs"))
-    sizes = sizes.withColumn("vs", F.transform(F.array_sort("vs"), lambda x: x["v"]))
-    b = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("vs", hash_pick(seed, F.col("b"), i, of=F.col("n")).cast("int")))
-    return b.select(*keys, "b", (F.aggregate(draws, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("mean"))
+#: P(X <= k) of a Poisson variable of mean 1, by which a hash of 32 bits becomes a count.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+POISSON_STEPS = [round(p * 2**32) for p in POISSON]
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """keys, lo, hi: percentile interval of the resampled means."""
+def resampled(replicate: Column, key: Column, seed: int = 42) -> Column:
+    """How often a replicate draws a row: a Poisson count from md5 of seed, replicate and key, so any engine draws the same."""
+    h = hash_pick(seed, replicate, key, of=F.lit(2**32))
+    return sum(((h >= t).cast("int") for t in POISSON_STEPS[1:]), (h >= POISSON_STEPS[0]).cast("int"))
+
+
+def bootstrap_means(df: DataFrame, keys: list[str], value: str, row: str, replicates: int, seed: int = 42) -> DataFrame:
+    """Mean of each resample of a group: keys, b, mean.
+
+    Every row is drawn a Poisson number of times, as in a resample of a large
+    group; counts and sums are added up before the shuffle, so a group of any
+    size is ``replicates`` rows there and never an array.
+    """
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).cast("double").alias("_v"))
+    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col("_row"), seed))
+    return d.groupBy(*keys, "b").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")).select(*keys, "b", ratio(F.col("_s"), F.col("_n")).alias("mean"))
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, row: str, replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """keys, lo, hi: percentile interval of the resampled means; ``row`` names a row within its group."""
     q = (1 - level) / 2
-    m = bootstrap_means(df, keys, value, order, replicates, seed)
+    m = bootstrap_means(df, keys, value, row, replicates, seed)
     return m.groupBy(*keys).agg(F.percentile("mean", F.lit(q)).alias("lo"), F.percentile("mean", F.lit(1 - q)).alias("hi"))
 
 
+def paired_bootstrap(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
+    """left, right, mean difference and its percentile interval when the problems that both have are resampled."""
+    j = pair_outcomes(df, agent, problem, value).withColumn("_d", F.col("x") - F.col("y"))
+    mean = j.groupBy("left", "right").agg(F.avg("_d").alias("mean_diff"))
+    return mean.join(bootstrap_ci(j, ["left", "right"], "_d", problem, replicates, seed), ["left", "right"], "left")
+
+
 def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """As bootstrap_ci with numpy's generator, seeded anew for each group; one group of values at a time."""
     import numpy as np
@@ -90,15 +110,15 @@ def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[s
     return df.select(*{*keys, *order, value}).groupBy(*keys).applyInPandas(one, f"{kinds}, lo double, hi double")
 
 
-def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """agent, mean and median rank and share of first ranks when problems are resampled jointly."""
-    problems = df.select(problem).distinct()
-    n = problems.count()
-    numbered = problems.withColumn("i", F.row_number().over(Window.orderBy(problem)) - 1)
-    draws = df.sparkSession.range(replicates).withColumnRenamed("id", "b").crossJoin(df.sparkSession.range(n).withColumnRenamed("id", "k"))
-    drawn = draws.select("b", hash_pick(seed, F.col("b"), F.col("k"), of=F.lit(n)).alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("times"))
-    v = df.join(numbered, problem).filter(F.col(value).isNotNull()).select(agent, "i", F.col(value).cast("double").alias("v"))
-    means = drawn.join(v, "i").groupBy("b", agent).agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """agent, mean and median rank and share of first ranks when problems are resampled jointly.
+
+    A problem's outcomes stand in one row, as many as there are agents, so a draw
+    is made once a replicate and problem and holds for all agents.
+    """
+    rows = df.filter(F.col(value).isNotNull()).groupBy(problem).agg(F.collect_list(F.struct(F.col(agent).alias("agent"), F.col(value).cast("double").alias("v"))).alias("_all"))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col(problem), seed)).filter("_w > 0")
+    means = drawn.select("b", "_w", F.explode("_all").alias("x")).groupBy("b", F.col("x.agent").alias(agent)).agg((F.sum(F.col("x.v") * F.col("_w")) / F.sum("_w")).alias("m"))
     ranked = means.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc(F.round("m", 9)), agent)))
     return ranked.groupBy(agent).agg(F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.avg((F.col("rank") == 1).cast("double")).alias("p_first"))
 
@@ -121,12 +141,18 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
     """Rows that no other row beats: none is cheaper or as cheap with at least the value, one of both strictly.
 
-    Two windows over cost in place of a join of all pairs; the cheapest rows of
-    equal cost are compared with their best.
+    The best value of all cheaper costs is that of cheaper ranges of cost and of
+    cheaper costs in the range, in place of a join of all pairs; rows of equal
+    cost are compared with their best.
     """
     d = df.filter(F.col(cost).isNotNull() & F.col(value).isNotNull())
     best = d.groupBy(cost).agg(F.max(value).alias("_same"))
-    best = best.withColumn("_cheaper", F.max("_same").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)))
+    at, n = key_ranges(best, cost)
+    best = best.withColumn("_range", at)
+    top = {r["_range"]: r["top"] for r in best.groupBy("_range").agg(F.max(F.col("_same").cast("double")).alias("top")).collect()}
+    before = [max((top[i] for i in range(k) if i in top), default=None) for k in range(n)]
+    within = F.max("_same").over(Window.partitionBy("_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("_cheaper", F.greatest(F.get(F.array(*[F.lit(b).cast("double") for b in before]), F.col("_range")), within)).drop("_range")
     j = d.join(best, cost)
     return j.filter((F.col(value) == F.col("_same")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(value)))).drop("_same", "_cheaper")
 
@@ -136,4 +162,4 @@ def rate(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
-__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_means", "bootstrap_ci", "bootstrap_ci_numpy", "rank_stability", "average_rank", "spearman", "pareto", "rate", "ratio"]
+__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_means", "bootstrap_ci", "paired_bootstrap", "bootstrap_ci_numpy", "rank_stability", "average_rank", "spearman", "pareto", "rate", "ratio"]

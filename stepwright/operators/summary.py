@@ -22,36 +22,63 @@ def one(c: str) -> Column:
 
 
 def run_summary(a: DataFrame, by: str = "agent") -> DataFrame:
-    """Per agent: n and means of all attempts, tokens and time, sorted by V then C."""
+    """Per agent: n and 25 measures of all attempts, sorted by V then C."""
+    n = F.count(F.lit(1))
     g = keyed(a, by).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("C").alias("c"), F.avg("G").alias("g"), F.avg("V").alias("v"), F.avg("Q").alias("q"), F.avg("PTU").alias("ptu"), F.avg("R").alias("r"), F.avg("E").alias("e"),
-        ratio(total(F.col("tokens")), F.count(F.lit(1))).alias("tokens_per_attempt"), ratio(total(F.col("tokens")), F.sum("V")).alias("tokens_per_verified"),
+        n.alias("n"), F.avg("C").alias("c"), F.avg("G").alias("g"), F.avg("V").alias("v"), F.avg("Q").alias("q"), F.avg("PTU").alias("ptu"), F.avg("R").alias("r"), F.avg("E").alias("e"),
+        ratio(total(F.col("tokens")), n).alias("tokens_per_attempt"), ratio(total(F.col("tokens")), F.sum("V")).alias("tokens_per_verified"),
         F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.5)).alias("latency_median"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        *[F.avg(c).alias(f"{c}_mean") for c in ("service", "pace", "retry_wait", "total_steps")], rate(F.col("valid")).alias("completion_rate"), rate(F.col("timed_out")).alias("timeout_rate"),
+        *[total(F.col(c)).alias(c) for c in ("retry_count", "truncated_steps", "critic_calls", "critic_errors")],
+        F.count_if(known("judge_used") | known("needs_judge")).alias("symbolic_inconclusive"), F.count_if(known("judge_used")).alias("judge_fallbacks"), F.count_if(known("needs_judge")).alias("judge_queue"),
     )
     return g.orderBy(F.desc("v"), F.desc("c"), by)
 
 
+def known(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def infrastructure() -> Column:
+    return F.coalesce(F.col("stop_reason").isin(*INFRASTRUCTURE), F.lit(False))
+
+
 def repair_summary(a: DataFrame, by: str = "agent") -> DataFrame:
     """Per agent over attempted and over valid attempts; rates over attempted have all attempts below the line."""
     n = F.count(F.lit(1))
     valid = lambda c: F.avg(F.when(F.col("valid"), F.col(c)))
+    tokens, seconds = total(F.col("tokens")), total(F.col("latency"))
     g = keyed(a, by).groupBy(by).agg(
-        n.alias("attempted"), F.count_if("valid").alias("valid_n"), (total(F.col("C")) / n).alias("c_operational"), (total(F.col("G")) / n).alias("g_operational"), (total(F.col("V")) / n).alias("v_operational"),
-        valid("C").alias("c_valid"), valid("V").alias("v_valid"), valid("Q").alias("q_valid"), valid("PTU").alias("ptu_valid"), (1 - F.count_if(F.col("stop_reason").isin(*PROTOCOL)) / n).alias("format_adherence"), ratio(total(F.col("tokens")), F.sum("V")).alias("tokens_per_solve"),
+        n.alias("attempted"), F.count_if("valid").alias("valid_n"), (F.count_if("valid") / n).alias("coverage"), (1 - F.count_if(F.col("stop_reason").isin(*PROTOCOL)) / n).alias("format_adherence"), rate(infrastructure()).alias("infrastructure_rate"),
+        *[(total(F.col(c)) / n).alias(f"{c.lower()}_operational") for c in "CGV"], *[valid(c).alias(f"{c.lower()}_valid") for c in ("C", "G", "V", "Q", "PTU", "R", "E")],
+        tokens.alias("tokens"), (tokens / n).alias("tokens_per_attempt"), ratio(tokens, F.sum("C")).alias("tokens_per_correct"), ratio(tokens, F.sum("V")).alias("tokens_per_solve"), ratio(seconds, F.sum("V")).alias("seconds_per_solve"), (seconds / n).alias("latency_mean"),
+        F.count_if(F.col("valid") & known("needs_judge")).alias("unresolved"), F.count_if(F.col("valid") & known("judge_used")).alias("judge_fallbacks"),
+        total(F.when(F.col("valid"), F.col("critic_calls"))).alias("critic_selected"), total(F.when(F.col("valid"), F.col("critic_calls") - F.col("critic_errors"))).alias("critic_success"),
     )
     return g.orderBy(F.desc("v_operational"), F.desc("c_operational"), by)
 
 
-def core_table(a: DataFrame, by: str = "agent") -> DataFrame:
-    """The final table: operational C, G, V with Wilson bounds of V; trace measures of eligible valid attempts only."""
+def core_table(a: DataFrame, by: str = "agent", recorded: DataFrame | None = None, reason: str = "excluded") -> DataFrame:
+    """The final table. Operational C, G, V count attempts that are not valid as 0; V has Wilson bounds; trace measures are of eligible valid attempts.
+
+    ``recorded`` may have an agent's format_adherence; else it is the share of valid attempts.
+    """
     n = F.count(F.lit(1))
+    solved = lambda c: total(F.when(F.col("valid"), F.col(c)))
+    valid = lambda c: F.avg(F.when(F.col("valid"), F.col(c)))
     trace = lambda c: F.avg(F.when(F.col("valid") & F.col("eligible"), F.col(c)))
+    tokens = total(F.col("tokens"))
     g = keyed(a, by).groupBy(by).agg(
-        n.alias("attempted"), F.count_if("valid").alias("valid_n"), (total(F.col("C")) / n).alias("c"), (total(F.col("G")) / n).alias("g"), (total(F.col("V")) / n).alias("v"), total(F.col("V")).alias("_v"),
-        trace("Q").alias("q"), trace("PTU").alias("ptu"), ratio_floor(total(F.col("tokens")), total(F.col("V"))).alias("tokens_per_solve"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        n.alias("attempted"), F.count_if("valid").alias("valid_n"), (F.count_if("valid") / n).alias("coverage"), rate(infrastructure()).alias("infrastructure_rate"),
+        *[(solved(c) / n).alias(c.lower()) for c in "CGV"], *[valid(c).alias(f"{c.lower()}_valid") for c in "CGV"], solved("V").alias("_v"), *[trace(c).alias(c.lower()) for c in ("Q", "PTU", "R", "E")],
+        tokens.alias("tokens"), (tokens / n).alias("tokens_per_attempt"), ratio_floor(tokens, solved("C")).alias("tokens_per_correct"), ratio_floor(tokens, solved("V")).alias("tokens_per_solve"), F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        F.coalesce(F.bool_and("eligible"), F.lit(True)).alias("eligible"),
     )
     lo, hi = wilson(F.col("_v"), F.col("attempted"))
-    return g.withColumn("v_lo", lo).withColumn("v_hi", hi).drop("_v")
+    g = g.withColumn("v_lo", lo).withColumn("v_hi", hi).withColumn("exclusion", F.when(F.col("eligible"), "").otherwise(reason)).drop("_v")
+    if recorded is None:
+        return g.withColumn("format_adherence", F.col("coverage"))
+    return g.join(recorded.select(by, "format_adherence"), by, "left").withColumn("format_adherence", F.coalesce("format_adherence", "coverage"))
 
 
 def health(a: DataFrame, by: str = "agent") -> DataFrame:
@@ -63,9 +90,19 @@ def health(a: DataFrame, by: str = "agent") -> DataFrame:
     return g.withColumn("other_incomplete", F.col("records") - F.col("explicit_answers") - F.col("infrastructure_failures")).withColumn("completion_rate", F.col("explicit_answers") / F.col("records"))
 
 
-def coverage(a: DataFrame, metrics: list[str], by: str = "agent") -> DataFrame:
-    """Rows, distinct problems and, for each metric, how many are missing and how many are 0."""
-    return keyed(a, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("problem_id").alias("problems"), *[F.count_if(F.col(m).isNull()).alias(f"{m}_missing") for m in metrics], *[F.count_if(F.col(m) == 0).alias(f"{m}_zero") for m in metrics])
+def coverage(a: DataFrame, metrics: list[str], by: str = "agent", trace: tuple[str, ...] = ("Q", "PTU", "R")) -> DataFrame:
+    """Rows, distinct problems, how attempts and judgements ended and, for each metric, how many are missing and how many are 0.
+
+    A trace metric of an agent that is not eligible counts as missing throughout, and its zeros are not counted.
+    """
+    out = F.col("eligible")
+    g = keyed(a, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("problem_id").alias("problems"), rate(F.col("valid")).alias("completion_rate"), rate(infrastructure()).alias("infrastructure_rate"), F.count_if(known("judge_used")).alias("judge_fallbacks"), F.count_if(known("needs_judge")).alias("unresolved"),
+        F.coalesce(F.bool_and("eligible"), F.lit(True)).alias("eligible"), *[F.count_if(F.col(m).isNull()).alias(f"{m}_missing") for m in metrics], *[F.count_if(F.col(m) == 0).alias(f"{m}_zero") for m in metrics],
+    )
+    for m in (m for m in metrics if m in trace):
+        g = g.withColumn(f"{m}_missing", F.when(out, F.col(f"{m}_missing")).otherwise(F.col("n"))).withColumn(f"{m}_zero", F.when(out, F.col(f"{m}_zero")))
+    return g
 
 
 def views(a: DataFrame) -> DataFrame:
@@ -106,9 +143,11 @@ def pivot_mean(a: DataFrame, rows: str, columns: str, values: list, metric: str)
 
 
 def cost_per_solve(a: DataFrame, by: str = "agent") -> DataFrame:
-    """Ratios of sums; NULL where nothing was solved."""
-    g = keyed(a, by).groupBy(by).agg(total(F.col("tokens")).alias("tokens"), total(F.col("C")).alias("solved"), total(F.col("V")).alias("verified"), F.count(F.lit(1)).alias("n"))
-    return g.select(by, (F.col("tokens") / F.col("n")).alias("per_attempt"), ratio(F.col("tokens"), F.col("solved")).alias("per_correct"), ratio(F.col("tokens"), F.col("verified")).alias("per_verified"))
+    """Ratios of sums, NULL where nothing was solved; hidden and reporting tokens as shares of the output."""
+    sums = {"tokens": "tokens", "seconds": "latency", "solved": "C", "verified": "V", "hidden": "hidden", "reporting": "answer_reporting", "output": "api_output"}
+    g = keyed(a, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[total(F.col(c)).alias(k) for k, c in sums.items()])
+    each = [ratio(F.col(x), F.col(y)).alias(f"{p}_{q}") for x, p in (("tokens", "per"), ("seconds", "seconds_per")) for y, q in (("solved", "correct"), ("verified", "verified"))]
+    return g.select(by, (F.col("tokens") / F.col("n")).alias("per_attempt"), *each, *[(F.col(c) / F.greatest("output", F.lit(1))).alias(f"{c}_share") for c in ("hidden", "reporting")])
 
 
 def latency_percentiles(a: DataFrame, columns: list[str], by: str = "agent", at=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
@@ -131,10 +170,14 @@ def correctness_bounds(a: DataFrame, by: str = "agent") -> DataFrame:
     return keyed(a, by).groupBy(by).agg(n.alias("n"), F.count_if(F.col("C").isNull()).alias("unresolved"), (total(F.col("C")) / n).alias("lower"), ((total(F.col("C")) + F.count_if(F.col("C").isNull())) / n).alias("upper"))
 
 
-def observability(steps: DataFrame, by: str = "agent", adherence: float = 0.95, unmapped: float = 0.05) -> DataFrame:
-    """Step rates of an agent and whether its traces may be judged."""
-    g = keyed(steps, by).groupBy(by).agg(F.count(F.lit(1)).alias("steps"), rate(F.col("actionable")).alias("actionable_rate"), rate(F.col("unmapped")).alias("unmapped_rate"), rate(F.col("reasoned")).alias("reasoned_rate"))
-    return g.withColumn("eligible", (F.col("actionable_rate") >= adherence) & (F.col("unmapped_rate") <= unmapped))
+def observability(steps: DataFrame, a: DataFrame, by: str = "agent", adherence: float = 0.95, unmapped: float = 0.05, reason: str = "reasoning is not mapped to visible actions") -> DataFrame:
+    """Attempts and step rates of an agent, and whether its traces may be judged; an agent without steps has rates of 0."""
+    s = keyed(steps, by).groupBy(by).agg(F.count(F.lit(1)).alias("steps"), *[rate(F.col(c)).alias(f"{c}_rate") for c in ("actionable", "unmapped", "reasoned", "ran")], total(F.col("hidden_tokens")).alias("hidden_tokens"), total(F.col("reasoning_chars")).alias("reasoning_chars"))
+    n = F.count(F.lit(1))
+    t = keyed(a, by).groupBy(by).agg(n.alias("attempted"), F.count_if("valid").alias("valid_n"), (1 - F.count_if(F.col("stop_reason").isin(*PROTOCOL)) / n).alias("format_adherence"))
+    g = t.join(s, by, "left").fillna(0)
+    g = g.withColumn("eligible", (F.col("format_adherence") >= adherence) & (F.col("unmapped_rate") <= unmapped))
+    return g.withColumn("exclusion", F.when(F.col("eligible"), "").otherwise(reason))
 
 
 def evaluator_coverage(a: DataFrame, calls: DataFrame, by: str = "agent") -> DataFrame:

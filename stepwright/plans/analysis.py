@@ -29,27 +29,44 @@ def r(x: str) -> str:
 
 
 _Z = stats.Z95
-_P = "(sum(V)::DOUBLE / count(*))"
+_SV = "count(*) FILTER (valid AND V = 1)"
+_P = f"({_SV}::DOUBLE / count(*))"
 _HALF = f"sqrt({_P} * (1 - {_P}) / count(*) + {_Z * _Z} / (4.0::DOUBLE * count(*) * count(*))) * {_Z} / (1 + {_Z * _Z} / count(*))"
 _CENTRE = f"({_P} + {_Z * _Z} / (2.0::DOUBLE * count(*))) / (1 + {_Z * _Z} / count(*))"
+_INFRA = "stop_reason IN ('api_error', 'worker_exception', 'trajectory_timeout')"
+_DONE = "stop_reason = 'explicit_final_answer'"
+
+
+def each(form: str, names: str, alias: str) -> str:
+    """The form for every name, rounded and named by the alias; {} is the name, {l} in lower case."""
+    return ", ".join(f"{r(form.format(x, l=x.lower()))} AS \"{alias.format(x, l=x.lower())}\"" for x in names.split())
+
 
+def floored(k: str) -> str:
+    n = f"count(*) FILTER (valid AND {k} = 1)"
+    return f"CASE WHEN {n} = 0 THEN sum(tokens)::DOUBLE / 1e-12 ELSE {r(f'sum(tokens)::DOUBLE / greatest({n}::DOUBLE, 1e-12)')} END"
 
-@query("core_operational", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS attempted, count(*) FILTER (valid) AS valid_n, {r('sum(C)::DOUBLE / count(*)')} AS c, {r('sum(G)::DOUBLE / count(*)')} AS g, {r('sum(V)::DOUBLE / count(*)')} AS v,
- {r('avg(Q) FILTER (valid AND eligible)')} AS q, {r('avg(PTU) FILTER (valid AND eligible)')} AS ptu, CASE WHEN sum(V) = 0 THEN sum(tokens)::DOUBLE / 1e-12 ELSE {r('sum(tokens)::DOUBLE / greatest(sum(V)::DOUBLE, 1e-12)')} END AS tokens_per_solve, {r('quantile_cont(latency, 0.95)')} AS latency_p95,
- {r(f'greatest(0, {_CENTRE} - {_HALF})')} AS v_lo, {r(f'least(1, {_CENTRE} + {_HALF})')} AS v_hi FROM a GROUP BY agent""")
+
+@query("core_operational", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS attempted, count(*) FILTER (valid) AS valid_n, {r('avg(valid::INT)')} AS coverage, {r('avg(valid::INT)')} AS format_adherence, {r(f'avg(({_INFRA})::INT)')} AS infrastructure_rate,
+ {each('count(*) FILTER (valid AND {} = 1)::DOUBLE / count(*)', 'C G V', '{l}')}, {each('avg({}) FILTER (valid)', 'C G V', '{l}_valid')}, {each('avg({}) FILTER (valid AND eligible)', 'Q PTU R E', '{l}')},
+ sum(tokens)::BIGINT AS tokens, {r('avg(tokens)')} AS tokens_per_attempt, {floored('C')} AS tokens_per_correct, {floored('V')} AS tokens_per_solve, {r('avg(latency)')} AS latency_mean, {r('quantile_cont(latency, 0.95)')} AS latency_p95,
+ bool_and(eligible) AS eligible, CASE WHEN bool_and(eligible) THEN '' ELSE 'excluded' END AS exclusion, {r(f'greatest(0, {_CENTRE} - {_HALF})')} AS v_lo, {r(f'least(1, {_CENTRE} + {_HALF})')} AS v_hi FROM a GROUP BY agent""")
 def core_operational(spark, d):
     return summary.core_table(attempts(spark, d))
 
 
-@query("run_summary", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS n, {r('avg(C)')} AS c, {r('avg(G)')} AS g, {r('avg(V)')} AS v, {r('avg(Q)')} AS q, {r('avg(PTU)')} AS ptu, {r('avg(R)')} AS r, {r('avg(E)')} AS e,
- {r('sum(tokens)::DOUBLE / count(*)')} AS tokens_per_attempt, {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS tokens_per_verified, {r('avg(latency)')} AS latency_mean, {r('quantile_cont(latency, 0.5)')} AS latency_median, {r('quantile_cont(latency, 0.95)')} AS latency_p95 FROM a GROUP BY agent""")
+@query("run_summary", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS n, {each('avg({})', 'C G V Q PTU R E', '{l}')}, {r('sum(tokens)::DOUBLE / count(*)')} AS tokens_per_attempt, {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS tokens_per_verified,
+ {r('avg(latency)')} AS latency_mean, {r('quantile_cont(latency, 0.5)')} AS latency_median, {r('quantile_cont(latency, 0.95)')} AS latency_p95, {each('avg({})', 'service pace retry_wait total_steps', '{}_mean')}, {r('avg(valid::INT)')} AS completion_rate, {r('avg(timed_out::INT)')} AS timeout_rate,
+ sum(retry_count)::BIGINT AS retry_count, sum(truncated_steps)::BIGINT AS truncated_steps, sum(critic_calls)::BIGINT AS critic_calls, sum(critic_errors)::BIGINT AS critic_errors,
+ count(*) FILTER (judge_used OR needs_judge) AS symbolic_inconclusive, count(*) FILTER (judge_used) AS judge_fallbacks, count(*) FILTER (needs_judge) AS judge_queue FROM a GROUP BY agent""")
 def run_summary(spark, d):
     return summary.run_summary(attempts(spark, d))
 
 
-@query("repair_summary", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS attempted, count(*) FILTER (valid) AS valid_n, {r('sum(C)::DOUBLE / count(*)')} AS c_operational, {r('sum(G)::DOUBLE / count(*)')} AS g_operational, {r('sum(V)::DOUBLE / count(*)')} AS v_operational,
- {r('avg(C) FILTER (valid)')} AS c_valid, {r('avg(V) FILTER (valid)')} AS v_valid, {r('avg(Q) FILTER (valid)')} AS q_valid, {r('avg(PTU) FILTER (valid)')} AS ptu_valid, {r("1 - count(*) FILTER (stop_reason IN ('format_error_limit', 'answer_only_violation_limit'))::DOUBLE / count(*)")} AS format_adherence,
- {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS tokens_per_solve FROM a GROUP BY agent""")
+@query("repair_summary", f"""WITH {ATTEMPTS_SQL} SELECT agent, count(*) AS attempted, count(*) FILTER (valid) AS valid_n, {r('avg(valid::INT)')} AS coverage, {r("1 - count(*) FILTER (stop_reason IN ('format_error_limit', 'answer_only_violation_limit'))::DOUBLE / count(*)")} AS format_adherence, {r(f'avg(({_INFRA})::INT)')} AS infrastructure_rate,
+ {each('sum({})::DOUBLE / count(*)', 'C G V', '{l}_operational')}, {each('avg({}) FILTER (valid)', 'C G V Q PTU R E', '{l}_valid')}, sum(tokens)::BIGINT AS tokens, {r('avg(tokens)')} AS tokens_per_attempt, {r('sum(tokens)::DOUBLE / nullif(sum(C), 0)')} AS tokens_per_correct, {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS tokens_per_solve,
+ {r('sum(latency) / nullif(sum(V), 0)')} AS seconds_per_solve, {r('avg(latency)')} AS latency_mean, count(*) FILTER (valid AND needs_judge) AS unresolved, count(*) FILTER (valid AND judge_used) AS judge_fallbacks,
+ coalesce(sum(critic_calls) FILTER (valid), 0)::BIGINT AS critic_selected, coalesce(sum(critic_calls - critic_errors) FILTER (valid), 0)::BIGINT AS critic_success FROM a GROUP BY agent""")
 def repair_summary(spark, d):
     return summary.repair_summary(attempts(spark, d))
 
@@ -96,9 +113,13 @@ def subject_pivot(spark, d):
     return summary.pivot_mean(attempts(spark, d), "level", "dataset", ["de", "en", "es", "fr"], "C")
 
 
-@query("coverage_missingness", f"""WITH {ALL_ATTEMPTS_SQL} SELECT agent, count(*) AS n, count(DISTINCT problem_id) AS problems, count(*) FILTER (C IS NULL) AS "C_missing", count(*) FILTER (V IS NULL) AS "V_missing", count(*) FILTER (C = 0) AS "C_zero", count(*) FILTER (V = 0) AS "V_zero" FROM a GROUP BY agent""")
+_MISSING = ", ".join(f'count(*) FILTER ({m} IS NULL) AS "{m}_missing", count(*) FILTER ({m} = 0) AS "{m}_zero"' for m in "CGV")
+_MISSING += ", " + ", ".join(f'CASE WHEN bool_and(eligible) THEN count(*) FILTER ({m} IS NULL) ELSE count(*) END AS "{m}_missing", CASE WHEN bool_and(eligible) THEN count(*) FILTER ({m} = 0) END AS "{m}_zero"' for m in ("Q", "PTU", "R"))
+
+
+@query("coverage_missingness", f"""WITH {ALL_ATTEMPTS_SQL} SELECT agent, count(*) AS n, count(DISTINCT problem_id) AS problems, {r('avg(valid::INT)')} AS completion_rate, {r(f'avg(({_INFRA})::INT)')} AS infrastructure_rate, count(*) FILTER (judge_used) AS judge_fallbacks, count(*) FILTER (needs_judge) AS unresolved, bool_and(eligible) AS eligible, {_MISSING} FROM a GROUP BY agent""")
 def coverage_missingness(spark, d):
-    return summary.coverage(all_attempts(spark, d), ["C", "V"])
+    return summary.coverage(all_attempts(spark, d), ["C", "G", "V", "Q", "PTU", "R"])
 
 
 @query("view_sensitivity", f"""WITH {ATTEMPTS_SQL}, v AS (SELECT 'all_attempted' AS view, * FROM a UNION ALL SELECT 'completed_only', * FROM a WHERE stop_reason = 'explicit_final_answer' UNION ALL SELECT 'infrastructure_clean', * FROM a WHERE stop_reason NOT IN ('api_error', 'worker_exception', 'trajectory_timeout'))
@@ -119,10 +140,6 @@ def latency_ecdf(spark, d):
     return seq.ecdf(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "value", ["event_id"])
 
 
-_INFRA = "stop_reason IN ('api_error', 'worker_exception', 'trajectory_timeout')"
-_DONE = "stop_reason = 'explicit_final_answer'"
-
-
 @query("reliability", f"""WITH {ATTEMPTS_SQL} SELECT agent, {r(f'avg((NOT {_INFRA})::INT)')} AS availability, {r(f'avg(({_DONE})::INT)')} AS completion, {r(f'avg(C) FILTER ({_DONE})')} AS c_completed, {r(f'avg(V) FILTER ({_DONE})')} AS v_completed, {r('avg(C)')} AS c_all, {r('avg(V)')} AS v_all FROM a GROUP BY agent""")
 def reliability(spark, d):
     return summary.reliability(attempts(spark, d))
@@ -145,7 +162,8 @@ def redundancy_by_outcome(spark, d):
     return summary.by_outcome(attempts(spark, d), "R")
 
 
-@query("cost_per_solve", f"""WITH {ATTEMPTS_SQL} SELECT agent, {r('sum(tokens)::DOUBLE / count(*)')} AS per_attempt, {r('sum(tokens)::DOUBLE / nullif(sum(C), 0)')} AS per_correct, {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS per_verified FROM a GROUP BY agent""")
+@query("cost_per_solve", f"""WITH {ATTEMPTS_SQL} SELECT agent, {r('sum(tokens)::DOUBLE / count(*)')} AS per_attempt, {r('sum(tokens)::DOUBLE / nullif(sum(C), 0)')} AS per_correct, {r('sum(tokens)::DOUBLE / nullif(sum(V), 0)')} AS per_verified, {r('sum(latency) / nullif(sum(C), 0)')} AS seconds_per_correct, {r('sum(latency) / nullif(sum(V), 0)')} AS seconds_per_verified,
+ {r('sum(hidden)::DOUBLE / greatest(sum(api_output), 1)')} AS hidden_share, {r('sum(answer_reporting)::DOUBLE / greatest(sum(api_output), 1)')} AS reporting_share FROM a GROUP BY agent""")
 def cost_per_solve(spark, d):
     return summary.cost_per_solve(attempts(spark, d))
 
@@ -170,20 +188,31 @@ def paired_tests(spark, d):
     return h.drop("family", "p9")
 
 
-@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, v AS (SELECT agent, C::DOUBLE AS v, row_number() OVER (PARTITION BY agent ORDER BY problem_id) - 1 AS i, count(*) OVER (PARTITION BY agent) AS n FROM a WHERE agent IS NOT NULL AND C IS NOT NULL),
- k AS (SELECT DISTINCT agent, n FROM v), b AS (SELECT agent, n, b, unnest(range(n)) AS k FROM (SELECT *, unnest(range(50)) AS b FROM k)),
- p AS (SELECT agent, b, ('0x' || substr(md5('42:' || b || ':' || k), 1, 8))::BIGINT % n AS i FROM b), m AS (SELECT agent, b, avg(v) AS m FROM p JOIN v USING (agent, i) GROUP BY agent, b)
- SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
+_DRAWN = "(" + " + ".join(f"(h >= {t})::INT" for t in stats.POISSON_STEPS) + ")"
+
+
+def _hash(key: str) -> str:
+    return f"('0x' || substr(md5('42:' || b || ':' || {key}), 1, 8))::BIGINT"
+
+
+@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, d AS (SELECT agent, b, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(5000)) AS b FROM a WHERE agent IS NOT NULL AND C IS NOT NULL)),
+ m AS (SELECT agent, b, sum(C * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", ["problem_id"], replicates=50)
+    return stats.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", "problem_id", replicates=5000)
+
+
+@query("paired_bootstrap", f"""WITH {GRID_SQL}, p AS (SELECT a.agent AS left_, b.agent AS right_, problem_id, a.C - b.C AS x FROM g a JOIN g b USING (problem_id) WHERE a.agent < b.agent), d AS (SELECT left_, right_, b, x, {_hash('problem_id')} AS h FROM (SELECT *, unnest(range(5000)) AS b FROM p)),
+ m AS (SELECT left_, right_, b, sum(x * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY ALL), k AS (SELECT left_, right_, avg(x) AS mean_diff FROM p GROUP BY ALL)
+ SELECT left_ AS "left", right_ AS "right", {r('any_value(mean_diff)')} AS mean_diff, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m JOIN k USING (left_, right_) GROUP BY left_, right_""")
+def paired_bootstrap(spark, d):
+    return stats.paired_bootstrap(grid(spark, d), "agent", "problem_id", "C")
 
 
-@query("rank_stability", f"""WITH {GRID_SQL}, u AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT problem_id FROM g)),
- d AS (SELECT b, ('0x' || substr(md5('42:' || b || ':' || k), 1, 8))::BIGINT % (SELECT max(n) FROM u) AS i FROM (SELECT b, unnest(range((SELECT max(n) FROM u))) AS k FROM range(25) t(b))),
- m AS (SELECT b, agent, avg(C) AS m FROM d JOIN u USING (i) JOIN g USING (problem_id) GROUP BY b, agent), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(m, 9) DESC, agent) AS rank FROM m)
+@query("rank_stability", f"""WITH {GRID_SQL}, d AS (SELECT b, agent, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(2000)) AS b FROM g)),
+ m AS (SELECT b, agent, sum(C * {_DRAWN})::DOUBLE / sum({_DRAWN}) AS m FROM d GROUP BY b, agent HAVING sum({_DRAWN}) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(m, 9) DESC, agent) AS rank FROM m)
  SELECT agent, {r('avg(rank)')} AS mean_rank, {r('quantile_cont(rank, 0.5)')} AS median_rank, {r('avg((rank = 1)::INT)')} AS p_first FROM k GROUP BY agent""")
 def rank_stability(spark, d):
-    return stats.rank_stability(grid(spark, d), "agent", "problem_id", "C", replicates=25)
+    return stats.rank_stability(grid(spark, d), "agent", "problem_id", "C", replicates=2000)
 
 
 @query("prm_agreement", f"""WITH x AS (SELECT l_returnflag AS model, l_quantity AS x, l_tax AS y FROM lineitem), k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY model ORDER BY y) + (count(*) OVER (PARTITION BY model, y) - 1) / 2.0::DOUBLE AS ry FROM x)

@@ -148,10 +148,15 @@ def budget_curves(spark, d):
     return st.budget_status(s, ["conv_id"], "turn", (32, 64, 128, 512)).groupBy("budget").agg(F.avg("c").alias("c"), F.avg("g").alias("g"), F.avg("v").alias("v"))
 
 
-@query("trace_observability", f"WITH {STEPS_SQL} SELECT agent, count(*) AS steps, {r('avg((action_type <> {0})::INT)'.format(chr(39) + 'none' + chr(39)))} AS actionable_rate, {r('avg((output_tokens = 0)::INT)')} AS unmapped_rate, {r('avg((output_tokens > 20)::INT)')} AS reasoned_rate, avg((action_type <> 'none')::INT) >= 0.95 AND avg((output_tokens = 0)::INT) <= 0.05 AS eligible FROM s GROUP BY agent")
+@query("trace_observability", f"""WITH {STEPS_SQL}, t AS (SELECT *, 'a' || conv_id % 4 AS who, output_tokens > 20 AS reasoned, action_type = 'code' AND error_flag = 0 AS ran FROM s),
+ k AS (SELECT who, count(*) AS steps, {r("avg((action_type <> 'none')::INT)")} AS actionable_rate, {r('avg((output_tokens = 0)::INT)')} AS unmapped_rate, {r('avg(reasoned::INT)')} AS reasoned_rate, {r('avg(ran::INT)')} AS ran_rate, sum(hidden_tokens)::BIGINT AS hidden_tokens, sum(output_tokens * 4)::BIGINT AS reasoning_chars FROM t GROUP BY who),
+ c AS (SELECT DISTINCT conv_id, 'a' || conv_id % 4 AS who FROM s), v AS (SELECT who, count(*) AS attempted, count(*) FILTER (conv_id % 5 > 0) AS valid_n, 1 - count(*) FILTER (conv_id % 28 = 3)::DOUBLE / count(*) AS adherence FROM c GROUP BY who)
+ SELECT who AS agent, attempted, valid_n, {r('adherence')} AS format_adherence, steps, actionable_rate, unmapped_rate, reasoned_rate, ran_rate, hidden_tokens, reasoning_chars, adherence >= 0.95 AND unmapped_rate <= 0.05 AS eligible, CASE WHEN adherence >= 0.95 AND unmapped_rate <= 0.05 THEN '' ELSE 'reasoning is not mapped to visible actions' END AS exclusion FROM v JOIN k USING (who)""")
 def trace_observability(spark, d):
-    s = steps(spark, d).withColumn("actionable", F.col("action_type") != "none").withColumn("unmapped", F.col("output_tokens") == 0).withColumn("reasoned", F.col("output_tokens") > 20)
-    return summary.observability(s)
+    who = F.concat(F.lit("a"), (F.col("conv_id") % 4).cast("string"))
+    s = steps(spark, d).withColumns({"agent": who, "actionable": F.col("action_type") != "none", "unmapped": F.col("output_tokens") == 0, "reasoned": F.col("output_tokens") > 20, "ran": (F.col("action_type") == "code") & (F.col("error_flag") == 0), "reasoning_chars": F.col("output_tokens") * 4})
+    a = s.select("conv_id", "agent").distinct().withColumns({"valid": F.col("conv_id") % 5 > 0, "stop_reason": F.when(F.col("conv_id") % 28 == 3, "format_error_limit").otherwise("explicit_final_answer")})
+    return summary.observability(s, a)
 
 
 @query("evaluator_coverage", f"""WITH a AS (SELECT source AS agent, quality AS C, n_chars % 10 > 3 AS valid FROM documents LEFT JOIN labels USING (doc_id)), k AS (SELECT source AS agent, CASE WHEN n_chars % 6 = 0 THEN 'failed' ELSE 'success' END AS status FROM documents WHERE source < 'src5'),
@@ -290,7 +295,7 @@ def canonical_digests(spark, d):
 @query("replay_controller")
 def replay_controller(spark, d):
     s = steps(spark, d).join(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    fence = F.when(F.col("action_type") == "answer", F.concat(F.lit("```answer\n"), F.col("position").cast("string"), F.lit("\n```"))).when(F.col("action_type") == "code", F.concat(F.lit("```python\nprint('"), F.substring("text", 1, 20), F.lit("')\n```"))).otherwise(F.col("text"))
+    fence = F.when(F.col("action_type") == "answer", F.concat(F.lit("```answer\n"), F.col("position").cast("string"), F.lit("\n```"))).when(F.col("action_type") == "code", F.concat(F.lit("```python\nprint('''"), F.col("text"), F.lit("''')\n```"))).otherwise(F.col("text"))
     s = s.withColumn("raw_response", fence).withColumn("code_success", F.col("error_flag") == 0)
     return replay.replay(s, ["conv_id"], "turn")
 

@@ -31,6 +31,11 @@ def _attempt_columns(d: DataFrame) -> DataFrame:
         n.alias("tokens"), (n / 1000.0).alias("latency"), ((n % 101) / 100.0).alias("Q"), ((n % 97) / 96.0).alias("PTU"), ((n % 13) / 13.0).alias("R"), stop.alias("stop_reason"),
     )
     d = d.withColumn("valid", F.col("stop_reason") == "explicit_final_answer").withColumn("eligible", ~F.col("agent").isin("src3", "src7"))
+    n = F.col("tokens")
+    d = d.withColumns({
+        "total_steps": n % 6 + 1, "service": (n % 211) / 10.0, "pace": (n % 31) / 10.0, "retry_wait": (n % 17) / 10.0, "retry_count": n % 4, "truncated_steps": n % 3, "timed_out": F.col("stop_reason") == "trajectory_timeout",
+        "judge_used": n % 8 == 0, "needs_judge": n % 9 == 0, "critic_calls": n % 5, "critic_errors": ((n % 5 > 0) & (n % 7 == 0)).cast("long"), "hidden": n % 19, "answer_reporting": n % 23, "api_output": n % 500,
+    })
     return d.withColumn("E", F.col("V") * F.col("PTU") * F.col("Q") * (1 - F.col("R")))
 
 
@@ -47,6 +52,8 @@ def all_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _A = """SELECT doc_id AS problem_id, source AS agent, lang AS dataset, n_chars % 5 AS level, quality AS C, toxic AS G, quality * toxic AS V,
   n_chars AS tokens, n_chars / 1000.0::DOUBLE AS latency, (n_chars % 101) / 100.0::DOUBLE AS Q, (n_chars % 97) / 96.0::DOUBLE AS PTU, (n_chars % 13) / 13.0::DOUBLE AS R,
   CASE n_chars % 10 WHEN 0 THEN 'api_error' WHEN 1 THEN 'format_error_limit' WHEN 2 THEN 'trajectory_timeout' WHEN 3 THEN 'max_steps' ELSE 'explicit_final_answer' END AS stop_reason,
+  n_chars % 6 + 1 AS total_steps, (n_chars % 211) / 10.0::DOUBLE AS service, (n_chars % 31) / 10.0::DOUBLE AS pace, (n_chars % 17) / 10.0::DOUBLE AS retry_wait, n_chars % 4 AS retry_count, n_chars % 3 AS truncated_steps, n_chars % 10 = 2 AS timed_out,
+  n_chars % 8 = 0 AS judge_used, n_chars % 9 = 0 AS needs_judge, n_chars % 5 AS critic_calls, (n_chars % 5 > 0 AND n_chars % 7 = 0)::BIGINT AS critic_errors, n_chars % 19 AS hidden, n_chars % 23 AS answer_reporting, n_chars % 500 AS api_output,
   n_chars % 10 > 3 AS valid, source NOT IN ('src3', 'src7') AS eligible,
   (quality * toxic) * ((n_chars % 97) / 96.0::DOUBLE) * ((n_chars % 101) / 100.0::DOUBLE) * (1 - (n_chars % 13) / 13.0::DOUBLE) AS E"""
 ATTEMPTS_SQL = f"a AS ({_A} FROM labels JOIN documents USING (doc_id))"
