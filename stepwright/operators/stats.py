@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.semantics import hash_pick, ratio
+from ..functions.semantics import hash_order, ratio
 from .sequences import key_ranges
 
 Z95 = 1.959963984540054
@@ -63,8 +63,11 @@ POISSON_STEPS = [round(p * 2**32) for p in POISSON]
 
 def resampled(replicate: Column, key: Column, seed: int = 42) -> Column:
     """How often a replicate draws a row: a Poisson count from md5 of seed, replicate and key, so any engine draws the same."""
-    h = hash_pick(seed, replicate, key, of=F.lit(2**32))
-    return sum(((h >= t).cast("int") for t in POISSON_STEPS[1:]), (h >= POISSON_STEPS[0]).cast("int"))
+    draw = hash_order(seed, replicate, key)
+    count = F.lit(len(POISSON_STEPS))
+    for k, t in reversed(list(enumerate(POISSON_STEPS))):
+        count = F.when(draw < f"{t:08x}", k).otherwise(count)
+    return count
 
 
 def bootstrap_means(df: DataFrame, keys: list[str], value: str, row: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -88,26 +91,17 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, row: str, replicate
 
 def paired_bootstrap(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
     """left, right, mean difference and its percentile interval when the problems that both have are resampled."""
-    j = pair_outcomes(df, agent, problem, value).withColumn("_d", F.col("x") - F.col("y"))
-    mean = j.groupBy("left", "right").agg(F.avg("_d").alias("mean_diff"))
-    return mean.join(bootstrap_ci(j, ["left", "right"], "_d", problem, replicates, seed), ["left", "right"], "left")
+    j = pair_outcomes(df, agent, problem, value).withColumn("_d", (F.col("x") - F.col("y")).cast("double"))
+    rows = j.groupBy(problem).agg(F.collect_list(F.struct("left", "right", "_d")).alias("_all"))
+    m = _weighed(rows, problem, replicates, seed).groupBy("b", "x.left", "x.right").agg(ratio(F.sum(F.col("x._d") * F.col("_w")), F.sum("_w")).alias("m"))
+    bounds = m.groupBy("left", "right").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return j.groupBy("left", "right").agg(F.avg("_d").alias("mean_diff")).join(bounds, ["left", "right"], "left")
 
 
-def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """As bootstrap_ci with numpy's generator, seeded anew for each group; one group of values at a time."""
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        lo = hi = None
-        if len(v):
-            m = v[np.random.default_rng(seed).integers(0, len(v), (replicates, len(v)))].mean(axis=1)
-            lo, hi = np.quantile(m, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*pdf[keys].iloc[0], lo, hi]], columns=[*keys, "lo", "hi"])
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*{*keys, *order, value}).groupBy(*keys).applyInPandas(one, f"{kinds}, lo double, hi double")
+def _weighed(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """b, _w, x: the entries of each row's array ``_all`` with the number of times that replicate b draws the row."""
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col(key), seed)).filter("_w > 0")
+    return drawn.select("b", "_w", F.explode("_all").alias("x"))
 
 
 def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
@@ -117,8 +111,7 @@ def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicat
     is made once a replicate and problem and holds for all agents.
     """
     rows = df.filter(F.col(value).isNotNull()).groupBy(problem).agg(F.collect_list(F.struct(F.col(agent).alias("agent"), F.col(value).cast("double").alias("v"))).alias("_all"))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col(problem), seed)).filter("_w > 0")
-    means = drawn.select("b", "_w", F.explode("_all").alias("x")).groupBy("b", F.col("x.agent").alias(agent)).agg((F.sum(F.col("x.v") * F.col("_w")) / F.sum("_w")).alias("m"))
+    means = _weighed(rows, problem, replicates, seed).groupBy("b", F.col("x.agent").alias(agent)).agg((F.sum(F.col("x.v") * F.col("_w")) / F.sum("_w")).alias("m"))
     ranked = means.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc(F.round("m", 9)), agent)))
     return ranked.groupBy(agent).agg(F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.avg((F.col("rank") == 1).cast("double")).alias("p_first"))
 

@@ -213,3 +213,10 @@ def apply_critic(steps: DataFrame, verdicts: DataFrame, keys: list[str]) -> Data
 
 def overall(v: Column, ptu: Column, q: Column, harmful: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v * ptu * q * (1 - harmful)))
+
+
+def latency(steps: DataFrame, *keys: str) -> DataFrame:
+    """Seconds of requests, service, pacing and retries of each attempt, its request attempts, those beyond a step's first, and cut steps."""
+    seconds = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("request_sec", "service_sec", "pace_sec", "retry_wait_sec")]
+    tries = F.coalesce(F.col("request_attempts"), F.lit(0))
+    return steps.groupBy(*keys).agg(*seconds, F.sum(tries).alias("request_attempts"), F.sum(F.greatest(F.lit(0), tries - 1)).alias("retry_count"), F.count_if(F.coalesce("truncated", F.lit(False))).alias("truncated_steps"))

@@ -282,3 +282,30 @@ def test_assembled_rows(spark):
     a, b = spark.createDataFrame([(1, 5)], "k int, x int"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, s string")
     got = {r["k"]: (r["Q"], r["T"]) for r in queues.assemble(["k"], ("Q", a), ("T", b)).collect()}
     assert got[1][0]["x"] == 5 and got[2][0] is None and got[2][1]["s"] == "z"
+
+
+def test_positions_are_places_in_key_order(spark):
+    keys = [None, "b", "a", "c", "b", *[f"k{i:04d}" for i in range(500)]]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = sorted((r["at"], r["k"]) for r in sequences.positions(df, "k", "at").filter("k is not null").collect())
+    assert [k for _, k in got] == sorted(k for k in keys if k) and [a for a, _ in got] == list(range(1, len(keys)))
+    assert sequences.positions(df.limit(0), "k", "at").collect() == []
+
+
+def test_poisson_counts_have_mean_and_variance_one(spark):
+    w = stats.resampled(F.col("id"), F.lit("x"))
+    r = spark.range(20000).select(w.alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
+    assert abs(r["m"] - 1) < 0.03 and abs(r["v"] - 1) < 0.05
+
+
+def test_bootstrap_interval_is_near_the_normal_one(spark):
+    df = spark.createDataFrame([("g", i, float(i % 10 < 3)) for i in range(400)], "g string, i int, v double")
+    r = stats.bootstrap_ci(df, ["g"], "v", "i", 1000).first()
+    half = 1.96 * (0.3 * 0.7 / 400) ** 0.5
+    assert abs(r["lo"] - (0.3 - half)) < 0.01 and abs(r["hi"] - (0.3 + half)) < 0.01
+
+
+def test_paired_bootstrap_of_a_constant_difference(spark):
+    df = spark.createDataFrame([(a, i, float(a == "p")) for a in "pq" for i in range(30)] + [("r", 1, None)], "a string, i int, v double")
+    (r,) = stats.paired_bootstrap(df, "a", "i", "v", 50).collect()
+    assert (r["left"], r["right"], r["mean_diff"], r["lo"], r["hi"]) == ("p", "q", 1.0, 1.0, 1.0)
