@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,6 +106,23 @@ def _weighed(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame
     return drawn.select("b", "_w", F.explode("_all").alias("x"))
 
 
+def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """As bootstrap_ci with numpy's generator, seeded anew for each group; one group of values at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(order)[value].dropna().to_numpy(float)
+        lo = hi = None
+        if len(v):
+            m = v[np.random.default_rng(seed).integers(0, len(v), (replicates, len(v)))].mean(axis=1)
+            lo, hi = np.quantile(m, [(1 - level) / 2, (1 + level) / 2])
+        return pd.DataFrame([[*pdf[keys].iloc[0], lo, hi]], columns=[*keys, "lo", "hi"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*{*keys, *order, value}).groupBy(*keys).applyInPandas(one, f"{kinds}, lo double, hi double")
+
+
 def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """agent, mean and median rank and share of first ranks when problems are resampled jointly.
 
@@ -131,6 +150,40 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return g.withColumn("rho", F.when(F.col("n") > 1, F.col("rho")))
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0
+    for m in range(200, 0, -1):  # from the innermost term outwards
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = even / (1 + odd / (1 + value))
+    first = -(a + b) * x / (a + 1)
+    return front / (1 + first / (1 + value))
+
+
+def rank_p_value(rho: float | None, n: int) -> float | None:
+    """Two-sided p of a rank correlation of n pairs, by Student's t; NULL for fewer than three."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    t2 = rho * rho * (n - 2) / (1 - rho * rho)
+    return beta_share((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def with_p_value(correlations: DataFrame, out: str = "p") -> DataFrame:
+    """Rows of (rho, n), one a pair of columns, with the p value of each."""
+    import pandas as pd
+
+    p = F.pandas_udf(lambda rho, n: pd.Series([rank_p_value(None if r != r else r, int(k)) for r, k in zip(rho, n)], dtype=float), "double")
+    return correlations.withColumn(out, p("rho", "n"))
+
+
 def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
     """Rows that no other row beats: none is cheaper or as cheap with at least the value, one of both strictly.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import frame
 from ..operators import steps as st
 from .analysis import r
 from .tables import ALL_ATTEMPTS_SQL, STEPS_SQL, all_attempts, rounded, steps, table
@@ -135,3 +136,49 @@ def observations(spark, d):
     n = F.coalesce(F.length("text"), F.lit(0))
     parts = lambda limit: tx.observation_text(n % 2 == 0, (n % 100) / 8.0, F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text")), F.when(n % 4 == 0, "boom"), n % 7 == 0, limit)
     return table(spark, d, "conversations").select("conv_id", "turn", (F.length(parts(1 << 30)) > 200).alias("cut"), F.md5(parts(200)).alias("digest"))
+
+
+def _nested(spark, d):
+    """Attempts as metric rows: their measures in structs, some of them absent."""
+    s = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
+    a, f = all_attempts(spark, d), F.col
+    return a.select(
+        "agent", "problem_id", "dataset", f("level").cast("string").alias("subject"), f("valid").alias("finished"), "stop_reason", f("valid").alias("valid_trajectory"), f("E").alias("E_optional"), f("latency").alias("elapsed_sec"),
+        s(C_final=f("C"), G=f("G"), V=f("V"), judge_used=f("judge_used"), needs_judge=f("needs_judge")).alias("C_G_V"), s(Q_step=f("Q")).alias("Q"), s(PTU=f("PTU"), T_billable=f("tokens"), T_hidden_reasoning=f("hidden"), T_api_output=f("api_output")).alias("T"),
+        s(R_harmful=f("R")).alias("R"), s(L_trajectory_sec=F.when(f("tokens") % 2 == 0, f("latency")), retry_count=f("retry_count")).alias("L"),
+    )
+
+
+@query("analysis_frame", f"""WITH {ALL_ATTEMPTS_SQL} SELECT agent, problem_id, dataset, level::VARCHAR AS subject, valid AS finished, stop_reason, C::INT AS "C", G::INT AS "G", V::INT AS "V", NULL::VARCHAR AS "G_level", NULL::VARCHAR AS correctness_source, judge_used, needs_judge, {r('Q')} AS "Q", {r('PTU')} AS "PTU", tokens::BIGINT AS billable,
+ {', '.join(f'NULL::BIGINT AS {c}' for c in ('useful', 'pre_waste', 'post_waste', 'answer_reporting'))}, hidden::BIGINT AS hidden, NULL::INT AS solution_step, {r('R')} AS "R_harmful", NULL::DOUBLE AS "R_useful", NULL::DOUBLE AS "R_semantic", CASE WHEN tokens % 2 = 0 THEN {r('latency')} END AS latency,
+ {', '.join(f'NULL::DOUBLE AS {c}' for c in ('service', 'pace', 'retry_wait'))}, retry_count::BIGINT AS retry_count, stop_reason IN ('api_error', 'worker_exception', 'trajectory_timeout') AS infrastructure_failure, valid AS completed, CASE WHEN problem_id % 3 > 0 THEN (level + 1)::VARCHAR ELSE 'unknown' END AS level FROM a""")
+def analysis_frame(spark, d):
+    t = all_attempts(spark, d).filter("problem_id % 3 > 0").groupBy(F.col("agent").alias("agent_name"), "problem_id").agg((F.max("level") + 1).alias("level"))
+    return frame.canonical(_nested(spark, d), t)
+
+
+_TRACE = "CASE WHEN valid AND eligible THEN {} END"
+
+
+@query("metric_rows", f"""WITH {ALL_ATTEMPTS_SQL} SELECT agent, problem_id, dataset, level::VARCHAR AS subject, 'run' AS source, valid AS valid_trajectory, stop_reason, valid AS finished, C::DOUBLE AS "C_final", G::DOUBLE AS "G", V::DOUBLE AS "V",
+ {', '.join(f'CASE WHEN valid THEN coalesce({k}, 0) ELSE 0 END::DOUBLE AS "{k}_operational_row"' for k in 'CGV')}, {', '.join(f'{r(_TRACE.format(c))} AS "{n}"' for c, n in (('Q', 'Q'), ('PTU', 'PTU'), ('R', 'R_harmful'), ('E', 'E_optional_row')))},
+ tokens::DOUBLE AS "T_billable", 0.0::DOUBLE AS "T_api_input", api_output::DOUBLE AS "T_api_output", hidden::DOUBLE AS "T_hidden_reasoning", {', '.join(f'0.0::DOUBLE AS "T_{c}"' for c in ('useful', 'pre_waste', 'post_waste', 'answer_reporting'))},
+ {r('latency')} AS latency_sec, eligible AS trace_metric_eligible, CASE WHEN eligible THEN '' ELSE 'not mapped' END AS trace_exclusion_reason, NULL::VARCHAR AS correctness_source, NULL::VARCHAR AS "G_level" FROM a""")
+def metric_rows(spark, d):
+    who = spark.createDataFrame([("src3", False, "not mapped"), ("src7", False, "not mapped"), ("src1", True, None)], "agent string, eligible boolean, reason string")
+    return frame.metric_rows(_nested(spark, d), who, "run")
+
+
+_CLASS = "CASE label WHEN 'progressive' THEN 1.0 WHEN 'neutral_useful' THEN 0.5 WHEN 'neutral_waste' THEN 0.0 WHEN 'redundant' THEN -0.5 ELSE -1.0 END::DOUBLE"
+_VISIBLE = "greatest(0, output_tokens - hidden_tokens)"
+
+
+@query("touched_recompute", f"""WITH {STEPS_SQL}, k AS (SELECT conv_id, (avg({_CLASS}) + 1) / 2 AS q, coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer' AND label IN ('progressive', 'neutral_useful')), 0)::DOUBLE / greatest(coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer'), 0), 1) AS ptu FROM s GROUP BY conv_id),
+ m AS (SELECT conv_id, conv_id % 2 AS v, conv_id % 3 > 0 AS valid, CASE WHEN conv_id % 4 = 0 THEN greatest(0, least(1, q)) ELSE 0.5 END AS q, ptu FROM k)
+ SELECT conv_id, v AS "V", valid, 0.25::DOUBLE AS "R", {r('q')} AS "Q", {r('ptu')} AS "PTU", CASE WHEN valid THEN {r('greatest(0, least(1, v * ptu * q * 0.75::DOUBLE))')} ELSE 0 END::DOUBLE AS "E" FROM m""")
+def touched_recompute(spark, d):
+    s = steps(spark, d)
+    base = F.round(st.base_score(st.prm_signal(F.col("prm_delta")), F.col("tool_gain"), F.col("harmful_repeat"), F.col("error_flag")) + st.W_CRITIC * F.col("critic_signal"), 9)
+    s = s.withColumn("label", st.step_label(base, F.col("error_flag"), F.col("harmful_repeat"), F.col("useful_verification"))).withColumn("solution", F.lit(None).cast("int"))
+    m = s.select("conv_id").distinct().withColumns({"V": F.col("conv_id") % 2, "valid": F.col("conv_id") % 3 > 0, "Q": F.lit(0.5), "PTU": F.lit(0.0), "R": F.lit(0.25), "E": F.lit(0.0)})
+    return frame.recompute(m, s, m.filter("conv_id % 4 = 0"), ["conv_id"])

@@ -78,11 +78,24 @@ def safe_members(archive: zipfile.ZipFile, root: str) -> list[str]:
     return archive.namelist()
 
 
-def open_bundle(path: str) -> str:
-    """The folder of an archive: a folder as it is, a zip extracted safely to a temporary one."""
+def scratch_dir(spark: SparkSession | None) -> str | None:
+    """The mounted folder that all machines share, of spark.checkpoint.dir; None on a local master without it, where any folder will do."""
+    found = spark.conf.get("spark.checkpoint.dir", None) if spark else None
+    if found and (found.startswith("file:") or "://" not in found):
+        return "/" + found.removeprefix("file:").lstrip("/")
+    if spark and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a mounted folder that all executors share: archives are extracted there")
+    return None
+
+
+def open_bundle(path: str, spark: SparkSession | None = None) -> str:
+    """The folder of an archive: a folder as it is, a zip extracted safely to a new one that executors can read."""
     if os.path.isdir(path):
         return path
-    target = tempfile.mkdtemp(prefix="bundle-")
+    shared = scratch_dir(spark)
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    target = tempfile.mkdtemp(prefix="bundle-", dir=shared)
     with zipfile.ZipFile(path) as z:
         safe_members(z, target)
         z.extractall(target)
@@ -129,7 +142,7 @@ def export_zip(folder: str, path: str) -> str:
 
 def validate_archive(spark: SparkSession, path: str) -> dict:
     """Check required files, digests and counts of a generation archive; returns its counts or raises."""
-    folder = open_bundle(path)
+    folder = open_bundle(path, spark)
     paths = {n: member(folder, n) for n in REQUIRED_FILES}
     with open(paths["generation_manifest.json"], encoding="utf-8") as f:
         manifest = json.load(f)
@@ -163,7 +176,7 @@ def export_run(folder: str, tables: dict[str, DataFrame], kind: str, created_at:
 
 def load_run(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """The tables of an exported run, after its digests were checked."""
-    folder = open_bundle(path)
+    folder = open_bundle(path, spark)
     with open(member(folder, "manifest.json"), encoding="utf-8") as f:
         manifest = json.load(f)
     wrong = [r for r in verify_digests(file_digests(spark, folder), manifest["sha256"]).collect() if r["name"] != "manifest.json"]

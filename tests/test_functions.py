@@ -309,3 +309,15 @@ def test_paired_bootstrap_of_a_constant_difference(spark):
     df = spark.createDataFrame([(a, i, float(a == "p")) for a in "pq" for i in range(30)] + [("r", 1, None)], "a string, i int, v double")
     (r,) = stats.paired_bootstrap(df, "a", "i", "v", 50).collect()
     assert (r["left"], r["right"], r["mean_diff"], r["lo"], r["hi"]) == ("p", "q", 1.0, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("rho, n, p", [(0.5, 10, 0.1411), (0.9, 5, 0.0374), (0.0, 8, 1.0), (1.0, 6, 0.0), (0.3, 30, 0.1073), (None, 9, None), (0.5, 2, None)])
+def test_rank_p_values(rho, n, p):
+    got = stats.rank_p_value(rho, n)
+    assert got is None if p is None else abs(got - p) < 1e-4
+
+
+def test_p_values_of_correlations(spark):
+    df = spark.createDataFrame([("m", float(i), float((i * 7) % 11)) for i in range(11)], "k string, x double, y double")
+    r = stats.with_p_value(stats.spearman(df, ["k"], "x", "y")).first()
+    assert abs(r["p"] - stats.rank_p_value(r["rho"], 11)) < 1e-12

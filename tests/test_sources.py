@@ -43,6 +43,32 @@ def test_archive_validates(spark, tmp_path):
     assert archives.validate_archive(spark, make_archive(tmp_path)) == {"problems": 1, "trajectories": 2}
 
 
+def test_an_archive_of_600_rows_by_the_command(spark, tmp_path, capsys):
+    import hashlib
+
+    d = tmp_path / "batch"
+    d.mkdir()
+    (d / "problems.jsonl").write_text("".join(json.dumps({"id": f"p{i}"}) + "\n" for i in range(100)))
+    (d / "trajectories.jsonl").write_text("".join(json.dumps({"agent_name": f"a{k}", "problem_id": f"p{i}"}) + "\n" for k in range(6) for i in range(100)))
+    (d / "generation_health.csv").write_text("agent,records\n" + "".join(f"a{k},100\n" for k in range(6)))
+    sha = {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in d.iterdir()}
+    (d / "generation_manifest.json").write_text(json.dumps({"problem_count": 100, "trajectory_count": 600, "sha256": sha}))
+    path = archives.export_zip(str(d), str(tmp_path / "batch.zip"))
+    assert archives.main([path]) == 0 and "trajectories: 600" in capsys.readouterr().out
+    (d / "trajectories.jsonl").write_text("{}\n")
+    assert archives.main([archives.export_zip(str(d), str(tmp_path / "bad.zip"))]) == 1
+
+
+def test_bundles_are_extracted_in_the_shared_folder(tmp_path):
+    from types import SimpleNamespace as Has
+
+    session = lambda folder, master: Has(conf=Has(get=lambda name, default: folder), sparkContext=Has(master=master))
+    path = make_archive(tmp_path)
+    assert archives.open_bundle(path, session(f"file://{tmp_path}/shared", "spark://host")).startswith(f"{tmp_path}/shared/")
+    with pytest.raises(ValueError, match="share"):
+        archives.open_bundle(path, session(None, "spark://host"))
+
+
 @pytest.mark.parametrize(("broken", "says"), [("digest", "mismatch"), ("count", "declared")])
 def test_archive_with_a_fault_is_refused(spark, tmp_path, broken, says):
     with pytest.raises(ValueError, match=says):
