@@ -25,7 +25,7 @@ TASK_TEXTS = 20_000
 _LOCAL_TMP: dict[str, str] = {}
 
 #: Rows of an Arrow batch at most: whole texts are long, and a batch is held by the executor and by its worker.
-BATCH_ROWS = 4_000
+BATCH_ROWS = 1_000
 
 #: Memories of a worker process that end with each task: workers are used again, by other stages too.
 TASK_MEMORIES: list[dict] = []
