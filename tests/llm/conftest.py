@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -51,9 +52,19 @@ def edge_dir(tmp_path_factory):
     big = "<html><body><nav>menu</nav><article><h1>T</h1><p>" + prose(12, 50) + "</p></article></body></html>"
     pages = [(1, "http://www.A.example/x?b=1", big), (2, "http://a.example/y", big), (3, None, None), (4, "", ""), (5, "::odd::", "<p>short"), (6, "http://b.example:8080/", "<p>short"), (7, "http://a.example/x", big.replace("T", "U")), (8, "http://a.example/z\r\nX: y", "é&amp;<b>ü</b>" * 50), (8, "http://a.example/z\r\nX: y", "é&amp;<b>ü</b>" * 50)]
     pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(d / "pages.parquet")
+    vectors = edge_vectors()
+    pq.write_table(pa.table({"vec_id": pa.array([i for i, _ in vectors], pa.int64()), "embedding": pa.array([v for _, v in vectors], pa.list_(pa.float32())), "cluster": ["extra"] * len(vectors)}), d / "embeddings.parquet")
     return str(d)
 
 
+def edge_vectors() -> list[tuple]:
+    """Equal, opposite, tied and repeated vectors, a null id, and vectors that are not kept."""
+    unit = lambda i, x: [x if j == i else 0.0 for j in range(64)]
+    kept = [(i, unit(i % 7, ((i * 37) % 11 - 5) / 8)) for i in range(120)] + [(5, unit(3, 0.5)), (5, unit(3, 0.5)), (None, unit(1, -2.0)), (999, [0.0] * 64)]
+    nan, inf = float("nan"), float("inf")
+    return kept + [(200, None), (201, []), (202, [1.0] * 63), (203, [1.0] * 65), (204, unit(0, nan)), (205, unit(0, inf)), (206, unit(0, -inf)), (207, [None] + [1.0] * 63)]
+
+
 def passage_of(docs) -> str:
     return " ".join(docs.text[10].split()[35:70])
 
