@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.equivalence import equivalent
-from ..functions.text import math_normalize, normalize_answer, output_candidates
+from ..functions.algebra import first_equal, restates
+from ..functions.text import math_normalize, output_candidates
 
 #: Weights and thresholds of the step score.
 W_PRM, W_CRITIC, W_TOOL, W_REDUNDANT, W_ERROR = 0.45, 0.25, 0.15, -0.25, -0.50
@@ -116,12 +116,13 @@ def harmful_repeat(action: Column, exact: Column, semantic: Column, algebraic: C
 def useful_verification(success: Column, reasoning: Column, code: Column, stdout: Column, final_answer: Column) -> Column:
     """A successful run that speaks of checking and prints the final answer."""
     says = F.lower(F.concat_ws(" ", reasoning, code)).rlike(VERIFY_WORDS)
-    return F.coalesce(success & says & F.exists(output_candidates(stdout), lambda c: F.coalesce(equivalent(c, final_answer), F.lit(False))), F.lit(False))
+    asked = success & says
+    return F.coalesce(asked & first_equal(F.when(asked, output_candidates(stdout)), final_answer).isNotNull(), F.lit(False))
 
 
 def algebraic_restatement(now: Column, earlier: Column) -> Column:
     """Do two candidate lists hold values that are written differently and equal?"""
-    return F.exists(now, lambda a: F.exists(earlier, lambda b: (normalize_answer(a) != normalize_answer(b)) & F.coalesce(equivalent(a, b), F.lit(False))))
+    return restates(now, earlier)
 
 
 def tool_gain(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -139,8 +140,8 @@ def provenance(steps: DataFrame, keys: list[str], final_answer: str) -> DataFram
     """Per attempt: where a successful run first printed the final answer (step, candidate), how, and how many runs up to it."""
     ran = F.coalesce(F.col("code_success"), F.lit(False))
     d = steps.filter(ran).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("step_num")))
-    hit = F.filter(F.transform(output_candidates(F.col("stdout")), lambda c, i: F.struct(F.coalesce(equivalent(c, F.col(final_answer)), F.lit(False)).alias("hit"), c.alias("candidate"))), lambda x: x["hit"])
-    d = d.withColumn("_c", F.try_element_at(hit, F.lit(1))["candidate"])
+    d = d.withColumn("_all", output_candidates(F.col("stdout")))
+    d = d.withColumn("_c", F.get("_all", first_equal(F.col("_all"), F.col(final_answer)) - 1)).drop("_all")
     found = F.when(F.col("_c").isNotNull(), F.struct("step_num", F.col("_c").alias("candidate"), F.col("_n").alias("evidence")))
     g = d.groupBy(*keys).agg(F.min(found).alias("_m"), F.count(F.lit(1)).alias("_runs"))
     method = F.when(F.col("_m").isNotNull(), "symbolic_tool_output_match").otherwise("tool_used_not_traceable")

@@ -6,9 +6,12 @@ columns, the same in both languages; the SQL computes the measures anew.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.algebra import algebraically_equal
 from ..operators import frame
 from ..operators import steps as st
 from .analysis import r
@@ -39,6 +42,57 @@ def tool_gain(spark, d):
     return st.tool_gain(s, ["conv_id"], "turn").select("conv_id", "turn", "tool_gain")
 
 
+#: Two answers made of the same numbers, and when they are equal (NULL: not decided): multiplied out, added, roots taken
+#: out, decimals, powers of too many terms, tuples, sets and boxes; a sine is not decided.
+_FORMS = [
+    (r"(x+<a>)(x-<b>)", r"x^2+<a - b>x-<a * b>", "true"),
+    (r"(x+<a>)^2", r"x^2+<2 * a>x+<b * b>", "a = b"),
+    (r"\frac{<a>}{x-<b>}+\frac{<a>}{x+<b>}", r"\frac{<2 * a>x}{x^2-<b * b>}", "true"),
+    (r"\sqrt{<a * a * b>}", r"<a>\sqrt{<b>}", "true"),
+    (r"\sqrt{<a>}\cdot\sqrt{<b>}", r"\sqrt{<a * b>}", "true"),
+    (r"\frac{<a>}{<4 * b>}", r"<a>*0.25/<b>", "true"),
+    (r"(x+y+<a>)^{40}", r"(<a>+y+x)^{40}", "true"),
+    (r"(x+y+<a>)^{40}", r"(x+y+<b>)^{40}", "a = b"),
+    (r"(<a>,<b>)", r"(<b>,<a>)", "a = b"),
+    (r"\sin(<a>x)", r"\cos(<b>x)", "NULL"),
+    (r"\boxed{x=<a>*<b>}", r"<a * b>.0", "true"),
+    (r"\{<a>,<b>\}", r"\{<b>,<a>\}", "true"),
+]
+
+
+def _written(form: str, quote) -> str:
+    """SQL of a text whose <...> are numbers."""
+    parts = re.split(r"<([^>]+)>", form)
+    return "concat(" + ", ".join(quote(x) if i % 2 == 0 else f"CAST({x} AS VARCHAR(20))" for i, x in enumerate(parts)) + ")"
+
+
+def _by_kind(values) -> str:
+    return "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_PARTS = "(SELECT p_partkey, p_size AS a, p_partkey % 17 + 1 AS b FROM part)"
+_SAID = ", ".join(f"{_by_kind(_written(x[i], lambda t: f'{chr(39)}{t}{chr(39)}') for x in _FORMS)} AS {name}" for i, name in enumerate(("prediction", "gold")))
+
+
+@query("answer_equality", f"SELECT p_partkey, {_SAID}, {_by_kind(x[2] for x in _FORMS)} AS equal FROM {_PARTS}")
+def answer_equality(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_size AS a", "p_partkey % 17 + 1 AS b")
+    said = lambda i: F.expr(_by_kind(_written(x[i], lambda t: f"r'{t}'") for x in _FORMS))
+    return p.select("p_partkey", said(0).alias("prediction"), said(1).alias("gold")).withColumn("equal", algebraically_equal(F.col("prediction"), F.col("gold")))
+
+
+_DEEDS = "CASE output_tokens % 4 WHEN 0 THEN 'Answer: x+' || position || '+x' WHEN 1 THEN 'sum = ' || position WHEN 2 THEN '' ELSE '2*(x+' || turn || ')' END"
+
+
+@query("answer_provenance", f"""WITH {STEPS_SQL}, o AS (SELECT *, {_DEEDS} AS stdout FROM s), h AS (SELECT conv_id, min(position) FILTER (output_tokens % 4 = 0) AS x0, min(position) FILTER (output_tokens % 4 = 3 AND turn > 0 AND turn % 2 = 0) AS x3 FROM o WHERE action_type = 'code' GROUP BY conv_id),
+ g AS (SELECT conv_id, position, stdout, row_number() OVER (PARTITION BY conv_id ORDER BY position) AS n, count(*) OVER (PARTITION BY conv_id) AS runs, (output_tokens % 4 = 0 AND position % 4 = 2) OR (output_tokens % 4 = 3 AND turn = 1) AS hit, output_tokens % 4 = 0 AS labelled FROM o WHERE action_type = 'code'),
+ k AS (SELECT conv_id, min_by(position, position) FILTER (hit AND (labelled AND position = 2 OR NOT labelled)) AS evidence_step, any_value(runs) AS runs, min(n) FILTER (hit AND (labelled AND position = 2 OR NOT labelled)) AS n FROM g GROUP BY conv_id)
+ SELECT conv_id, evidence_step, CASE WHEN k.conv_id IS NULL THEN 'no_tool_evidence' WHEN evidence_step IS NULL THEN 'tool_used_not_traceable' ELSE 'symbolic_tool_output_match' END AS method, coalesce(n, runs, 0)::INT AS evidence_count FROM (SELECT DISTINCT conv_id FROM s) LEFT JOIN k USING (conv_id)""")
+def answer_provenance(spark, d):
+    s = steps(spark, d).withColumns({"stdout": F.expr(_DEEDS), "code_success": F.col("action_type") == "code", "step_num": F.col("position"), "gold": F.lit("2x+2")})
+    return st.provenance(s, ["conv_id"], "gold").drop("candidate")
+
+
 _REPEAT = "(hidden_tokens = 0 OR output_tokens % 3 = 0 OR output_tokens % 5 = 0)"
 
 
