@@ -317,9 +317,12 @@ def at_point(tree, point: dict, prime: int) -> int:
         raise Unreadable("no number")
     a = at_point(tree[1], point, prime)
     if kind == "^":
-        n = tree[2][1] if tree[2][0] == "n" else None
+        top, bottom = map(_constant, normal(tree[2]))
+        n = top / bottom if top is not None and bottom else None
         if n is None or n.denominator != 1:
             raise Unreadable("a symbolic power")
+        if n < 0 and not a:
+            raise ZeroDivisionError
         return pow(a, int(n), prime)
     b = at_point(tree[2], point, prime)
     if kind == "/":
