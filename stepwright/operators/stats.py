@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.semantics import hash_order, ratio
+from ..functions.semantics import ratio
 from .sequences import key_ranges
 
 Z95 = 1.959963984540054
@@ -58,54 +58,6 @@ def paired_tests(df: DataFrame, agent: str, problem: str, value: str) -> DataFra
     return g.withColumn("p", mcnemar_exact(F.col("left_only"), F.col("right_only")))
 
 
-#: P(X <= k) of a Poisson variable of mean 1, by which a hash of 32 bits becomes a count.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
-POISSON_STEPS = [round(p * 2**32) for p in POISSON]
-
-
-def resampled(replicate: Column, key: Column, seed: int = 42) -> Column:
-    """How often a replicate draws a row: a Poisson count from md5 of seed, replicate and key, so any engine draws the same."""
-    draw = hash_order(seed, replicate, key)
-    count = F.lit(len(POISSON_STEPS))
-    for k, t in reversed(list(enumerate(POISSON_STEPS))):
-        count = F.when(draw < f"{t:08x}", k).otherwise(count)
-    return count
-
-
-def bootstrap_means(df: DataFrame, keys: list[str], value: str, row: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Mean of each resample of a group: keys, b, mean.
-
-    Every row is drawn a Poisson number of times, as in a resample of a large
-    group; counts and sums are added up before the shuffle, so a group of any
-    size is ``replicates`` rows there and never an array.
-    """
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), F.col(value).cast("double").alias("_v"))
-    d = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col("_row"), seed))
-    return d.groupBy(*keys, "b").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")).select(*keys, "b", ratio(F.col("_s"), F.col("_n")).alias("mean"))
-
-
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, row: str, replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """keys, lo, hi: percentile interval of the resampled means; ``row`` names a row within its group."""
-    q = (1 - level) / 2
-    m = bootstrap_means(df, keys, value, row, replicates, seed)
-    return m.groupBy(*keys).agg(F.percentile("mean", F.lit(q)).alias("lo"), F.percentile("mean", F.lit(1 - q)).alias("hi"))
-
-
-def paired_bootstrap(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """left, right, mean difference and its percentile interval when the problems that both have are resampled."""
-    j = pair_outcomes(df, agent, problem, value).withColumn("_d", (F.col("x") - F.col("y")).cast("double"))
-    rows = j.groupBy(problem).agg(F.collect_list(F.struct("left", "right", "_d")).alias("_all"))
-    m = _weighed(rows, problem, replicates, seed).groupBy("b", "x.left", "x.right").agg(ratio(F.sum(F.col("x._d") * F.col("_w")), F.sum("_w")).alias("m"))
-    bounds = m.groupBy("left", "right").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return j.groupBy("left", "right").agg(F.avg("_d").alias("mean_diff")).join(bounds, ["left", "right"], "left")
-
-
-def _weighed(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """b, _w, x: the entries of each row's array ``_all`` with the number of times that replicate b draws the row."""
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", resampled(F.col("b"), F.col(key), seed)).filter("_w > 0")
-    return drawn.select("b", "_w", F.explode("_all").alias("x"))
-
-
 def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 5000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """As bootstrap_ci with numpy's generator, seeded anew for each group; one group of values at a time."""
     import numpy as np
@@ -123,18 +75,6 @@ def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[s
     return df.select(*{*keys, *order, value}).groupBy(*keys).applyInPandas(one, f"{kinds}, lo double, hi double")
 
 
-def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """agent, mean and median rank and share of first ranks when problems are resampled jointly.
-
-    A problem's outcomes stand in one row, as many as there are agents, so a draw
-    is made once a replicate and problem and holds for all agents.
-    """
-    rows = df.filter(F.col(value).isNotNull()).groupBy(problem).agg(F.collect_list(F.struct(F.col(agent).alias("agent"), F.col(value).cast("double").alias("v"))).alias("_all"))
-    means = _weighed(rows, problem, replicates, seed).groupBy("b", F.col("x.agent").alias(agent)).agg((F.sum(F.col("x.v") * F.col("_w")) / F.sum("_w")).alias("m"))
-    ranked = means.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc(F.round("m", 9)), agent)))
-    return ranked.groupBy(agent).agg(F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.avg((F.col("rank") == 1).cast("double")).alias("p_first"))
-
-
 def average_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     """Ranks with ties at their mean."""
     w = Window.partitionBy(*keys)
@@ -208,4 +148,4 @@ def rate(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
-__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_means", "bootstrap_ci", "paired_bootstrap", "bootstrap_ci_numpy", "rank_stability", "average_rank", "spearman", "pareto", "rate", "ratio"]
+__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_ci_numpy", "average_rank", "spearman", "pareto", "rate", "ratio"]

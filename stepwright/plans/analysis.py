@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import sampling, stats, summary
+from ..operators import resampling, sampling, stats, summary
 from ..operators import sequences as seq
 from .tables import ALL_ATTEMPTS_SQL, ATTEMPTS_SQL, GRID_SQL, all_attempts, attempts, grid, rounded, table
 
@@ -188,31 +190,37 @@ def paired_tests(spark, d):
     return h.drop("family", "p9")
 
 
-_DRAWN = "(" + " + ".join(f"(h >= {t})::INT" for t in stats.POISSON_STEPS) + ")"
+_NORMAL = f"(sqrt(-2 * ln((high + 0.5) / {2**32}.0::DOUBLE)) * cos({2 * math.pi!r}::DOUBLE * ((low + 0.5) / {2**32}.0::DOUBLE)))"
+_WIDE = "greatest(0, floor(n + sqrt(n::DOUBLE) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n::DOUBLE)) + 0.5))::BIGINT"
 
 
-def _hash(key: str) -> str:
-    return f"('0x' || substr(md5('42:' || b || ':' || {key}), 1, 8))::BIGINT"
+def _drawn(histogram: str, columns: str, key: str, replicates: int) -> str:
+    """Common tables: ``p`` with the thresholds of small means, ``w`` with the columns, b and the count w of each outcome and replicate."""
+    word = lambda at: f"('0x' || substr(md5, (b % 2) * 16 + {at}, 8))::BIGINT"
+    return f"""p AS (SELECT unnest(range({resampling.EXACT + 1})) AS n, unnest({resampling.TABLE}::BIGINT[][]) AS steps),
+ u AS (SELECT *, {word(1)} AS high, {word(9)} AS low FROM (SELECT *, md5('42:' || b // 2 || ':' || {key}) AS md5 FROM (SELECT *, unnest(range({replicates})) AS b FROM {histogram}))),
+ w AS (SELECT {columns}, b, CASE WHEN n <= {resampling.EXACT} THEN len(list_filter(steps, lambda t: t <= high)) ELSE {_WIDE} END AS w FROM (SELECT *, {_NORMAL} AS z FROM u) LEFT JOIN p USING (n))"""
 
 
-@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, d AS (SELECT agent, b, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(5000)) AS b FROM a WHERE agent IS NOT NULL AND C IS NOT NULL)),
- m AS (SELECT agent, b, sum(C * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
+@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, h AS (SELECT agent, C::DOUBLE AS v, count(*) AS n FROM a WHERE agent IS NOT NULL AND C IS NOT NULL GROUP BY ALL), {_drawn('h', 'agent, v', "agent || ':' || v", 5000)},
+ m AS (SELECT agent, b, sum(v * w)::DOUBLE / nullif(sum(w), 0) AS m FROM w GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", "problem_id", replicates=5000)
+    return resampling.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", replicates=5000)
 
 
-@query("paired_bootstrap", f"""WITH {GRID_SQL}, p AS (SELECT a.agent AS left_, b.agent AS right_, problem_id, a.C - b.C AS x FROM g a JOIN g b USING (problem_id) WHERE a.agent < b.agent), d AS (SELECT left_, right_, b, x, {_hash('problem_id')} AS h FROM (SELECT *, unnest(range(5000)) AS b FROM p)),
- m AS (SELECT left_, right_, b, sum(x * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY ALL), k AS (SELECT left_, right_, avg(x) AS mean_diff FROM p GROUP BY ALL)
+@query("paired_bootstrap", f"""WITH {GRID_SQL}, h AS (SELECT a.agent AS left_, b.agent AS right_, (a.C - b.C)::DOUBLE AS v, count(*) AS n FROM g a JOIN g b USING (problem_id) WHERE a.agent < b.agent GROUP BY ALL), {_drawn('h', 'left_, right_, v', "left_ || ':' || right_ || ':' || v", 5000)},
+ m AS (SELECT left_, right_, b, sum(v * w)::DOUBLE / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), k AS (SELECT left_, right_, sum(v * n) / sum(n) AS mean_diff FROM h GROUP BY ALL)
  SELECT left_ AS "left", right_ AS "right", {r('any_value(mean_diff)')} AS mean_diff, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m JOIN k USING (left_, right_) GROUP BY left_, right_""")
 def paired_bootstrap(spark, d):
-    return stats.paired_bootstrap(grid(spark, d), "agent", "problem_id", "C")
+    return resampling.paired_bootstrap(grid(spark, d), "agent", "problem_id", "C")
 
 
-@query("rank_stability", f"""WITH {GRID_SQL}, d AS (SELECT b, agent, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(2000)) AS b FROM g)),
- m AS (SELECT b, agent, sum(C * {_DRAWN})::DOUBLE / sum({_DRAWN}) AS m FROM d GROUP BY b, agent HAVING sum({_DRAWN}) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(m, 9) DESC, agent) AS rank FROM m)
+@query("rank_stability", f"""WITH {GRID_SQL}, o AS (SELECT problem_id, list({{'agent': agent, 'v': C::DOUBLE}} ORDER BY agent) AS outcome, string_agg(agent || '=' || C::DOUBLE, ',' ORDER BY agent) AS name FROM g GROUP BY problem_id),
+ h AS (SELECT any_value(outcome) AS outcome, name, count(*) AS n FROM o GROUP BY name), {_drawn('h', 'outcome', 'name', 2000)},
+ m AS (SELECT b, x.agent AS agent, sum(x.v * w)::DOUBLE / sum(w) AS m FROM (SELECT b, w, unnest(outcome) AS x FROM w WHERE w > 0) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(m, 9) DESC, agent) AS rank FROM m)
  SELECT agent, {r('avg(rank)')} AS mean_rank, {r('quantile_cont(rank, 0.5)')} AS median_rank, {r('avg((rank = 1)::INT)')} AS p_first FROM k GROUP BY agent""")
 def rank_stability(spark, d):
-    return stats.rank_stability(grid(spark, d), "agent", "problem_id", "C", replicates=2000)
+    return resampling.rank_stability(grid(spark, d), "agent", "problem_id", "C", replicates=2000)
 
 
 @query("prm_agreement", f"""WITH x AS (SELECT l_returnflag AS model, l_quantity AS x, l_tax AS y FROM lineitem), k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY model ORDER BY y) + (count(*) OVER (PARTITION BY model, y) - 1) / 2.0::DOUBLE AS ry FROM x)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions import semantics as sem
 from stepwright.functions import text as tx
-from stepwright.operators import merge, replay, sampling, sequences, stats, steps, summary
+from stepwright.operators import merge, replay, resampling, sampling, sequences, stats, steps, summary
 
 
 def one(spark, *columns):
@@ -292,25 +292,55 @@ def test_positions_are_places_in_key_order(spark):
     assert sequences.positions(df.limit(0), "k", "at").collect() == []
 
 
-def test_poisson_counts_have_mean_and_variance_one(spark):
-    w = stats.resampled(F.col("id"), F.lit("x"))
-    r = spark.range(20000).select(w.alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
-    assert abs(r["m"] - 1) < 0.03 and abs(r["v"] - 1) < 0.05
+@pytest.mark.parametrize("mean", [1, 7, 32, 33, 90, 2500])
+def test_poisson_counts_have_the_distribution(spark, mean):
+    d = spark.range(1).select(F.lit(mean).cast("long").alias("n"))
+    w = [r["_w"] for r in resampling.draws(d, F.lit(f"key{mean}"), "n", 20000).collect()]
+    m = sum(w) / len(w)
+    assert len(w) == 20000 and min(w) >= 0
+    assert abs(m - mean) < 5 * (mean / len(w)) ** 0.5
+    assert abs(sum((x - m) ** 2 for x in w) / len(w) - mean) < 0.06 * mean
+    below = sum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(mean + 1))
+    assert abs(sum(x <= mean for x in w) / len(w) - below) < 0.015
 
 
 def test_bootstrap_interval_is_near_the_normal_one(spark):
-    df = spark.createDataFrame([("g", i, float(i % 10 < 3)) for i in range(400)], "g string, i int, v double")
-    r = stats.bootstrap_ci(df, ["g"], "v", "i", 1000).first()
+    df = spark.createDataFrame([("g", i, float(i % 10 < 3)) for i in range(400)] + [("h", 1, None), ("one", 1, 4.0)], "g string, i int, v double")
+    r = {x["g"]: x for x in resampling.bootstrap_ci(df, ["g"], "v", 2000).collect()}
     half = 1.96 * (0.3 * 0.7 / 400) ** 0.5
-    assert abs(r["lo"] - (0.3 - half)) < 0.01 and abs(r["hi"] - (0.3 + half)) < 0.01
+    assert abs(r["g"]["lo"] - (0.3 - half)) < 0.008 and abs(r["g"]["hi"] - (0.3 + half)) < 0.008
+    assert set(r) == {"g", "one"} and (r["one"]["lo"], r["one"]["hi"]) == (4.0, 4.0)
+
+
+def test_resolution_moves_bounds_by_half_of_it_at_most(spark):
+    df = spark.range(3000).select(F.lit("g").alias("g"), ((F.col("id") * 37) % 1009 / 1000).alias("v"))
+    a, b = (resampling.bootstrap_ci(df, ["g"], "v", 1000, resolution=x).first() for x in (None, 0.05))
+    assert abs(a["lo"] - b["lo"]) < 0.025 + 0.005 and abs(a["hi"] - b["hi"]) < 0.025 + 0.005
+
+
+def test_interval_agrees_with_drawing_every_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 6, 500) / 5
+    df = spark.createDataFrame([("g", float(x)) for x in v], "g string, v double")
+    m = v[rng.integers(0, 500, (5000, 500))].mean(axis=1)
+    r = resampling.bootstrap_ci(df, ["g"], "v", 5000).first()
+    assert abs(r["lo"] - np.quantile(m, 0.025)) < 0.004 and abs(r["hi"] - np.quantile(m, 0.975)) < 0.004
 
 
 def test_paired_bootstrap_of_a_constant_difference(spark):
     df = spark.createDataFrame([(a, i, float(a == "p")) for a in "pq" for i in range(30)] + [("r", 1, None)], "a string, i int, v double")
-    (r,) = stats.paired_bootstrap(df, "a", "i", "v", 50).collect()
+    (r,) = resampling.paired_bootstrap(df, "a", "i", "v", 50).collect()
     assert (r["left"], r["right"], r["mean_diff"], r["lo"], r["hi"]) == ("p", "q", 1.0, 1.0, 1.0)
 
 
+def test_ranks_of_agents_that_always_differ(spark):
+    df = spark.createDataFrame([(a, i, v) for i in range(50) for a, v in (("x", 1.0), ("y", 0.0), ("z", 0.0))] + [("z", 99, 1.0), ("y", 99, None)], "a string, i int, v double")
+    r = {x["a"]: x for x in resampling.rank_stability(df, "a", "i", "v", 300).collect()}
+    assert (r["x"]["mean_rank"], r["x"]["p_first"]) == (1.0, 1.0) and r["y"]["median_rank"] == 3.0 and 2 <= r["z"]["mean_rank"] < 3
+
+
 @pytest.mark.parametrize("rho, n, p", [(0.5, 10, 0.1411), (0.9, 5, 0.0374), (0.0, 8, 1.0), (1.0, 6, 0.0), (0.3, 30, 0.1073), (None, 9, None), (0.5, 2, None)])
 def test_rank_p_values(rho, n, p):
     got = stats.rank_p_value(rho, n)
