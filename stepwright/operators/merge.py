@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequences import positions
+from .order import places
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -80,5 +80,5 @@ def pending(grid: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 def lanes(tasks: DataFrame, key: str, n: int, cached: DataFrame | None = None) -> DataFrame:
     """Lane of each task: position in key order modulo lanes; finished tasks leave without renumbering the others."""
-    numbered = positions(tasks, key, "lane").withColumn("lane", F.pmod("lane", F.lit(n)).cast("long"))
+    numbered = places(tasks, [], [key], "lane").withColumn("lane", F.pmod("lane", F.lit(n)).cast("long"))
     return numbered if cached is None else numbered.join(cached.select(key).distinct(), key, "left_anti")

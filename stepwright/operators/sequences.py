@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import places
+
 
 def paced_schedule(df: DataFrame, lane: list[str], time: str, order: list[str], interval: float) -> DataFrame:
     """Start of each request when starts lie ``interval`` apart at least: start_i = max(time_i, start_i-1 + interval), in closed form."""
@@ -26,8 +28,7 @@ def failure_streaks(df: DataFrame, lane: list[str], order: list[str], failed: Co
 
 def ecdf(df: DataFrame, keys: list[str], value: str, tie: list[str]) -> DataFrame:
     """k / n in sorted order; ties step one by one."""
-    w = Window.partitionBy(*keys)
-    return df.filter(F.col(value).isNotNull()).withColumn("ecdf", F.row_number().over(w.orderBy(value, *tie)) / F.count(F.lit(1)).over(w))
+    return places(df.filter(F.col(value).isNotNull()), keys, [value, *tie], "_place", "ecdf").drop("_place")
 
 
 def earlier_duplicate(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
@@ -44,23 +45,3 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 def delta(df: DataFrame, keys: list[str], order: list[str], value: str, initial: float = 0.5, out: str = "delta") -> DataFrame:
     """Difference to the value before; the first to ``initial``."""
     return df.withColumn(out, F.col(value) - F.lag(value, 1, initial).over(Window.partitionBy(*keys).orderBy(*order)))
-
-
-def key_ranges(df: DataFrame, key: str, ranges: int = 200) -> tuple[Column, int]:
-    """Which of some ranges of the key a row is in, and their number; about ``ranges`` keys, taken by hash, are the borders."""
-    few = F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // ranges))) == 0
-    borders = [r[0] for r in df.filter(F.col(key).isNotNull() & few).select(key).distinct().orderBy(key).collect()]
-    if not borders:
-        return F.lit(0), 1
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col(key)))
-    return F.when(F.col(key).isNull(), 0).otherwise(at), len(borders) + 1
-
-
-def positions(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Place of each row in key order from 0, nulls first: rows before its range and its place within, so no task orders all rows."""
-    at, n = key_ranges(df, key)
-    d = df.withColumn("_range", at)
-    sizes = {r["_range"]: r["count"] for r in d.groupBy("_range").count().collect()}
-    before = [sum(sizes.get(i, 0) for i in range(k)) for k in range(n)]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return d.withColumn(out, F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range")) + place).drop("_range")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.semantics import ratio
-from .sequences import key_ranges
 
 Z95 = 1.959963984540054
 
@@ -75,21 +74,6 @@ def bootstrap_ci_numpy(df: DataFrame, keys: list[str], value: str, order: list[s
     return df.select(*{*keys, *order, value}).groupBy(*keys).applyInPandas(one, f"{kinds}, lo double, hi double")
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(w.partitionBy(*keys, value))
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0)
-
-
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n, rho, mean absolute difference of two columns where both are present; rho NULL for n <= 1."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = average_rank(average_rank(d, x, keys, "_rx"), y, keys, "_ry")
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_abs_diff"))
-    return g.withColumn("rho", F.when(F.col("n") > 1, F.col("rho")))
-
-
 def beta_share(a: float, b: float, x: float) -> float:
     """The regularized incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -124,28 +108,9 @@ def with_p_value(correlations: DataFrame, out: str = "p") -> DataFrame:
     return correlations.withColumn(out, p("rho", "n"))
 
 
-def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
-    """Rows that no other row beats: none is cheaper or as cheap with at least the value, one of both strictly.
-
-    The best value of all cheaper costs is that of cheaper ranges of cost and of
-    cheaper costs in the range, in place of a join of all pairs; rows of equal
-    cost are compared with their best.
-    """
-    d = df.filter(F.col(cost).isNotNull() & F.col(value).isNotNull())
-    best = d.groupBy(cost).agg(F.max(value).alias("_same"))
-    at, n = key_ranges(best, cost)
-    best = best.withColumn("_range", at)
-    top = {r["_range"]: r["top"] for r in best.groupBy("_range").agg(F.max(F.col("_same").cast("double")).alias("top")).collect()}
-    before = [max((top[i] for i in range(k) if i in top), default=None) for k in range(n)]
-    within = F.max("_same").over(Window.partitionBy("_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    best = best.withColumn("_cheaper", F.greatest(F.get(F.array(*[F.lit(b).cast("double") for b in before]), F.col("_range")), within)).drop("_range")
-    j = d.join(best, cost)
-    return j.filter((F.col(value) == F.col("_same")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(value)))).drop("_same", "_cheaper")
-
-
 def rate(condition: Column) -> Column:
     """Share of rows that meet a condition; rows where it is unknown count as not."""
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
-__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_ci_numpy", "average_rank", "spearman", "pareto", "rate", "ratio"]
+__all__ = ["wilson", "mcnemar_exact", "holm", "pair_outcomes", "paired_tests", "bootstrap_ci_numpy", "rate", "ratio"]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import keyed, ratio, ratio_floor, share_within, total
+from .order import quantiles
 from .stats import rate, wilson
 
 INFRASTRUCTURE = ("api_error", "worker_exception", "trajectory_timeout")
@@ -27,12 +28,13 @@ def run_summary(a: DataFrame, by: str = "agent") -> DataFrame:
     g = keyed(a, by).groupBy(by).agg(
         n.alias("n"), F.avg("C").alias("c"), F.avg("G").alias("g"), F.avg("V").alias("v"), F.avg("Q").alias("q"), F.avg("PTU").alias("ptu"), F.avg("R").alias("r"), F.avg("E").alias("e"),
         ratio(total(F.col("tokens")), n).alias("tokens_per_attempt"), ratio(total(F.col("tokens")), F.sum("V")).alias("tokens_per_verified"),
-        F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.5)).alias("latency_median"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        F.avg("latency").alias("latency_mean"),
         *[F.avg(c).alias(f"{c}_mean") for c in ("service", "pace", "retry_wait", "total_steps")], rate(F.col("valid")).alias("completion_rate"), rate(F.col("timed_out")).alias("timeout_rate"),
         *[total(F.col(c)).alias(c) for c in ("retry_count", "truncated_steps", "critic_calls", "critic_errors")],
         F.count_if(known("judge_used") | known("needs_judge")).alias("symbolic_inconclusive"), F.count_if(known("judge_used")).alias("judge_fallbacks"), F.count_if(known("needs_judge")).alias("judge_queue"),
     )
-    return g.orderBy(F.desc("v"), F.desc("c"), by)
+    q = quantiles(keyed(a, by), [by], "latency", [0.5, 0.95], ["latency_median", "latency_p95"])
+    return g.join(q, by, "left").orderBy(F.desc("v"), F.desc("c"), by)
 
 
 def known(c: str) -> Column:
@@ -71,9 +73,10 @@ def core_table(a: DataFrame, by: str = "agent", recorded: DataFrame | None = Non
     g = keyed(a, by).groupBy(by).agg(
         n.alias("attempted"), F.count_if("valid").alias("valid_n"), (F.count_if("valid") / n).alias("coverage"), rate(infrastructure()).alias("infrastructure_rate"),
         *[(solved(c) / n).alias(c.lower()) for c in "CGV"], *[valid(c).alias(f"{c.lower()}_valid") for c in "CGV"], solved("V").alias("_v"), *[trace(c).alias(c.lower()) for c in ("Q", "PTU", "R", "E")],
-        tokens.alias("tokens"), (tokens / n).alias("tokens_per_attempt"), ratio_floor(tokens, solved("C")).alias("tokens_per_correct"), ratio_floor(tokens, solved("V")).alias("tokens_per_solve"), F.avg("latency").alias("latency_mean"), F.percentile("latency", F.lit(0.95)).alias("latency_p95"),
+        tokens.alias("tokens"), (tokens / n).alias("tokens_per_attempt"), ratio_floor(tokens, solved("C")).alias("tokens_per_correct"), ratio_floor(tokens, solved("V")).alias("tokens_per_solve"), F.avg("latency").alias("latency_mean"),
         F.coalesce(F.bool_and("eligible"), F.lit(True)).alias("eligible"),
     )
+    g = g.join(quantiles(keyed(a, by), [by], "latency", [0.95], ["latency_p95"]), by, "left")
     lo, hi = wilson(F.col("_v"), F.col("attempted"))
     g = g.withColumn("v_lo", lo).withColumn("v_hi", hi).withColumn("exclusion", F.when(F.col("eligible"), "").otherwise(reason)).drop("_v")
     if recorded is None:
@@ -153,8 +156,8 @@ def cost_per_solve(a: DataFrame, by: str = "agent") -> DataFrame:
 def latency_percentiles(a: DataFrame, columns: list[str], by: str = "agent", at=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles, in long form: agent, measure, p50, p90, p95, p99."""
     long = keyed(a, by).unpivot(by, columns, "measure", "value") if len(columns) > 1 else keyed(a, by).select(by, F.lit(columns[0]).alias("measure"), F.col(columns[0]).alias("value"))
-    g = long.groupBy(by, "measure").agg(F.percentile("value", F.array(*[F.lit(x) for x in at])).alias("q"))
-    return g.select(by, "measure", *[F.get("q", F.lit(i)).alias(f"p{round(100 * x)}") for i, x in enumerate(at)])
+    q = quantiles(long, [by, "measure"], "value", list(at), [f"p{round(100 * x)}" for x in at])
+    return long.select(by, "measure").distinct().join(q, [by, "measure"], "left")
 
 
 def reliability(a: DataFrame, by: str = "agent") -> DataFrame:

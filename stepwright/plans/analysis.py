@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import resampling, sampling, stats, summary
+from ..operators import order, resampling, sampling, stats, summary
 from ..operators import sequences as seq
 from .tables import ALL_ATTEMPTS_SQL, ATTEMPTS_SQL, GRID_SQL, all_attempts, attempts, grid, rounded, table
 
@@ -174,7 +174,7 @@ def cost_per_solve(spark, d):
  SELECT l_suppkey, cost, value FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.cost <= p.cost AND q.value >= p.value AND (q.cost < p.cost OR q.value > p.value))""")
 def pareto_frontier(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_extendedprice"), 6).alias("cost"), F.round(F.avg("l_discount"), 6).alias("value"))
-    return stats.pareto(s, "cost", "value")
+    return order.frontier(s, "cost", "value")
 
 
 _BINOMIAL = "least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(left_only, right_only) + 1), lambda i: exp(lgamma(n2 + 1) - lgamma(i + 1) - lgamma(n2 - i + 1) + n2 * ln(0.5::DOUBLE)))))"
@@ -227,7 +227,7 @@ def rank_stability(spark, d):
  SELECT model, count(*) AS n, {r('corr(rx, ry)')} AS rho, {r('avg(abs(x - y))')} AS mean_abs_diff FROM k GROUP BY model""")
 def prm_agreement(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
-    return stats.spearman(li, ["model"], "x", "y")
+    return order.spearman(li, ["model"], "x", "y")
 
 
 _ORDER = "md5('42:' || doc_id)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepwright.functions import semantics as sem
 from stepwright.functions import text as tx
-from stepwright.operators import merge, replay, resampling, sampling, sequences, stats, steps, summary
+from stepwright.operators import merge, order, replay, resampling, sampling, sequences, stats, steps, summary
 
 
 def one(spark, *columns):
@@ -84,7 +84,7 @@ def test_wilson_edges(spark):
 
 def test_spearman_with_ties(spark):
     df = spark.createDataFrame([("m", float(x), float(y)) for x, y in zip((1, 2, 2, 3, 5, 5, 7), (2, 1, 4, 4, 6, 3, 9))], "m string, x double, y double")
-    assert stats.spearman(df, ["m"], "x", "y").first()["rho"] == pytest.approx(0.743151, abs=1e-6)
+    assert order.spearman(df, ["m"], "x", "y").first()["rho"] == pytest.approx(0.743151, abs=1e-6)
 
 
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=12))
@@ -92,7 +92,7 @@ def test_spearman_with_ties(spark):
 def test_frontier_against_all_pairs(spark, points):
     df = spark.createDataFrame([(i, float(c), float(v)) for i, (c, v) in enumerate(points)], "i int, c double, v double")
     want = {i for i, (c, v) in enumerate(points) if not any(a <= c and b >= v and (a < c or b > v) for a, b in points)}
-    assert {r["i"] for r in stats.pareto(df, "c", "v").collect()} == want
+    assert {r["i"] for r in order.frontier(df, "c", "v").collect()} == want
 
 
 def test_numpy_bootstrap_is_seeded(spark):
@@ -287,9 +287,9 @@ def test_assembled_rows(spark):
 def test_positions_are_places_in_key_order(spark):
     keys = [None, "b", "a", "c", "b", *[f"k{i:04d}" for i in range(500)]]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
-    got = sorted((r["at"], r["k"]) for r in sequences.positions(df, "k", "at").filter("k is not null").collect())
+    got = sorted((r["at"], r["k"]) for r in order.places(df, [], ["k"], "at").filter("k is not null").collect())
     assert [k for _, k in got] == sorted(k for k in keys if k) and [a for a, _ in got] == list(range(1, len(keys)))
-    assert sequences.positions(df.limit(0), "k", "at").collect() == []
+    assert order.places(df.limit(0), [], ["k"], "at").collect() == []
 
 
 @pytest.mark.parametrize("mean", [1, 7, 32, 33, 90, 2500])
@@ -349,5 +349,5 @@ def test_rank_p_values(rho, n, p):
 
 def test_p_values_of_correlations(spark):
     df = spark.createDataFrame([("m", float(i), float((i * 7) % 11)) for i in range(11)], "k string, x double, y double")
-    r = stats.with_p_value(stats.spearman(df, ["k"], "x", "y")).first()
+    r = stats.with_p_value(order.spearman(df, ["k"], "x", "y")).first()
     assert abs(r["p"] - stats.rank_p_value(r["rho"], 11)) < 1e-12
