@@ -60,9 +60,9 @@ _FORMS = [
 ]
 
 
-def _written(form: str, quote) -> str:
+def _written(form: str, quote, names: str = r"[ab\d *-]+") -> str:
     """SQL of a text whose <...> are numbers."""
-    parts = re.split(r"<([^>]+)>", form)
+    parts = re.split(rf"<({names})>", form)
     return "concat(" + ", ".join(quote(x) if i % 2 == 0 else f"CAST({x} AS VARCHAR(20))" for i, x in enumerate(parts)) + ")"
 
 
@@ -81,6 +81,52 @@ def answer_equality(spark, d):
     return p.select("p_partkey", said(0).alias("prediction"), said(1).alias("gold")).withColumn("equal", algebraically_equal(F.col("prediction"), F.col("gold")))
 
 
+#: Turns made of a number, and what they are read as: (turn, action, content, error).
+_TURNS = [
+    ("Reasoning step: add\n```python\nprint(<n>)\n```", "code", "print(<n>)", ""),
+    ("Reasoning step: done\n```answer\nAnswer: <n>\n```", "answer", "<n>", ""),
+    ("```python\nprint(<n>)\n```\n```answer\n<n>\n```", "none", "", "multiple_actions"),
+    ("```python\nprint(<n>)", "code", "print(<n>)", ""),
+    ("```python\npass\n```", "none", "", "non_executable_template"),
+    ("```python\nanswer <n>\n```", "none", "", "answer_text_in_code_block"),
+    ("```answer\n<final answer only>\n```", "none", "", "template_placeholder"),
+    ("**Final answer:**\n\n<n>", "answer", "<n>", ""),
+    ("it follows that the answer is <n>\nObservation: 0", "answer", "<n>", ""),
+    ("so \\boxed{<n>} and \\boxed{0}", "answer", "<n>", ""),
+    ("**Answer**\n\\[<n>+1\\]", "answer", "<n>+1", ""),
+    ("thus\n```latex\n<n>/2\n```", "answer", "<n>/2", ""),
+    ("in all \\[ x = y\n = <n> \\] holds as was to be shown in the long text before and again after it", "answer", "<n>", ""),
+    ("<n>", "answer", "<n>", ""),
+    ("words only", "none", "", "no_visible_action"),
+    ("reasoning about <n>", "none", "", "no_visible_action"),
+]
+_TURN = "CASE output_tokens % 16 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(16)) + " END"
+
+
+def _turns(column: int, quote) -> str:
+    return _TURN.format(*(_written(t[column].replace("<n>", "<position>"), quote, "position") for t in _TURNS))
+
+
+@query("turn_actions", f"WITH {STEPS_SQL} SELECT conv_id, turn, " + ", ".join(f"{_turns(i, lambda t: chr(39) + t + chr(39))} AS {name}" for i, name in ((1, "action_type"), (2, "content"), (3, "parse_error"))) + " FROM s")
+def turn_actions(spark, d):
+    said = F.expr(_turns(0, lambda t: f"r'{t}'"))
+    p = steps(spark, d).withColumn("p", tx.parse_action(said))
+    return p.select("conv_id", "turn", "p.action_type", "p.content", "p.parse_error")
+
+
+_STATED = [(r"\boxed{<a>/<b>}", "<a>/<b>"), (" Answer: <a>. ", "<a>"), (r"$\left( <a>, x \right)$", "(<a>,x)"), ("Final Answer = P - <b>", "p-<b>"), ("result: <a>,<b>..", "<a>,<b>")]
+
+
+def _stated(column: int, quote) -> str:
+    return "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {_written(x[column], quote)}" for i, x in enumerate(_STATED)) + " END"
+
+
+@query("normal_answers", f"SELECT p_partkey, {_stated(1, lambda t: chr(39) + t + chr(39))} AS norm FROM {_PARTS}")
+def normal_answers(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_size AS a", "p_partkey % 17 + 1 AS b")
+    return p.select("p_partkey", tx.normalize_answer(F.expr(_stated(0, lambda t: f"r'{t}'"))).alias("norm"))
+
+
 _DEEDS = "CASE output_tokens % 4 WHEN 0 THEN 'Answer: x+' || position || '+x' WHEN 1 THEN 'sum = ' || position WHEN 2 THEN '' ELSE '2*(x+' || turn || ')' END"
 
 
