@@ -13,10 +13,12 @@ import sys
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lines import SPLIT_BYTES, archive_rows, numbered_lines
+
 REQUIRED_FILES = ("generation_manifest.json", "generation_health.csv", "problems.jsonl", "trajectories.jsonl")
 #: Forms of credentials that must not be published.
 SECRET_PATTERNS = (r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", r"hf_[A-Za-z0-9]{20,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{30,}", r"nvapi-[A-Za-z0-9_-]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
@@ -33,11 +35,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict
     return found.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file and text of lines that are no JSON object; blank lines are passed over."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-    parsed = F.try_parse_json("value")
-    return lines.filter((F.trim("value") != "") & (parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"))).select("file", "value")
+def no_object(value: Column) -> Column:
+    """Is a line neither blank nor a JSON object?"""
+    parsed = F.try_parse_json(value)
+    return (F.trim(value) != "") & (parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"))
+
+
+def bad_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """file, line number and text of lines that are no JSON object; blank lines are passed over."""
+    return numbered_lines(spark, path, split_bytes).filter(no_object(F.col("value")))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -140,21 +146,62 @@ def export_zip(folder: str, path: str) -> str:
     return path
 
 
+def base_name(member: Column) -> Column:
+    return F.element_at(F.split(member, "/"), -1)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """archive, name, line, value, sha256, bytes: the lines and digests of a generation archive or of a folder of them, by executors."""
+    return archive_rows(spark, path).withColumn("name", base_name(F.col("member"))).drop("member")
+
+
+def archive_members(rows: DataFrame) -> DataFrame:
+    """archive, name, how often it is there, records, first bad line, sha256 and bytes of each member, in one pass over its lines."""
+    first_bad = F.min(F.when(no_object(F.col("value")), F.col("line")))
+    return rows.groupBy("archive", "name").agg(F.count("sha256").alias("times"), F.count_if(F.trim("value") != "").alias("records"), first_bad.alias("bad_line"), F.max("sha256").alias("sha256"), F.max("bytes").alias("bytes"))
+
+
+def archive_problems(rows: DataFrame) -> DataFrame:
+    """archive, name, problem of every archive: missing, doubled or changed members, lines that are no object, counts that differ from the manifest's."""
+    text = rows.filter((F.col("name") == REQUIRED_FILES[0]) & F.col("value").isNotNull()).groupBy("archive")
+    manifest = text.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("json"))
+    manifest = manifest.select("archive", F.from_json("json", "sha256 map<string,string>, problem_count long, trajectory_count long").alias("m"))
+    found = archive_members(rows)
+    needed = rows.select("archive").distinct().withColumn("name", F.explode(F.array(*map(F.lit, REQUIRED_FILES))))
+    j = needed.join(found, ["archive", "name"], "left").join(manifest, "archive", "left")
+    declared = F.when(F.col("name") == "problems.jsonl", F.col("m.problem_count")).when(F.col("name") == "trajectories.jsonl", F.col("m.trajectory_count"))
+    digest = F.try_element_at("m.sha256", F.col("name"))
+    problem = (
+        F.when(F.col("times").isNull(), "missing")
+        .when(F.col("times") > 1, "doubled")
+        .when(digest != F.col("sha256"), "mismatch")
+        .when((F.col("name") == REQUIRED_FILES[0]) & F.col("m").isNull(), "no object")
+        .when(F.col("name").endswith(".jsonl") & F.col("bad_line").isNotNull(), F.concat(F.lit("no object in line "), F.col("bad_line").cast("string")))
+        .when(declared != F.col("records"), F.concat(F.col("records").cast("string"), F.lit(" records, "), declared.cast("string"), F.lit(" declared")))
+    )
+    return j.select("archive", "name", problem.alias("problem"), "records")
+
+
 def validate_archive(spark: SparkSession, path: str) -> dict:
-    """Check required files, digests and counts of a generation archive; returns its counts or raises."""
-    folder = open_bundle(path, spark)
-    paths = {n: member(folder, n) for n in REQUIRED_FILES}
-    with open(paths["generation_manifest.json"], encoding="utf-8") as f:
-        manifest = json.load(f)
-    listed = {k: v for k, v in (manifest.get("sha256") or {}).items() if k in REQUIRED_FILES}
-    wrong = [r for r in verify_digests(file_digests(spark, folder), listed).collect() if r["problem"] != "unlisted"]
-    if wrong:
-        raise ValueError("; ".join(f"{r['name']}: {r['problem']}" for r in wrong))
-    counts = {k: read_jsonl(spark, paths[f"{k}.jsonl"]).count() for k in ("problems", "trajectories")}
-    for k, field in (("problems", "problem_count"), ("trajectories", "trajectory_count")):
-        if field in manifest and manifest[field] != counts[k]:
-            raise ValueError(f"{k}: {counts[k]} records, {manifest[field]} declared")
-    return counts
+    """Check required files, digests and counts of a generation archive in one read of its members; returns its counts or raises."""
+    found = archive_problems(read_archive(spark, path)).collect()
+    wrong = [f"{r['name']}: {r['problem']}" for r in found if r["problem"]]
+    if wrong or not found:
+        raise ValueError("; ".join(sorted(wrong)) or "no archive")
+    return {k: sum(r["records"] for r in found if r["name"] == f"{k}.jsonl") for k in ("problems", "trajectories")}
+
+
+def archive_records(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    """archive, line and the fields of each record of a member; a line that is none fails the job with its place."""
+    lines = rows.filter((F.col("name") == name) & (F.trim("value") != ""))
+    place = F.concat(F.lit("no object: "), F.col("archive"), F.lit("/"), F.col("name"), F.lit(", line "), F.col("line").cast("string"))
+    sound = F.when(no_object(F.col("value")), F.raise_error(place).cast("string")).otherwise(F.col("value"))
+    return lines.select("archive", "line", F.from_json(sound, schema).alias("_r")).select("archive", "line", "_r.*")
+
+
+def records_by_agent(rows: DataFrame, agent: str = "agent_name") -> DataFrame:
+    """archive, agent, records of the trajectories; keys that are missing count under NULL."""
+    return archive_records(rows, "trajectories.jsonl", f"{agent} string").groupBy("archive", F.col(agent).alias("agent")).agg(F.count(F.lit(1)).alias("records"))
 
 
 def export_run(folder: str, tables: dict[str, DataFrame], kind: str, created_at: str) -> dict:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 
 from stepwright.sources import archives
+from stepwright.sources import lines as lines_source
 from stepwright.sources.schemas import EVALUATION, METRIC, PROBLEM, PRM_SHEET, TRAJECTORY
 from stepwright.streaming import latest
 
@@ -19,7 +20,7 @@ def test_tolerant_log_keeps_the_last_line_of_a_key(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"k":"a","n":1}\n\n{"k":"a","n":2}\n{"k":"b","n":1}\n{"k": broken\n')
     df = archives.read_jsonl(spark, str(tmp_path / "log.jsonl"), "k string, n int", strict=False)
     assert sorted((r["k"], r["n"]) for r in archives.last_per_key(df, ["k"], ["n"]).collect()) == [("a", 2), ("b", 1)]
-    assert [r["value"] for r in archives.bad_lines(spark, str(tmp_path / "log.jsonl")).collect()] == ['{"k": broken']
+    assert [tuple(r) for r in archives.bad_lines(spark, str(tmp_path / "log.jsonl")).collect()] == [("log.jsonl", 5, '{"k": broken')]
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         archives.read_jsonl(spark, str(tmp_path / "log.jsonl"), "k string, n int").collect()
 
@@ -127,3 +128,57 @@ def test_exported_run_loads_again(spark, tmp_path):
     (tmp_path / "run" / "core.csv").write_text("agent,c\na,0.9\n")
     with pytest.raises(ValueError, match="mismatch"):
         archives.load_run(spark, str(tmp_path / "run"), schemas)
+
+
+@pytest.mark.parametrize("split_bytes", [7, 64, 1000, 1 << 20])
+def test_lines_of_several_splits_have_their_numbers(spark, tmp_path, split_bytes):
+    import random
+
+    rng, want = random.Random(4), []
+    for k in range(3):
+        data = b"".join(b"x" * rng.choice([0, 0, 1, 5, 30, 200]) + rng.choice([b"\n", b"\r\n", b"\n\n"]) for _ in range(60)) + rng.choice([b"", b"tail"])
+        (tmp_path / f"f{k}.jsonl").write_bytes(data)
+        lines = data.split(b"\n")
+        want += [(f"f{k}.jsonl", i + 1, x.removesuffix(b"\r").decode()) for i, x in enumerate(lines[:-1] if lines[-1] == b"" else lines)]
+    (tmp_path / "_hidden").write_text("x\n")
+    (tmp_path / "empty.jsonl").write_text("")
+    assert sorted(map(tuple, lines_source.numbered_lines(spark, str(tmp_path), split_bytes).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("split_bytes", [50, 1 << 20])
+def test_bad_lines_are_named_by_file_and_line(spark, tmp_path, split_bytes):
+    lines = ['{"a": %d}' % i if i % 7 else ["", "  ", "[1]", "7", '{"a"', "null", '"x"'][i // 7 % 7] for i in range(200)]
+    (tmp_path / "rows.jsonl").write_text("\n".join(lines))
+    want = []
+    for n, line in enumerate(lines, 1):
+        try:
+            good = not line.strip() or isinstance(json.loads(line), dict)
+        except ValueError:
+            good = False
+        if not good:
+            want.append(("rows.jsonl", n, line))
+    assert sorted(map(tuple, archives.bad_lines(spark, str(tmp_path / "rows.jsonl"), split_bytes).collect())) == sorted(want)
+
+
+def test_archives_are_read_and_counted_by_agent(spark, tmp_path):
+    (tmp_path / "all").mkdir()
+    make_archive(tmp_path)
+    (tmp_path / "run.zip").rename(tmp_path / "all" / "one.zip")
+    with zipfile.ZipFile(tmp_path / "all" / "two.zip", "w") as z:
+        z.writestr("sub/trajectories.jsonl", "".join(json.dumps({"agent_name": f"a{i % 6}", "problem_id": i}) + "\n" for i in range(600)))
+        z.writestr("sub/problems.jsonl", '{"id": 1}\n[2]\n')
+        z.writestr("other/problems.jsonl", '{"id": 1}\n')
+    rows = archives.read_archive(spark, str(tmp_path / "all"))
+    got = {(r["archive"], r["agent"]): r["records"] for r in archives.records_by_agent(rows).collect()}
+    assert got == {("one.zip", None): 2, **{("two.zip", f"a{i}"): 100 for i in range(6)}}
+    assert {(r["archive"], r["name"]): r["problem"] for r in archives.archive_problems(rows).collect() if r["problem"]} == {("two.zip", "generation_manifest.json"): "missing", ("two.zip", "generation_health.csv"): "missing", ("two.zip", "problems.jsonl"): "doubled"}
+    with pytest.raises(Exception, match="line 2"):
+        archives.archive_records(rows.filter("archive = 'two.zip' and bytes is null"), "problems.jsonl", "id int").collect()
+
+
+def test_folders_are_validated_as_archives_are(spark, tmp_path):
+    make_archive(tmp_path)
+    assert archives.validate_archive(spark, str(tmp_path / "run")) == {"problems": 1, "trajectories": 2}
+    (tmp_path / "run" / "problems.jsonl").unlink()
+    with pytest.raises(ValueError, match="missing"):
+        archives.validate_archive(spark, str(tmp_path / "run"))
