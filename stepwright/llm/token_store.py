@@ -160,14 +160,15 @@ def _plain_stops(text: str) -> bool:
     return True
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
+    """One encoder per worker process, file and size of its memory."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, cache_pieces
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, cache_pieces)
+    return _ENCODERS[key]
 
 
 def to_planes(ids: np.ndarray, bits: int, per_byte: bool = False) -> list[bytes]:
@@ -298,7 +299,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, per_byte: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, per_byte: bool = True, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Encode and write ``docs`` below ``folder``; one row per file in doc_id order: part, file, n_docs, n_tokens.
 
     Texts are dealt by range over doc_id, then encoded and written in the same
@@ -313,7 +314,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, tex
     def write(batches):
         from pyspark import TaskContext
 
-        e, writer, out, name = encoder(path), None, None, attempt_name("tokens", ".tkpl")
+        e, writer, out, name = encoder(path, cache_pieces), None, None, attempt_name("tokens", ".tkpl")
         end = [] if end_id is None else np.array([end_id], dtype=e.dtype)
         for b in batches:
             for doc_id, s in zip(values_of(b.column(0)), values_of(b.column(1))):
@@ -367,10 +368,10 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
     return map_arrow(table.repartition(tasks), read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def store(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def store(spark: SparkSession, docs: DataFrame, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Write ``docs`` to a fresh folder of token files and return what reading them gives."""
     folder = fresh_dir(spark, "tokens")
-    return read_tokens(write_tokens(docs, folder), folder)
+    return read_tokens(write_tokens(docs, folder, cache_pieces=cache_pieces), folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

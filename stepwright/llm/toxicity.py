@@ -45,7 +45,9 @@ MAX_LABELLED = 20_000
 MIN_RATIO = 12.0
 #: Deviations below an indicator's precision that still count as sure.
 SURE_Z, SURE = 4.0, 0.8
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 50_000
+#: Indicators that a task counts before it hands the counts on.
+FLUSH_INDICATORS = 80_000
 HELD_OUT = 5
 
 SYMBOLS, OTHER, EDGE = 28, 26, 27
@@ -336,7 +338,7 @@ def choose_indicators(rows: DataFrame, restorer_model: np.ndarray) -> tuple[dict
                 n[label == 1 and 1 or 0] += 1
                 found = {x for w in words_to_score(t, read) for x in indicators_of(w)}
                 (toxic if label == 1 else clean).update(found)
-                if len(toxic) + len(clean) > 250_000:
+                if len(toxic) + len(clean) > FLUSH_INDICATORS:
                     yield flush()
         toxic[""], clean[""] = n[1], n[0]
         yield flush()
