@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from stepwright.llm import decontaminate, minhash_forest, mix, token_store, toxicity
 from stepwright.llm.common import materialize
 
+#: Pieces of text that a worker's tokenizer remembers here: fewer than by itself, as executors have grown with the stages before.
+CACHE_PIECES = 150_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
@@ -35,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token files: where each starts, its length and checksum, as read back."""
-    return token_store.store(spark, docs)
+    return token_store.store(spark, docs, cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
