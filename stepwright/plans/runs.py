@@ -306,7 +306,7 @@ def stream_latest(spark, d):
     folder = _stream_dir(spark)
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     latest.upsert_latest(stream.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return latest.latest_generation(spark, f"{folder}/table", e.schema)
+    return latest.latest_rows(spark, f"{folder}/table")
 
 
 def _stream_dir(spark) -> str:

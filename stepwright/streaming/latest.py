@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.archives import last_per_key
+from .log_table import LogTable
 
 
 def read_log(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -14,27 +14,15 @@ def read_log(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1
     return s.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str):
-    """Keep the last row of each key in a folder of generations; a batch that is run again writes the same generation."""
+def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str, buckets: int = 32, max_deltas: int = 8):
+    """Keep the last row of each key in a table of deltas; a batch that is run again changes nothing."""
+    log = LogTable(stream.sparkSession, table, keys, order, stream.schema, buckets, max_deltas)
+    return stream.writeStream.foreachBatch(lambda batch, epoch: log.append(batch, epoch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        before = jvm.org.apache.hadoop.fs.Path(f"{table}/g={epoch - 1}")
-        now = batch
-        if epoch and before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(before):
-            now = spark.read.schema(batch.schema).parquet(f"{table}/g={epoch - 1}").unionByName(batch)
-        last_per_key(now, keys, order).write.mode("overwrite").parquet(f"{table}/g={epoch}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_generation(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The table as of the last finished batch."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    names = [f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.schema(schema).parquet(f"{table}/g={max(int(n[2:]) for n in names if n.startswith('g='))}")
+def latest_rows(spark: SparkSession, table: str) -> DataFrame:
+    """The last row of each key as of the last finished batch."""
+    return LogTable(spark, table).read()
 
 
 def first_per_key(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:

@@ -5,10 +5,11 @@ import zipfile
 
 import pytest
 
+from stepwright.operators import gates
 from stepwright.sources import archives
 from stepwright.sources import lines as lines_source
 from stepwright.sources.schemas import EVALUATION, METRIC, PROBLEM, PRM_SHEET, TRAJECTORY
-from stepwright.streaming import latest
+from stepwright.streaming import latest, log_table
 
 
 @pytest.mark.parametrize("schema", [PROBLEM, TRAJECTORY, METRIC, EVALUATION, f"sheet {PRM_SHEET}"])
@@ -105,7 +106,7 @@ def test_stream_upsert_over_batches(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "n": n}) for k, n in rows) + "\nbroken\n")
     stream = latest.read_log(spark, str(tmp_path / "in"), "k string, n int", per_trigger=1)
     latest.upsert_latest(stream, ["k"], ["n"], str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    got = latest.latest_generation(spark, str(tmp_path / "t"), "k string, n int").collect()
+    got = latest.latest_rows(spark, str(tmp_path / "t")).collect()
     assert sorted((r["k"], r["n"]) for r in got) == [("a", 2), ("b", 1), ("c", 5)]
 
 
@@ -182,3 +183,65 @@ def test_folders_are_validated_as_archives_are(spark, tmp_path):
     (tmp_path / "run" / "problems.jsonl").unlink()
     with pytest.raises(ValueError, match="missing"):
         archives.validate_archive(spark, str(tmp_path / "run"))
+
+
+def folder_bytes(path) -> dict:
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*") if f.is_file() and not f.name.startswith(".")}
+
+
+def test_log_table_keeps_the_last_row_and_writes_what_came(spark, tmp_path):
+    import random
+
+    rng, want = random.Random(2), {}
+    table = log_table.LogTable(spark, str(tmp_path / "t"), ["k"], ["n"], "k string, n int, v string", buckets=4, max_deltas=3)
+    for epoch in range(9):
+        rows = [(f"k{rng.randint(0, 40)}", rng.randint(0, 1000), f"{epoch}-{i}") for i in range(25)]
+        for r in rows:
+            want[r[0]] = max(want.get(r[0], r), r, key=lambda r: (r[1], r[2]))
+        assert table.append(spark.createDataFrame(rows, "k string, n int, v string"), epoch)
+        assert all(len(f) <= 4 for f in table.live().values())
+        assert sorted((r["k"], r["n"]) for r in table.read().collect()) == sorted((k, r[1]) for k, r in want.items())
+    before = folder_bytes(tmp_path / "t")
+    assert not table.append(spark.createDataFrame([("new", 1, "x")], "k string, n int, v string"), 5)
+    assert folder_bytes(tmp_path / "t") == before
+    one = [("k1", 2000, "last")]
+    table.max_deltas = 100
+    assert table.append(spark.createDataFrame(one, "k string, n int, v string"), 9)
+    new = [f for f in folder_bytes(tmp_path / "t") if f not in before and f.endswith(".parquet")]
+    assert len(new) == 1  # one row, one bucket, one file
+    assert table.vacuum() and {r["k"]: r["n"] for r in log_table.LogTable(spark, str(tmp_path / "t")).read().collect()}["k1"] == 2000
+    assert table.compact(1) and all(len(f) == 1 for f in table.live().values())
+    assert len(table.read().collect()) == len(want)
+
+
+def test_log_table_of_nothing(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        log_table.LogTable(spark, str(tmp_path / "no"))
+    table = log_table.LogTable(spark, str(tmp_path / "t"), ["k"], ["n"], "k string, n int")
+    assert table.append(spark.createDataFrame([], "k string, n int"), 0) and table.read().collect() == []
+
+
+def attempts_of(spark, rows):
+    return spark.createDataFrame(rows, "agent string, problem_id int, stop_reason string, valid boolean, truncated_steps int, needs_judge boolean, critic_errors int")
+
+
+GOOD = [("a", 1, "explicit_final_answer", True, 0, False, 0), ("a", 2, "max_steps", True, 1, None, None), ("b", 1, "explicit_final_answer", True, 0, False, 0)]
+
+
+def test_gates_let_a_sound_run_pass_in_one_job(spark, tmp_path):
+    all_gates = [gates.count_gate(3), gates.infrastructure_gate(), *gates.smoke_gates(["a", "b"], 0.9, 1)]
+    report = gates.publish(attempts_of(spark, GOOD), str(tmp_path), "run", all_gates)
+    assert all(ok for _, _, ok, _ in report) and spark.read.parquet(str(tmp_path / "run")).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["run"]
+    with pytest.raises(FileExistsError):
+        gates.publish(attempts_of(spark, GOOD), str(tmp_path), "run", all_gates)
+
+
+@pytest.mark.parametrize(
+    ("rows", "says"),
+    [(GOOD[:2], "rows: 2"), ([*GOOD[:2], ("b", 1, "api_error", True, 0, False, 0)], "infrastructure: 1, first .*api_error"), ([*GOOD[:2], ("b", 1, "x", False, 0, False, 0)], "b.completion: 0.0"), ([*GOOD[:2], ("b", 1, "x", True, 2, True, 1)], "b.truncated: 2; b.judge_queue: 1; b.critic_errors: 1"), ([*GOOD[:2], (None, 1, "x", True, 0, False, 0)], "unknown_agents: 1; b.completion: None"), ([], "rows: 0")],
+)
+def test_gates_fail_closed(spark, tmp_path, rows, says):
+    with pytest.raises(gates.GateError, match=says):
+        gates.publish(attempts_of(spark, rows), str(tmp_path), "run", [gates.count_gate(3), gates.infrastructure_gate(), *gates.smoke_gates(["a", "b"], 0.9, 1)])
+    assert list(tmp_path.iterdir()) == []
