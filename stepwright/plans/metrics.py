@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.algebra import algebraically_equal
-from ..operators import frame
+from ..operators import deltas, frame
 from ..operators import steps as st
+from ..operators.order import shared_folder
 from .analysis import r
 from .tables import ALL_ATTEMPTS_SQL, STEPS_SQL, all_attempts, rounded, steps, table
 
@@ -273,6 +274,28 @@ _CLASS = "CASE label WHEN 'progressive' THEN 1.0 WHEN 'neutral_useful' THEN 0.5
 _VISIBLE = "greatest(0, output_tokens - hidden_tokens)"
 
 
+_LABELS = "progressive neutral_useful neutral_waste redundant regressive".split()
+
+
+@query("delta_summary", f"""WITH {STEPS_SQL}, n AS (SELECT *, base + 0.25::DOUBLE * CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN [1.0, 0.25, 0.0, -0.5, -1.0][conv_id % 5 + 1]::DOUBLE ELSE critic_signal END AS score FROM s2),
+ l AS (SELECT *, CASE WHEN error_flag > 0 OR score <= -0.2 THEN 'regressive' WHEN harmful_repeat > 0 THEN 'redundant' WHEN score >= 0.2 THEN 'progressive' WHEN useful_verification THEN 'neutral_useful' ELSE 'neutral_waste' END AS label FROM n),
+ k AS (SELECT conv_id, greatest(0, least(1, (avg({_CLASS}) + 1) / 2)) AS q, coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer' AND label IN ('progressive', 'neutral_useful')), 0)::DOUBLE / greatest(coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer'), 0), 1) AS ptu FROM l GROUP BY conv_id),
+ m AS (SELECT conv_id, conv_id % 5 AS agent, q, ptu, CASE WHEN conv_id % 6 = 0 THEN 1 ELSE conv_id % 2 END AS c, (conv_id % 3 > 0)::INT AS g, conv_id % 8 <> 5 AS valid FROM k)
+ SELECT agent, count(*) AS n, {r('avg(c)')} AS "C_final", {r('avg(c * g)')} AS "V", {r('avg(q)')} AS "Q", {r('avg(ptu)')} AS "PTU", {r('avg(CASE WHEN valid THEN greatest(0, least(1, c * g * ptu * q * 0.75::DOUBLE)) ELSE 0 END)')} AS "E" FROM m GROUP BY agent""")
+def delta_summary(spark, d):
+    i, folder = F.col("conv_id"), shared_folder(spark, "steps")
+    s = st.label_steps(steps(spark, d)).withColumns({"solution": F.lit(None).cast("int"), "critic_used": F.lit(False)})
+    deltas.store_by_key(s, ["conv_id"], folder, 16)
+    q, t = st.quality(s, "conv_id").select("conv_id", F.col("q_step").alias("Q")), st.token_utility(s, "conv_id").select("conv_id", F.col("ptu").alias("PTU"))
+    m = q.join(t, "conv_id").withColumns({"agent": i % 5, "C_final": (i % 2).cast("int"), "G": (i % 3 > 0).cast("int"), "G_level": F.lit("G2"), "correctness_source": F.lit("symbolic"), "R": F.lit(0.25), "valid": i % 8 != 5})
+    m = m.withColumn("V", F.col("C_final") * F.col("G")).withColumn("E", F.when(F.col("valid"), st.overall(F.col("V"), F.col("PTU"), F.col("Q"), F.col("R"))).otherwise(0.0))
+    judged = m.select("conv_id", F.when(i % 6 == 0, "success").otherwise("error").alias("status"), F.lit(True).alias("correct"), F.lit(0.9).alias("confidence"))
+    critic = s.filter((i % 4 == 0) & (F.col("turn") == 1)).select("conv_id", "turn", F.lit("success").alias("status"), F.element_at(F.array(*map(F.lit, _LABELS)), (i % 5 + 1).cast("int")).alias("label"))
+    touched = deltas.touched_keys(judged, critic, ["conv_id"])
+    changed = deltas.changes(m.join(touched, "conv_id", "left_semi"), deltas.read_touched(spark, folder, touched, ["conv_id"], 16), judged, critic, ["conv_id"], "turn", "agent")
+    return deltas.means(deltas.add_changes(deltas.summary_sums(m, "agent"), changed, "agent"), "agent")
+
+
 @query("touched_recompute", f"""WITH {STEPS_SQL}, k AS (SELECT conv_id, (avg({_CLASS}) + 1) / 2 AS q, coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer' AND label IN ('progressive', 'neutral_useful')), 0)::DOUBLE / greatest(coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer'), 0), 1) AS ptu FROM s GROUP BY conv_id),
  m AS (SELECT conv_id, conv_id % 2 AS v, conv_id % 3 > 0 AS valid, CASE WHEN conv_id % 4 = 0 THEN greatest(0, least(1, q)) ELSE 0.5 END AS q, ptu FROM k)
  SELECT conv_id, v AS "V", valid, 0.25::DOUBLE AS "R", {r('q')} AS "Q", {r('ptu')} AS "PTU", CASE WHEN valid THEN {r('greatest(0, least(1, v * ptu * q * 0.75::DOUBLE))')} ELSE 0 END::DOUBLE AS "E" FROM m""")

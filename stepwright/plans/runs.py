@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.equivalence import equivalent
 from ..functions.semantics import canonical_digest
-from ..operators import merge, queues, replay, summary
+from ..operators import gates, merge, queues, replay, summary
 from ..operators import sequences as seq
 from ..operators import steps as st
+from ..operators.order import shared_folder
 from ..sources import archives
+from ..sources.store import Store
 from ..streaming import latest
 from .analysis import r
-from .tables import GRID_SQL, STEPS_SQL, attempts, grid, rounded, steps, table
+from .tables import ATTEMPTS_SQL, GRID_SQL, STEPS_SQL, attempts, grid, rounded, steps, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -303,22 +303,22 @@ def replay_controller(spark, d):
 @query("stream_latest", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_latest(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    folder = _stream_dir(spark)
+    folder = shared_folder(spark, "stream")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     latest.upsert_latest(stream.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return latest.latest_rows(spark, f"{folder}/table")
 
 
-def _stream_dir(spark) -> str:
-    """A folder that executors share: below spark.checkpoint.dir, or a temporary one on a local master."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="streams-")
+@query("gate_report", f"""WITH {ATTEMPTS_SQL}, g AS (SELECT agent, count(*) FILTER (stop_reason IN ('api_error', 'worker_exception', 'trajectory_timeout'))::DOUBLE AS infrastructure, avg(valid::INT)::DOUBLE AS completion, sum(truncated_steps)::DOUBLE AS truncated, sum(needs_judge::INT)::DOUBLE AS judge_queue, sum(critic_errors)::DOUBLE AS critic_errors FROM a WHERE agent IS NOT NULL GROUP BY agent),
+ u AS (UNPIVOT g ON infrastructure, completion, truncated, judge_queue, critic_errors INTO NAME what VALUE value) SELECT agent || '.' || what AS gate, {r('value')} AS value, CASE what WHEN 'completion' THEN value >= 0.6 WHEN 'truncated' THEN value <= 40 ELSE value = 0 END AS holds FROM u
+ UNION ALL SELECT 'rows', count(*), count(*) = 1000 FROM a UNION ALL SELECT 'unknown_agents', count(*) FILTER (agent IS NULL), count(*) FILTER (agent IS NULL) = 0 FROM a""")
+def gate_report(spark, d):
+    a = attempts(spark, d)
+    agents = sorted(r[0] for r in a.select("agent").distinct().collect() if r[0] is not None)
+    folder = shared_folder(spark, "gates")
+    report = gates.write_observed(a, folder, [gates.count_gate(1000), *gates.smoke_gates(agents, 0.6, 40)])
+    Store(spark, folder).remove()
+    return spark.createDataFrame([(n, None if v is None else float(v), ok) for n, v, ok, _ in report], "gate string, value double, holds boolean")
 
 
 @query("trajectory_audit", "SELECT agent, count(*) AS n, count(*) FILTER (publishable) AS publishable FROM (SELECT source AS agent, n_chars % 10 > 3 AS publishable FROM labels JOIN documents USING (doc_id)) GROUP BY agent")
