@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import keyed, ratio, ratio_floor, share_within, total
 from .order import quantiles
 from .stats import rate, wilson
+from .steps import harmful_repeat
 
 INFRASTRUCTURE = ("api_error", "worker_exception", "trajectory_timeout")
 PROTOCOL = ("format_error_limit", "answer_only_violation_limit")
@@ -208,6 +209,41 @@ def threshold_sweep(steps: DataFrame, similarity: str, thresholds, by: str = "ag
     return d.groupBy(by, "threshold").agg(rate(F.col(similarity) >= F.col("threshold")).alias("repetition"))
 
 
+def redundancy_sensitivity(steps: DataFrame, thresholds, by: str = "agent") -> DataFrame:
+    """Per threshold of similarity: share of steps at or above it, and of those that repeat harmfully by it; one scan.
+
+    ``steps`` has max_similarity, exact, algebraic, useful_verification, tool_gain, action_type.
+    """
+    d = keyed(steps, by).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    raw = F.coalesce(F.col("max_similarity"), F.lit(0.0)) >= F.col("threshold")
+    harm = harmful_repeat(F.col("action_type"), known("exact"), raw, known("algebraic"), known("useful_verification"), F.coalesce("tool_gain", F.lit(0.0)))
+    return d.groupBy(by, "threshold").agg(rate(harm > 0).alias("harmful_redundancy"), rate(raw).alias("raw_semantic_repetition"))
+
+
+def adjudication_sources(a: DataFrame, by: str = "agent") -> DataFrame:
+    """How many attempts of each agent were decided by each source, and their share; attempts without a source are left out."""
+    return distribution(a, "correctness_source", by)
+
+
+def solution_table(a: DataFrame, by: str = "agent") -> DataFrame:
+    """Shares of attempts whose solution was found, and found in the last step; mean and median of the tokens after it.
+
+    ``a`` has solution, total_steps, post_waste.
+    """
+    g = keyed(a, by).groupBy(by).agg(rate(F.col("solution").isNotNull()).alias("detection_rate"), rate(F.col("solution") == F.col("total_steps")).alias("terminal_rate"), F.avg("post_waste").alias("mean_post_waste"))
+    return g.join(quantiles(keyed(a, by), [by], "post_waste", [0.5], ["median_post_waste"]), by, "left")
+
+
+def critic_audit(steps: DataFrame, by: str = "agent") -> DataFrame:
+    """Steps, share of them that a critic saw, mean change of the process score and mean score."""
+    return keyed(steps, by).groupBy(by).agg(F.count(F.lit(1)).alias("steps"), rate(F.col("critic_used")).alias("critic_rate"), F.avg("prm_delta").alias("mean_prm_delta"), F.avg("hybrid_score").alias("mean_hybrid_score"))
+
+
+def trace_agents(a: DataFrame, excluded: list[str], by: str = "agent") -> DataFrame:
+    """Rows of the agents whose traces are looked at."""
+    return keyed(a, by).filter(~F.col(by).isin(*excluded)) if excluded else keyed(a, by)
+
+
 def earliest_error(steps: DataFrame, keys: list[str], by: str = "agent") -> DataFrame:
     """Over failed attempts: mean, median and number of the normalized position of the first regressive step."""
     first = steps.filter((F.coalesce(F.col("C"), F.lit(0)) == 0) & (F.col("label") == "regressive")).groupBy(*{*keys, by}).agg(F.min("normalized_position").alias("p"))

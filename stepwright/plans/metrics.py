@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.algebra import algebraically_equal
-from ..operators import deltas, frame
+from ..operators import deltas, frame, summary
 from ..operators import steps as st
 from ..operators.order import shared_folder
 from .analysis import r
@@ -305,3 +305,63 @@ def touched_recompute(spark, d):
     s = s.withColumn("label", st.step_label(base, F.col("error_flag"), F.col("harmful_repeat"), F.col("useful_verification"))).withColumn("solution", F.lit(None).cast("int"))
     m = s.select("conv_id").distinct().withColumns({"V": F.col("conv_id") % 2, "valid": F.col("conv_id") % 3 > 0, "Q": F.lit(0.5), "PTU": F.lit(0.0), "R": F.lit(0.25), "E": F.lit(0.0)})
     return frame.recompute(m, s, m.filter("conv_id % 4 = 0"), ["conv_id"])
+
+
+@query("adjudication_sources", f"""WITH {ALL_ATTEMPTS_SQL}, b AS (SELECT agent, CASE WHEN tokens % 3 < 2 THEN 'symbolic' WHEN judge_used THEN 'judge_fallback' WHEN tokens % 7 > 0 THEN 'unresolved_needs_adjudication' END AS s FROM a), k AS (SELECT agent, s, count(*) AS n FROM b WHERE s IS NOT NULL AND agent IS NOT NULL GROUP BY ALL)
+ SELECT agent, s AS correctness_source, n, {r('n::DOUBLE / sum(n) OVER (PARTITION BY agent)')} AS share FROM k""")
+def adjudication_sources(spark, d):
+    n = F.col("tokens")
+    return summary.adjudication_sources(all_attempts(spark, d).withColumn("correctness_source", F.when(n % 3 < 2, "symbolic").when(F.col("judge_used"), "judge_fallback").when(n % 7 > 0, "unresolved_needs_adjudication")))
+
+
+@query("solution_waste", f"""WITH {STEPS_SQL}, t AS (SELECT conv_id, max(position) AS n, coalesce(sum({_VISIBLE}) FILTER (action_type <> 'answer' AND position > conv_id % 3 + 1 AND conv_id % 2 = 1), 0)::DOUBLE AS w FROM s GROUP BY conv_id)
+ SELECT conv_id % 6 AS agent, {r('avg((conv_id % 2 = 1)::INT)')} AS detection_rate, {r('avg((conv_id % 2 = 1 AND conv_id % 3 + 1 = n)::INT)')} AS terminal_rate, {r('avg(w)')} AS mean_post_waste, {r('quantile_cont(w, 0.5)')} AS median_post_waste FROM t GROUP BY 1""")
+def solution_waste(spark, d):
+    i = F.col("conv_id")
+    s = steps(spark, d).withColumn("label", F.lit("")).withColumn("solution", F.when(i % 2 == 1, i % 3 + 1))
+    x = s.groupBy("conv_id").agg(F.max("solution").alias("solution"), F.max("position").alias("total_steps")).join(st.token_utility(s, "conv_id").select("conv_id", F.col("t_post_waste").alias("post_waste")), "conv_id")
+    return summary.solution_table(x.withColumn("agent", i % 6))
+
+
+@query("critic_audit", f"WITH {STEPS_SQL} SELECT agent, count(*) AS steps, {r('avg((hidden_tokens = 1)::INT)')} AS critic_rate, {r('avg(prm_delta)')} AS mean_prm_delta, {r('avg(base + 0.25::DOUBLE * critic_signal)')} AS mean_hybrid_score FROM s WHERE agent <> 'system' GROUP BY agent")
+def critic_audit(spark, d):
+    s = summary.trace_agents(st.label_steps(steps(spark, d)), ["system"])
+    return summary.critic_audit(s.withColumn("critic_used", F.col("hidden_tokens") == 1))
+
+
+_AT = (0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+
+
+@query("redundancy_sensitivity", f"""WITH {STEPS_SQL}, t AS (SELECT *, (output_tokens % 101) / 100.0::DOUBLE AS top, unnest({list(_AT)}::DOUBLE[]) AS threshold FROM s)
+ SELECT agent, threshold, {r("avg((action_type <> 'answer' AND (hidden_tokens = 0 OR top >= threshold OR output_tokens % 5 = 0) AND NOT useful_verification AND tool_gain = 0)::INT)")} AS harmful_redundancy, {r('avg((top >= threshold)::INT)')} AS raw_semantic_repetition FROM t GROUP BY agent, threshold""")
+def redundancy_sensitivity(spark, d):
+    n = F.col("output_tokens")
+    s = steps(spark, d).withColumns({"max_similarity": (n % 101) / 100.0, "exact": F.col("hidden_tokens") == 0, "algebraic": n % 5 == 0})
+    return summary.redundancy_sensitivity(s, _AT)
+
+
+_SAY = "CASE hidden_tokens WHEN 0 THEN concat('so {\"label\": \"', CASE output_tokens % 3 WHEN 0 THEN 'progressive' WHEN 1 THEN 'redundant' ELSE 'good' END, '\", \"confidence\": 0.', CAST(position AS VARCHAR(9)), '}') WHEN 1 THEN 'label: Regressive' WHEN 2 THEN '{\"label\": \"neutral_waste\", \"reason\": \"r\"}' ELSE 'none' END"
+
+
+@query("label_verdicts", f"""WITH {STEPS_SQL}, v AS (SELECT conv_id, turn, CASE hidden_tokens WHEN 0 THEN CASE output_tokens % 3 WHEN 0 THEN 'progressive' WHEN 1 THEN 'redundant' END WHEN 2 THEN 'neutral_waste' END AS label, hidden_tokens AS h, position FROM s)
+ SELECT conv_id, turn, label, {r("CASE WHEN label IS NULL THEN NULL WHEN h = 0 THEN ('0.' || position)::DOUBLE ELSE 0 END")} AS confidence, CASE WHEN label IS NULL THEN NULL WHEN h = 2 THEN 'r' ELSE '' END AS reason, coalesce(label, CASE h WHEN 1 THEN 'regressive' END) AS recovered FROM v""")
+def label_verdicts(spark, d):
+    s = steps(spark, d).withColumn("said", F.expr(_SAY)).withColumn("v", tx.label_verdict(tx.json_object(F.col("said")), tuple(_LABELS)))
+    return s.select("conv_id", "turn", "v.label", "v.confidence", "v.reason", F.coalesce("v.label", tx.recovered_label(F.col("said"))).alias("recovered"))
+
+
+@query("prm_ensemble", f"""WITH {STEPS_SQL}, l AS (SELECT conv_id, list(prm ORDER BY turn) AS a FROM s GROUP BY conv_id), b AS (SELECT conv_id, a, CASE WHEN conv_id % 3 > 0 THEN a[1:2] ELSE [] END AS b FROM l),
+ u AS (SELECT conv_id, a, b, unnest(range(len(a))) AS step FROM b) SELECT conv_id, step::INT AS step, {r('(a[step + 1] + coalesce(b[step + 1], b[len(b)], 0.5)) / 2')} AS prm FROM u""")
+def prm_ensemble(spark, d):
+    a = F.transform(F.array_sort(F.collect_list(F.struct("turn", "prm"))), lambda x: x["prm"])
+    m = steps(spark, d).groupBy("conv_id").agg(a.alias("a"))
+    scores = F.array("a", F.when(F.col("conv_id") % 3 > 0, F.slice("a", 1, 2)).otherwise(F.array().cast("array<double>")))
+    return m.select("conv_id", F.posexplode(st.ensemble(scores, F.size("a"))).alias("step", "prm"))
+
+
+@query("prm_sheets", f"WITH {STEPS_SQL} SELECT agent, conv_id::VARCHAR AS problem_id, {r('max(prm) FILTER (turn % 2 = 0)')} AS even, {r('max(prm) FILTER (turn % 2 = 1)')} AS odd FROM s GROUP BY agent, conv_id")
+def prm_sheets(spark, d):
+    of = lambda k: F.collect_list(F.when(F.col("turn") % 2 == k, F.col("prm")))
+    g = steps(spark, d).groupBy("agent", "conv_id").agg(of(0).alias("e"), of(1).alias("o"))
+    sheet = F.create_map("agent", F.create_map(F.col("conv_id").cast("string"), F.struct(F.create_map(F.lit("even"), F.col("e"), F.lit("odd"), F.col("o")).alias("by_model"))))
+    return st.prm_long(g.select(sheet.alias("sheet"))).groupBy("agent", "problem_id").pivot("model", ["even", "odd"]).agg(F.max("score"))
