@@ -31,8 +31,8 @@ TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 
-#: No codec here makes more bytes of one: a deflate match of 258 bytes takes two bits, an LZW code of 9 bits names 3,840 at most.
-MOST_EXPANSION = 4096
+#: Bytes that a codec makes of one at most: a PackBits run of 128 takes two bytes, a deflate match of 258 bytes two bits, an LZW code of 12 bits names 3,840.
+MOST_EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 ROW_BYTES = 64
 PAGE_ROWS = 2048
@@ -141,7 +141,7 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, kind: int) -> bytes:
+def decompress(data: bytes, kind: int, most: int = 0) -> bytes:
     if kind == NONE:
         return data
     if kind == PACKBITS:
@@ -149,7 +149,7 @@ def decompress(data: bytes, kind: int) -> bytes:
     if kind == LZW:
         return lzw_decode(data)
     if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {kind} is not supported")
 
 
@@ -246,14 +246,21 @@ def read_pages(data: bytes):
         planes = 1 if planar == 1 else samples
         if not len(offsets) == len(counts) == planes * -(-height // th) * -(-width // tw):
             raise ValueError("the page has not got the strips or tiles that its size asks for")
-        if width * height * samples * (bits // 8) > MOST_EXPANSION * max(1, sum(counts)) or th * tw * samples * (bits // 8) > MOST_EXPANSION * max(1, max(counts)):
+        most = MOST_EXPANSION.get(kind, 1)
+        if width * height * samples * (bits // 8) > most * max(1, sum(counts)) or th * tw * (samples if planar == 1 else 1) * (bits // 8) > most * max(1, max(counts)):
             raise ValueError("the page is larger than its stored bytes can be")
         dtype, per = np.dtype(f"{e}u{bits // 8}"), samples if planar == 1 else 1
+        sizes = [(th if tiled else min(th, height - y)) * tw * per * dtype.itemsize for _ in range(planes) for y in range(0, height, th) for _ in range(0, width, tw)]
+        parts = []
+        for where, stored, size in zip(offsets, counts, sizes):  # before the page is allocated: its size is only claimed until its parts are there
+            parts.append(decompress(data[where : where + stored], kind, size))
+            if len(parts[-1]) < size:
+                raise ValueError("a strip or tile is shorter than its page asks for")
         pixels, k = np.zeros((height, width, samples), dtype=dtype.newbyteorder("=")), 0
         for plane in range(planes):
             for y in range(0, height, th):
                 for x in range(0, width, tw):
-                    raw = decompress(data[offsets[k] : offsets[k] + counts[k]], kind)
+                    raw, parts[k] = parts[k], b""
                     rows = th if tiled else min(th, height - y)
                     part = np.frombuffer(raw, dtype=dtype, count=rows * tw * per).reshape(rows, tw, per).astype(pixels.dtype)
                     if predictor == 2:
@@ -280,7 +287,7 @@ def explode_pages(df: DataFrame, media: str = "media", carry: tuple[str, ...] =
             for f, pixels in read_pages(data):
                 yield {**f, "page": page, "media_sha256": digest, "pixels": pixels.tobytes()}
                 page += 1
-        except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error) as x:
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as x:
             yield {"page": -1, "media_sha256": digest, "error": str(x)[:200] or type(x).__name__}
 
     def explode(batches):

@@ -8,8 +8,8 @@ have a matching node, and how many of these have the same text. Summed over all
 pages of the host the votes are its wrapper: nodes with the same text nearly
 everywhere are template, varying slots are content. A page is then aligned with
 the wrapper again. Its content is where its varying slots are: the outermost
-article and main elements if these hold half of that text, else the lowest node
-over all of it. What the template or a role (menu, footer, advert, form,
+article and main elements, with the headings and paragraphs right before them, if
+these hold half of that text, else the lowest node over all of it. What the template or a role (menu, footer, advert, form,
 comments, ...) marks inside is left out. Roles come from elements, ARIA roles and
 words of classes and ids, a compound word only if all its parts fit.
 
@@ -52,15 +52,25 @@ CLOSES_P = BLOCK - {"button", "label", "option", "legend", "caption", "title"}
 SIBLING_CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "menu", "body", "html", "div", "article", "section", "main", "nav", "aside", "form", "blockquote", "td", "th", "footer", "header", "figure", "details"}
 ROLE_TAGS = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "search"}
-ROLE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "disqus", "consent", "cookie", "cookies", "copyright", "footer", "header", "menu", "nav", "navbar", "navigation", "masthead", "newsletter", "notice", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "replies", "reply", "responses", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+ROLE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "discussion", "disqus", "feedback", "consent", "cookie", "cookies", "copyright", "footer", "header", "menu", "nav", "navbar", "navigation", "masthead", "newsletter", "notice", "pagination", "pager", "popup", "modal", "promo", "promotion", "related", "recommended", "replies", "reply", "responses", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Parts that a class or id may have beside a word of a role and still name that role: "comment-list", but not "ad-hoc".
-ROLE_PARTS = {"area", "bar", "block", "body", "bottom", "box", "buttons", "column", "container", "content", "form", "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site", "skip", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+ROLE_PARTS = {"area", "bar", "block", "body", "bottom", "box", "buttons", "column", "container", "content", "form", "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site", "skip", "slot", "stories", "thread", "top", "unit", "user", "wrap", "wrapper"}
 COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
+#: Words that do not name a role where another word of the same element says that it is the content.
+WEAK_WORDS = {"widget", "social", "banner", "notice", "header", "toolbar", "responses"}
+CONTENT_WORDS = {"content", "article", "post", "entry", "story", "main"}
 ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 MAIN_TAGS = {"article", "main"}
-
-_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+LEAD_TAGS = {"h1", "h2", "h3", "p", "hgroup", "figure"}
+
+#: A quote opens a value only after '='; one that is never closed ends with the tag. Elsewhere it is part of a name.
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_LEX = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|" + _VALUE + r")*+)>?", re.S)
+_ATTR = re.compile(r"([^\s<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: An element that closes itself: a slash before the end that is no part of an unquoted value. Only foreign elements may.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$|^[^=]*/$")
+_FOREIGN = {"svg"}
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NUMBER = re.compile(r"\d*")
 
 
@@ -79,11 +89,14 @@ class Node:
         return "\n".join(x for x in self.items if isinstance(x, str))
 
 
-def _names_role(word: str, in_main: bool) -> bool:
-    """Does one word of a class or id name a boilerplate role? Inside an article its own header does not."""
-    parts = [x for x in word.replace("_", "-").split("-") if not _NUMBER.fullmatch(x)]
-    named = [x for x in parts if x in ROLE_WORDS and not (in_main and x == "header")]
-    return bool(named) and all(x in ROLE_WORDS or x in ROLE_PARTS for x in parts)
+def _parts(word: str) -> list[str]:
+    """The parts of a word of a class or id: at dashes, underlines and humps, without numbers."""
+    return [x for x in _CAMEL.sub("-", word).lower().replace("_", "-").split("-") if not _NUMBER.fullmatch(x)]
+
+
+def _names_role(parts: list[str], not_roles: set[str]) -> bool:
+    """Do the parts of a word name a boilerplate role?"""
+    return any(x in ROLE_WORDS - not_roles for x in parts) and all(x in ROLE_WORDS or x in ROLE_PARTS for x in parts)
 
 
 def _role(tag: str, attributes: str, in_main: bool) -> bool:
@@ -93,17 +106,19 @@ def _role(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     seen = set()
     for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in seen:  # the first of a name counts
             continue
         seen.add(name)
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "role" and value.strip() in ARIA:
+        if name == "role" and value.strip().lower() in ARIA:
             return True
         if name in ("class", "id"):
-            words = value.split()
-            if any(w in COMMENT_WORDS for w in words) if tag in MAIN_TAGS else any(_names_role(w, in_main) for w in words):
+            words = list(map(_parts, value.split()))
+            content = any(w and set(w) <= CONTENT_WORDS | {"body", "text"} and set(w) & CONTENT_WORDS for w in words)
+            not_roles = (WEAK_WORDS if content else set()) | ({"header"} if in_main else set())  # inside an article its own header is none
+            if any(w[0] in COMMENT_WORDS for w in words if len(w) == 1) if tag in MAIN_TAGS else any(_names_role(w, not_roles) for w in words):
                 return True
     return False
 
@@ -147,7 +162,7 @@ def parse(html: str) -> Node:
             continue
         closing = m.group(1) == "/"
         if tag in RAW:
-            if not closing and not m.group(3).endswith("/"):
+            if not closing and not (tag in _FOREIGN and _CLOSED.search(m.group(3))):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
             continue
@@ -352,8 +367,8 @@ def content_roots(page: Node, template: set[int]) -> list[Node]:
             mains.append(x)
         else:
             todo += [k for k in reversed(x.kids) if mass.get(id(k))]
-    if 2 * sum(mass[id(x)] for x in mains) >= mass[id(page)]:
-        return mains
+    if mains and 2 * sum(mass[id(x)] for x in mains) >= mass[id(page)]:
+        return [*_leads(page, mains, mass), *mains]
     x = page
     while True:
         full = [k for k in x.kids if mass.get(id(k), 0) == mass[id(x)]]
@@ -362,6 +377,18 @@ def content_roots(page: Node, template: set[int]) -> list[Node]:
         x = full[0]
 
 
+def _leads(page: Node, mains: list[Node], mass: dict[int, int]) -> list[Node]:
+    """Headings and paragraphs with varying text that stand right before the first main element, beside it."""
+    for x in outside_roles(page):
+        if any(k is mains[0] for k in x.kids):
+            at = next(i for i, k in enumerate(x.kids) if k is mains[0])
+            first = at
+            while first and x.kids[first - 1].tag in LEAD_TAGS and mass.get(id(x.kids[first - 1])):
+                first -= 1
+            return x.kids[first:at]
+    return []
+
+
 def main_text(page: Node, template: set[int]) -> str:
     """The blocks below the content roots that neither a role nor the template marks, in page order, a line each."""
     found: list[str] = []
