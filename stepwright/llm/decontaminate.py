@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, text_or_empty, values_of
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: A block of this size takes about half a gigabyte of the driver when it is indexed.
+BLOCK_BYTES = 4 << 20
 
 #: ASCII letters to lower case; what is neither a digit, a letter nor above 0x7F to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
