@@ -45,7 +45,7 @@ MAX_LABELLED = 20_000
 MIN_RATIO = 12.0
 #: Deviations below an indicator's precision that still count as sure.
 SURE_Z, SURE = 4.0, 0.8
-CACHE_TOKENS = 50_000
+CACHE_TOKENS = 100_000
 #: Indicators that a task counts before it hands the counts on.
 FLUSH_INDICATORS = 80_000
 HELD_OUT = 5
@@ -59,6 +59,8 @@ LEET_COST, COLLAPSE_COST, DROP_COST = -1.2, -0.4, -15.0
 _SPACED = re.compile(r"(?<![^\s\"'\[{<])(?:(?:[^\W_]|[@$!|+(€£])[\s.\-_*]{1,3}){2,}(?:[^\W_]|[@$!|+(€£])(?=[.,;:!?\"')\]}>]*(?:\s|$))")
 _SEPARATORS = re.compile(r"[\s.\-_*]+")
 _DISGUISED = re.compile(r"[0-9@$!|+(€£]|(.)\1")
+#: Signs at the ends of a token that stand for no letter.
+_ENDS = "\"'()[]{}<>.,;:?%&*#~^=/\\-_`"
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -213,12 +215,26 @@ def readings(token: str, restorer: Restorer) -> tuple[str, ...]:
     core = token.strip(_STRIP)
     found = {core}
     if disguised:
-        for bare in {core, token.strip("\"'()[]{}<>.,;:?%&*#~^=/\\-_`")}:
+        for bare in {core, token.strip(_ENDS)}:
             if len(bare) > 2 and any(c.isalpha() for c in bare) and _DISGUISED.search(bare):
                 found.add(restorer.decode(bare))
     return tuple(x for x in found if x)
 
 
+def _beginnings(word: str) -> set[str]:
+    """The first three letters of every reading of a word of letters: those of its first three runs, once or twice each."""
+    out, i = {""}, 0
+    for _ in range(3):
+        if i == len(word):
+            break
+        j, c = i + 1, word[i]
+        while j < len(word) and word[j] == c:
+            j += 1
+        out = {x + y for x in out for y in ((c,) if j == i + 1 else (c, c * 2))}
+        i = j
+    return {x[:3] for x in out}
+
+
 def indicators_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(3, 7) if len(word) > k)]
 
@@ -262,7 +278,14 @@ class Scorer:
         TASK_MEMORIES.append(self._tokens)
 
     def _weight(self, token: str) -> tuple[float, float]:
-        """The largest weight and the largest sure precision of what a token may be."""
+        """The largest weight and the largest sure precision of what a token may be.
+
+        A token of letters alone is decoded only if one of its readings may begin as an
+        indicator does: runs of a letter are read as one or two of it and nothing else changes.
+        """
+        bare = token.strip(_ENDS)
+        if bare.isalpha() and bare[:3] not in self.heads and self.heads.isdisjoint(_beginnings(bare)):
+            return 0.0, 0.0
         found = [self.weights[x] for w in readings(token, self.restorer) if w[:3] in self.heads for x in indicators_of(w) if x in self.weights]
         return (max(w for w, _ in found), max(p for _, p in found)) if found else (0.0, 0.0)
 
