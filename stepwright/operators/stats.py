@@ -22,22 +22,35 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), centre + half))
 
 
+#: Sums of binomial terms are kept below this power of two; what is taken out is paid from the factor 0.5^n.
+_SCALE = 512
+
+
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Two-sided exact binomial p of b against c discordant pairs; 1 without any."""
+    """Two-sided exact binomial p of b against c discordant pairs; 1 without any.
+
+    Binomials of any n: 0.5^n is no double beyond n = 1074, so the halves that a term
+    has not yet been given are counted beside it.
+    """
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    state = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("sum"))
+    given = F.least(n, F.lit(_SCALE))
+    first = F.pow(F.lit(0.5), given)
+    state = F.struct(first.alias("term"), first.alias("sum"), (n - given).alias("halves"))
     steps = F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
     def step(a: Column, i: Column) -> Column:
         term = a["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+        given = F.when(term > 1, F.least(a["halves"], F.lit(_SCALE))).otherwise(0)
+        scale = F.pow(F.lit(0.5), given)
+        return F.struct((term * scale).alias("term"), ((a["sum"] + term) * scale).alias("sum"), (a["halves"] - given).alias("halves"))
 
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, state, step)["sum"]))
+    end = F.aggregate(steps, state, step)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * end["sum"] * F.pow(F.lit(0.5), end["halves"])))
 
 
-def holm(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "p_holm") -> DataFrame:
-    """Holm's adjustment within a family of tests."""
-    w = Window.partitionBy(*family).orderBy(p, *tie)
+def holm(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "p_holm", by: str | None = None) -> DataFrame:
+    """Holm's adjustment within a family of tests, in order of p, or of ``by`` (p rounded, say) if given."""
+    w = Window.partitionBy(*family).orderBy(by or p, *tie)
     m, r = F.count(F.lit(1)).over(Window.partitionBy(*family)), F.row_number().over(w)
     raw = F.least(F.lit(1.0), (m - r + 1) * F.col(p))
     return df.withColumn("_raw", raw).withColumn(out, F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")

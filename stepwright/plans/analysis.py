@@ -186,7 +186,7 @@ _BINOMIAL = "least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(left_
  SELECT left_ AS "left", right_ AS "right", n, left_only, right_only, {r('mean_diff')} AS mean_diff, {r('p')} AS p, {r('max(raw) OVER (ORDER BY p9, left_, right_ ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM h""")
 def paired_tests(spark, d):
     t = stats.paired_tests(grid(spark, d), "agent", "problem_id", "C").withColumn("family", F.lit("C")).withColumn("p9", F.round("p", 9))
-    h = stats.holm(t.withColumn("p", F.col("p9")), "p", ["family"], ["left", "right"])
+    h = stats.holm(t, "p", ["family"], ["left", "right"], by="p9")
     return h.drop("family", "p9")
 
 

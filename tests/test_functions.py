@@ -1,6 +1,8 @@
 """Scalar and sequence operators against stated values and small models in Python."""
 
+import itertools
 import math
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -65,6 +67,19 @@ def test_mcnemar(spark, b, c, p):
     assert one(spark, stats.mcnemar_exact(F.lit(b), F.lit(c)).alias("p"))["p"] == pytest.approx(p, abs=1e-6)
 
 
+@pytest.mark.parametrize(("b", "c"), [(530, 545), (2250, 2300), (1100, 1100), (23000, 23400), (0, 3000)])
+def test_mcnemar_of_more_pairs_than_halves_in_a_double(spark, b, c):
+    n, k = b + c, min(b, c)
+    want = min(1.0, 2 * float(Fraction(sum(itertools.accumulate(range(1, k + 1), lambda t, i: t * (n - i + 1) // i, initial=1)), 2**n)))
+    assert one(spark, stats.mcnemar_exact(F.lit(b), F.lit(c)).alias("p"))["p"] == pytest.approx(want, rel=1e-10)
+
+
+def test_holm_adjusts_p_in_the_order_of_another_column(spark):
+    df = spark.createDataFrame([("f", 0, 0.0100001), ("f", 1, 0.01)], "f string, i int, p double").withColumn("p6", F.round("p", 6))
+    got = {r["i"]: r["p_holm"] for r in stats.holm(df, "p", ["f"], ["i"], by="p6").collect()}
+    assert got == {0: 2 * 0.0100001, 1: 2 * 0.0100001}
+
+
 @given(st.lists(st.floats(0, 1), min_size=1, max_size=8))
 @settings(max_examples=8, deadline=None)
 def test_holm_against_a_loop(spark, ps):
