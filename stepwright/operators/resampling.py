@@ -1,12 +1,19 @@
-"""Bootstrap intervals and ranks from histograms of outcomes.
-
-A resample draws every row a Poisson number of times of mean 1. The rows of one
-outcome are drawn a Poisson number of times of mean n together, so one count is
-drawn for each outcome and replicate, whatever the number of rows: the rows are
-grouped once, and from there the cost is replicates times outcomes. Draws come from
-md5 of seed, outcome and replicate, so any engine draws the same.
-
-Counts of mean 32 or less come from the exact distribution; larger ones from a normal
+"""Bootstrap intervals and ranks, row by row or from histograms of outcomes.
+
+A resample draws every row a Poisson number of times of mean 1. Draws come from md5,
+so any engine draws the same.
+
+Row by row (``drawn_rows``) every row has a draw of its own in each replicate, from
+md5 of seed, replicate and the row's name: rows times replicates draws, dealt over the
+cores whatever the size of the files. Counts are added up where they are drawn, so
+a task of few groups shuffles few sums. ``bootstrap_ci`` with ``row``
+works so.
+
+From a histogram (``draws``) the rows of one outcome are drawn a Poisson number of
+times of mean n together, so one count is drawn for each outcome and replicate: the
+rows are grouped once, and from there the cost is replicates times outcomes, from md5
+of seed, outcome and replicate. ``bootstrap_ci`` without ``row`` and ``rank_stability``
+work so. Counts of mean 32 or less come from the exact distribution; larger ones from a normal
 variate by the expansion of the Poisson quantile to the third order, which is within
 one of the exact count (a bound of an interval moves by less than its share of one
 row). Outcomes of a continuous measure can be rounded to multiples of ``resolution``,
@@ -24,7 +31,6 @@ from pyspark.sql.window import Window
 
 from ..functions.semantics import hash_order, ratio
 from .stats import pair_outcomes
-
 #: Largest mean whose distribution is tabulated.
 EXACT = 32
 #: Draws of a hash: two numbers of 32 bits each.
@@ -67,20 +73,52 @@ def draws(histogram: DataFrame, key: Column, n: str, replicates: int, seed: int
     return d.withColumns({"b": F.col("_draw.b"), "_w": poisson_counts(F.col(n), F.col("_draw.high"), F.col("_draw.low"))}).drop("_hash", "_draw")
 
 
-def bootstrap_means(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 42, resolution: float | None = None) -> DataFrame:
+#: P(X <= k) of a Poisson variable of mean 1, by which a hash of 32 bits becomes a count.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+POISSON_STEPS = [round(p * 2**32) for p in POISSON]
+#: Tasks a core among which rows are dealt before they are drawn.
+TASKS = 4
+
+
+def row_count(md5: Column) -> Column:
+    """How often a row is drawn: a Poisson count of mean 1 from a hash."""
+    count = F.lit(len(POISSON_STEPS))
+    for k, t in reversed(list(enumerate(POISSON_STEPS))):
+        count = F.when(md5 < f"{t:08x}", k).otherwise(count)
+    return count
+
+
+def drawn_rows(rows: DataFrame, row: str, groups: list[str], sums: dict[str, Column], replicates: int, seed: int = 42) -> DataFrame:
+    """groups, b and sums over what replicate b draws; each row, named by ``row``, is drawn by itself, ``_w`` times.
+
+    Rows are dealt by ranges of group and name, so a task has few groups, and one group
+    of many rows is dealt among many tasks. The hash is a column of its own, read several times: written in place, or below a
+    filter on the count, it would be computed anew for each reading.
+    """
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    d = rows.repartitionByRange(tasks, *groups, row).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    d = d.withColumn("_md5", hash_order(seed, F.col("b"), F.col(row))).withColumn("_w", row_count(F.col("_md5")))
+    return d.groupBy(*groups, "b").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+
+
+def bootstrap_means(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 42, resolution: float | None = None, row: str | None = None) -> DataFrame:
     """Mean of each resample of a group: keys, b, mean (NULL where nothing was drawn)."""
     v = F.col(value).cast("double")
     if resolution:
         v = F.round(v / resolution) * resolution
+    if row is not None:
+        d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), v.alias("_v"))
+        d = drawn_rows(d, "_row", keys, {"_s": F.col("_v") * F.col("_w"), "_c": F.col("_w")}, replicates, seed)
+        return d.select(*keys, "b", ratio(F.col("_s"), F.col("_c")).alias("mean"))
     h = df.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     d = draws(h, F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("_v").cast("string")), "_n", replicates, seed)
     return d.groupBy(*keys, "b").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_c")).select(*keys, "b", ratio(F.col("_s"), F.col("_c")).alias("mean"))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 5000, seed: int = 42, level: float = 0.95, resolution: float | None = None) -> DataFrame:
-    """keys, lo, hi: percentile interval of the resampled means."""
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 5000, seed: int = 42, level: float = 0.95, resolution: float | None = None, row: str | None = None) -> DataFrame:
+    """keys, lo, hi: percentile interval of the resampled means; ``row`` names a row, and each is then drawn by itself."""
     q = (1 - level) / 2
-    m = bootstrap_means(df, keys, value, replicates, seed, resolution)
+    m = bootstrap_means(df, keys, value, replicates, seed, resolution, row)
     return m.groupBy(*keys).agg(F.percentile("mean", F.lit(q)).alias("lo"), F.percentile("mean", F.lit(1 - q)).alias("hi"))
 
 

@@ -202,10 +202,17 @@ def _drawn(histogram: str, columns: str, key: str, replicates: int) -> str:
  w AS (SELECT {columns}, b, CASE WHEN n <= {resampling.EXACT} THEN len(list_filter(steps, lambda t: t <= high)) ELSE {_WIDE} END AS w FROM (SELECT *, {_NORMAL} AS z FROM u) LEFT JOIN p USING (n))"""
 
 
-@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, h AS (SELECT agent, C::DOUBLE AS v, count(*) AS n FROM a WHERE agent IS NOT NULL AND C IS NOT NULL GROUP BY ALL), {_drawn('h', 'agent, v', "agent || ':' || v", 5000)},
- m AS (SELECT agent, b, sum(v * w)::DOUBLE / nullif(sum(w), 0) AS m FROM w GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
+_DRAWN = "(" + " + ".join(f"(h >= {t})::INT" for t in resampling.POISSON_STEPS) + ")"
+
+
+def _hash(key: str) -> str:
+    return f"('0x' || substr(md5('42:' || b || ':' || {key}), 1, 8))::BIGINT"
+
+
+@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, d AS (SELECT agent, b, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(5000)) AS b FROM a WHERE agent IS NOT NULL AND C IS NOT NULL)),
+ m AS (SELECT agent, b, sum(C * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
 def bootstrap_ci(spark, d):
-    return resampling.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", replicates=5000)
+    return resampling.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", replicates=5000, row="problem_id")
 
 
 @query("paired_bootstrap", f"""WITH {GRID_SQL}, h AS (SELECT a.agent AS left_, b.agent AS right_, (a.C - b.C)::DOUBLE AS v, count(*) AS n FROM g a JOIN g b USING (problem_id) WHERE a.agent < b.agent GROUP BY ALL), {_drawn('h', 'left_, right_, v', "left_ || ':' || right_ || ':' || v", 5000)},

@@ -350,6 +350,24 @@ def test_paired_bootstrap_of_a_constant_difference(spark):
     assert (r["left"], r["right"], r["mean_diff"], r["lo"], r["hi"]) == ("p", "q", 1.0, 1.0, 1.0)
 
 
+def row_draws(names, replicates):
+    """How often each replicate draws each name, by the definition."""
+    import hashlib
+
+    h = lambda b, k: int(hashlib.md5(f"42:{b}:{k}".encode()).hexdigest()[:8], 16)
+    return [[sum(h(b, k) >= t for t in resampling.POISSON_STEPS) for k in names] for b in range(replicates)]
+
+
+def test_interval_draws_every_row_by_itself(spark):
+    import numpy as np
+
+    v = [0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 3.0]
+    df = spark.createDataFrame([("g", 7 * i, x) for i, x in enumerate(v)] + [("h", 1, None), ("one", 1, 4.0)], "g string, i int, v double")
+    r = {x["g"]: (x["lo"], x["hi"]) for x in resampling.bootstrap_ci(df, ["g"], "v", 200, row="i").collect()}
+    m = [np.dot(w, v) / sum(w) for w in row_draws([7 * i for i in range(7)], 200) if sum(w)]
+    assert r == {"g": (pytest.approx(np.quantile(m, 0.025)), pytest.approx(np.quantile(m, 0.975))), "one": (4.0, 4.0)}
+
+
 def test_ranks_of_agents_that_always_differ(spark):
     df = spark.createDataFrame([(a, i, v) for i in range(50) for a, v in (("x", 1.0), ("y", 0.0), ("z", 0.0))] + [("z", 99, 1.0), ("y", 99, None)], "a string, i int, v double")
     r = {x["a"]: x for x in resampling.rank_stability(df, "a", "i", "v", 300).collect()}
