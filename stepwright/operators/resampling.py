@@ -6,8 +6,8 @@ so any engine draws the same.
 Row by row (``drawn_rows``) every row has a draw of its own in each replicate, from
 md5 of seed, replicate and the row's name: rows times replicates draws, dealt over the
 cores whatever the size of the files. Counts are added up where they are drawn, so
-a task of few groups shuffles few sums. ``bootstrap_ci`` with ``row``
-works so.
+a task of few groups shuffles few sums. ``bootstrap_ci`` with ``row`` and
+``paired_bootstrap`` work so.
 
 From a histogram (``draws``) the rows of one outcome are drawn a Poisson number of
 times of mean n together, so one count is drawn for each outcome and replicate: the
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.semantics import hash_order, ratio
-from .stats import pair_outcomes
 #: Largest mean whose distribution is tabulated.
 EXACT = 32
 #: Draws of a hash: two numbers of 32 bits each.
@@ -122,14 +121,35 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 5
     return m.groupBy(*keys).agg(F.percentile("mean", F.lit(q)).alias("lo"), F.percentile("mean", F.lit(1 - q)).alias("hi"))
 
 
+def _by_problem(df: DataFrame, agent: str, problem: str, value: str) -> DataFrame:
+    """problem and ``_all``, the values of all agents that have one, in the order of agents."""
+    d = df.filter(F.col(value).isNotNull() & F.col(agent).isNotNull() & F.col(problem).isNotNull())
+    d = d.select(problem, F.struct(F.col(agent).alias("agent"), F.col(value).cast("double").alias("v")).alias("_x"))
+    return d.groupBy(problem).agg(F.sort_array(F.collect_list("_x")).alias("_all"))
+
+
+def _differences(outcomes: DataFrame, *columns: str) -> DataFrame:
+    """columns, left, right and the difference ``_d`` of each pair of agents in ``_all``."""
+    d = outcomes.select(*columns, "_all", F.explode("_all").alias("_l")).select(*columns, "_l", F.explode("_all").alias("_r")).filter(F.col("_l.agent") < F.col("_r.agent"))
+    return d.select(*columns, F.col("_l.agent").alias("left"), F.col("_r.agent").alias("right"), (F.col("_l.v") - F.col("_r.v")).alias("_d"))
+
+
 def paired_bootstrap(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """left, right, mean difference and its percentile interval when the problems that both have are resampled."""
-    j = pair_outcomes(df, agent, problem, value).select("left", "right", (F.col("x") - F.col("y")).cast("double").alias("_d"))
-    h = j.groupBy("left", "right", "_d").agg(F.count(F.lit(1)).alias("_n"))
-    m = draws(h, F.concat_ws(":", "left", "right", F.col("_d").cast("string")), "_n", replicates, seed)
+    """left, right, mean difference and its percentile interval when the problems that both have are resampled.
+
+    Each problem is drawn by itself, once a replicate for all pairs of agents. How
+    often problems with the same values were drawn is added up before the pairs are
+    taken, so pairs cost by the different outcomes.
+    """
+    rows = _by_problem(df, agent, problem, value)
+    kind = rows.schema["_all"].dataType.simpleString()
+    rows = rows.select(problem, F.to_json("_all").alias("_text"))  # a text is a cheaper key than an array
+    read = lambda d: d.withColumn("_all", F.from_json("_text", kind))
+    m = _differences(read(drawn_rows(rows, problem, ["_text"], {"_w": F.col("_w")}, replicates, seed)), "b", "_w")
     m = m.groupBy("left", "right", "b").agg(ratio(F.sum(F.col("_d") * F.col("_w")), F.sum("_w")).alias("m"))
     bounds = m.groupBy("left", "right").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return h.groupBy("left", "right").agg((F.sum(F.col("_d") * F.col("_n")) / F.sum("_n")).alias("mean_diff")).join(bounds, ["left", "right"], "left")
+    means = _differences(read(rows.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))), "_n")
+    return means.groupBy("left", "right").agg((F.sum(F.col("_d") * F.col("_n")) / F.sum("_n")).alias("mean_diff")).join(bounds, ["left", "right"], "left")
 
 
 def rank_stability(df: DataFrame, agent: str, problem: str, value: str, replicates: int = 2000, seed: int = 42) -> DataFrame:

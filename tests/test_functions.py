@@ -368,6 +368,19 @@ def test_interval_draws_every_row_by_itself(spark):
     assert r == {"g": (pytest.approx(np.quantile(m, 0.025)), pytest.approx(np.quantile(m, 0.975))), "one": (4.0, 4.0)}
 
 
+def test_paired_bootstrap_draws_every_problem_by_itself(spark):
+    import numpy as np
+
+    p, q = [1.0, 0.0, 1.0, 1.0, 0.5, 0.0], [0.0, 0.0, 1.0, 0.0, 0.25, 1.0]
+    rows = [("p", i, x) for i, x in enumerate(p)] + [("q", i, x) for i, x in enumerate(q)] + [("p", 9, 1.0), ("q", 9, None), ("r", 0, 0.0), (None, 1, 1.0)]
+    r = {(x["left"], x["right"]): x for x in resampling.paired_bootstrap(spark.createDataFrame(rows, "a string, i int, v double"), "a", "i", "v", 200).collect()}
+    d = np.subtract(p, q)
+    m = [np.dot(w, d) / sum(w) for w in row_draws(range(6), 200) if sum(w)]
+    got = r["p", "q"]
+    assert set(r) == {("p", "q"), ("p", "r"), ("q", "r")} and (r["p", "r"]["mean_diff"], r["p", "r"]["hi"]) == (1.0, 1.0)
+    assert (got["mean_diff"], got["lo"], got["hi"]) == pytest.approx((d.mean(), np.quantile(m, 0.025), np.quantile(m, 0.975)))
+
+
 def test_ranks_of_agents_that_always_differ(spark):
     df = spark.createDataFrame([(a, i, v) for i in range(50) for a, v in (("x", 1.0), ("y", 0.0), ("z", 0.0))] + [("z", 99, 1.0), ("y", 99, None)], "a string, i int, v double")
     r = {x["a"]: x for x in resampling.rank_stability(df, "a", "i", "v", 300).collect()}
