@@ -168,6 +168,12 @@ def _scored(table: DataFrame, wc: np.ndarray, wm: np.ndarray) -> DataFrame:
     return map_arrow(table.select("doc_id", "content", "meta"), run, "doc_id long, zc double, zm double")
 
 
+def _unlabelled(table: DataFrame, labelled: DataFrame, wc: np.ndarray, wm: np.ndarray, limit: float) -> DataFrame:
+    """doc_id and log-odds of the unlabelled documents of which a view is sure; scored before the join, so that it shuffles numbers and never views."""
+    sure = _scored(table.filter("doc_id is not null"), wc, wm).filter((F.abs("zc") >= limit) | (F.abs("zm") >= limit))
+    return sure.join(labelled.select("doc_id"), "doc_id", "left_anti")
+
+
 def _one_row():
     """Of the rows that share a doc_id, the views of one."""
     return F.min(F.struct("content", "meta")).alias("v")
@@ -219,14 +225,13 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "quality", rounds: int
         return None, float(truth.mean()) if len(truth) else 0.5
     xc, xm = _matrix([r["content"] for r in rows], CONTENT), _matrix([r["meta"] for r in rows], META)
     tc, tm, yc, ym = xc[seed], xm[seed], truth[seed], truth[seed]
-    free = table.join(y.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null") if rounds else None
     limit = float(np.log(confident / (1 - confident)))
     good = float(truth[seed].mean())
     sizes = {1.0: max(1, round(grow * good)), 0.0: max(1, round(grow * (1 - good)))}
     used: list[int] = []
     for _ in range(rounds):
         wc, wm = train(tc, yc), train(tm, ym)
-        pool = _scored(free, wc, wm)
+        pool = _unlabelled(table, y, wc, wm, limit)
         if used:
             pool = pool.filter(~F.col("doc_id").isin(used))
         chosen = []

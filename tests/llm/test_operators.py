@@ -404,6 +404,18 @@ def test_the_other_view_learns_from_pseudo_labels(spark):
     assert content_right(3) > content_right(0) + 0.05
 
 
+def test_labelled_documents_are_left_out_of_scores_not_of_views(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} any", "en", "a") for i in range(60)] + [(None, "x", "en", "a")], "doc_id long, text string, lang string, source string")
+    table = common.materialize(cotrain.views(docs), "views")
+    rng = np.random.default_rng(3)
+    wc, wm = rng.normal(size=cotrain.CONTENT + 1), rng.normal(size=cotrain.META + 1)
+    want = {r["doc_id"]: r for r in cotrain._scored(table, wc, wm).collect() if r["doc_id"] is not None and r["doc_id"] % 3 and max(abs(r["zc"]), abs(r["zm"])) >= 0.8}
+    pool = cotrain._unlabelled(table, spark.range(0, 60, 3).withColumnRenamed("id", "doc_id"), wc, wm, 0.8)
+    assert 0 < len(want) and {r["doc_id"]: r for r in pool.collect()} == want
+    plan = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("MapInArrow")
+
+
 # -- TIFF ----------------------------------------------------------------------------------------------------------
 
 
