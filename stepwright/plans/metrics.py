@@ -11,7 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.algebra import algebraically_equal
+from ..functions.algebra import with_equality
 from ..operators import deltas, frame, summary
 from ..operators import steps as st
 from ..operators.order import shared_folder
@@ -79,7 +79,7 @@ _SAID = ", ".join(f"{_by_kind(_written(x[i], lambda t: f'{chr(39)}{t}{chr(39)}')
 def answer_equality(spark, d):
     p = table(spark, d, "part").selectExpr("p_partkey", "p_size AS a", "p_partkey % 17 + 1 AS b")
     said = lambda i: F.expr(_by_kind(_written(x[i], lambda t: f"r'{t}'") for x in _FORMS))
-    return p.select("p_partkey", said(0).alias("prediction"), said(1).alias("gold")).withColumn("equal", algebraically_equal(F.col("prediction"), F.col("gold")))
+    return with_equality(p.select("p_partkey", said(0).alias("prediction"), said(1).alias("gold")), "prediction", "gold")
 
 
 #: Turns made of a number, and what they are read as: (turn, action, content, error).

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwright.functions import algebra
-from stepwright.functions.algebra import algebraically_equal, first_equal, restates, verdict
+from stepwright.functions.algebra import algebraically_equal, first_equal, restates, verdict, with_equality
 
 CASES = [
     ("x+1", "1+x", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+2x", False), (r"\frac{1}{x-1}+\frac{1}{x+1}", r"\frac{2x}{x^2-1}", True), (r"\frac{x^2-1}{x-1}", "x+1", True), ("-x^2", "(-x)^2", False), ("x**2", "x*x", True), ("2xy", "y*x*2", True),
@@ -63,6 +63,25 @@ def test_columns(spark):
     assert [r["is"] for r in got if r["g"] is not None] == [r["want"] for r in got if r["g"] is not None]
 
 
+def test_pairs_are_decided_once(spark):
+    rows = [(i, *x) for i, x in enumerate([("x+1", "1+x", True), ("", "7", False), (None, "7", False), ("x", None, None), (None, None, False), ("word", "other", None)] * 3)]
+    d = with_equality(spark.createDataFrame(rows, "i int, p string, g string, want boolean"), "p", "g", "is")
+    got = d.collect()
+    assert d.columns == ["i", "p", "g", "want", "is"] and sorted(r["i"] for r in got) == list(range(18))
+    assert all(r["is"] == r["want"] for r in got)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")
+
+
+def test_verdicts_are_remembered_across_batches():
+    import pandas as pd
+
+    p, g = pd.Series(["k+(1+2)", None, "k" * 401]), pd.Series(["k+3", "k", "k"])
+    first, before = list(algebra._verdicts(p, g)), algebra._remembered.cache_info().misses
+    assert first == [True, None, None] == list(algebra._verdicts(p, g))
+    assert algebra._remembered.cache_info().misses == before
+
+
 def test_first_of_several_candidates(spark):
     rows = [(["a", "x+1", "2"], "1+x", 2), (["3", "2.0"], "2", 2), (["(x-x)+2", "2"], "2", 1), ([], "2", None), (None, "2", None), (["u", "v"], "2", None), ([None, "2"], "2", 2), (["2"], None, None)]
     d = spark.createDataFrame(rows, "c array<string>, g string, want int").withColumn("at", first_equal(F.col("c"), F.col("g")))
