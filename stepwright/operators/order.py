@@ -74,12 +74,12 @@ def _with_before(ranged: DataFrame, keys: list[str], order: list, count: Column)
     return j.select("d.*", (F.col(f"t.{_BEFORE}") + F.col(_WITHIN)).alias(_BEFORE), F.col(f"t.{_BEFORE}_all").alias("_all")).drop(_WITHIN, _RANGE)
 
 
-def places(df: DataFrame, keys: list[str], order: list[str], out: str, share: str | None = None) -> DataFrame:
-    """Place of each row within its key from 0, nulls first; ``share``: (place + 1) / rows of the key."""
+def places(df: DataFrame, keys: list[str], order: list[str], out: str, share: str | None = None, rows: str | None = None) -> DataFrame:
+    """Place of each row within its key from 0, nulls first; ``share``: (place + 1) / rows of the key; ``rows``: those rows."""
     d = _with_before(in_ranges(df, *keys, *order), keys, order, F.lit(1).cast("long")).withColumnRenamed(_BEFORE, out)
     if share:
         d = d.withColumn(share, (F.col(out) + 1) / F.col("_all"))
-    return d.drop("_all")
+    return d.withColumnRenamed("_all", rows) if rows else d.drop("_all")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:

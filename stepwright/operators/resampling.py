@@ -1,7 +1,13 @@
-"""Bootstrap intervals and ranks, row by row or from histograms of outcomes.
+"""Bootstrap intervals and ranks: with replacement, row by row or from histograms of outcomes.
 
-A resample draws every row a Poisson number of times of mean 1. Draws come from md5,
-so any engine draws the same.
+Draws come from md5, so any engine draws the same.
+
+With replacement (``drawn_means``) a resample draws as many rows as the group has, one
+after the other, each from all of the group: draw k of replicate b takes the row at the
+place md5 of seed, b and k modulo the rows of the group. ``bootstrap_ci`` with ``order``
+works so.
+
+Otherwise a resample draws every row a Poisson number of times of mean 1.
 
 Row by row (``drawn_rows``) every row has a draw of its own in each replicate, from
 md5 of seed, replicate and the row's name: rows times replicates draws, dealt over the
@@ -12,8 +18,8 @@ a task of few groups shuffles few sums. ``bootstrap_ci`` with ``row`` and
 From a histogram (``draws``) the rows of one outcome are drawn a Poisson number of
 times of mean n together, so one count is drawn for each outcome and replicate: the
 rows are grouped once, and from there the cost is replicates times outcomes, from md5
-of seed, outcome and replicate. ``bootstrap_ci`` without ``row`` and ``rank_stability``
-work so. Counts of mean 32 or less come from the exact distribution; larger ones from a normal
+of seed, outcome and replicate. ``bootstrap_ci`` without ``order`` and ``row``, and
+``rank_stability``, work so. Counts of mean 32 or less come from the exact distribution; larger ones from a normal
 variate by the expansion of the Poisson quantile to the third order, which is within
 one of the exact count (a bound of an interval moves by less than its share of one
 row). Outcomes of a continuous measure can be rounded to multiples of ``resolution``,
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.semantics import hash_order, ratio
+from .order import places
+
 #: Largest mean whose distribution is tabulated.
 EXACT = 32
 #: Draws of a hash: two numbers of 32 bits each.
@@ -100,11 +108,84 @@ def drawn_rows(rows: DataFrame, row: str, groups: list[str], sums: dict[str, Col
     return d.groupBy(*groups, "b").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
 
 
-def bootstrap_means(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 42, resolution: float | None = None, row: str | None = None) -> DataFrame:
+#: Values of a group in one row, and hashes held at once by a task that draws.
+BLOCK = 2**18
+HASHES = 2**18
+
+
+def _draw(slices: int, replicates: int, seed: int, keys: list[str]):
+    """For mapInArrow: keys, b, the rows of the group and the sum ``_s`` of what replicate b draws from each block of values.
+
+    A hash is made once for all groups of a batch, as it names the replicate and the
+    draw alone.
+    """
+    from hashlib import md5
+
+    import numpy as np
+    import pyarrow as pa
+
+    def sums(members: list[tuple], first: int, stop: int):
+        """A row for each replicate from first to stop, a column for each member: rows of its group, place of its first value, values."""
+        out = np.zeros((stop - first, len(members)))
+        heads = [f"{seed}:{b}:".encode() for b in range(first, stop)]
+        step = max(1, HASHES // len(heads))
+        most = max(n for n, _, _ in members)
+        for start in range(0, most, step):
+            draws = [b"%d" % k for k in range(start, min(start + step, most))]
+            h = np.frombuffer(b"".join([md5(head + k).digest() for head in heads for k in draws]), ">u4")[::4]
+            h = h.astype(np.int64).reshape(len(heads), len(draws))
+            for j, (n, low, values) in enumerate(members):
+                if n <= start:
+                    continue
+                at = h[:, : n - start] % n - low
+                if len(values) == n:
+                    out[:, j] += values[at].sum(axis=1)
+                else:  # draws that fall into other blocks count there
+                    here = (at >= 0) & (at < len(values))
+                    out[:, j] += np.where(here, values[np.where(here, at, 0)], 0.0).sum(axis=1)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            number = batch.column("_slice").to_numpy()
+            n, block = (batch.column(c).to_numpy() for c in ("_n", "_block"))
+            for s in np.unique(number):
+                rows = np.flatnonzero(number == s)
+                first, stop = (int(x) * replicates // slices for x in (s, s + 1))
+                members = [(int(n[i]), int(block[i]) * BLOCK, batch.column("_values")[int(i)].values.to_numpy(zero_copy_only=False)) for i in rows]
+                total = sums(members, first, stop)
+                times = stop - first
+                whose = batch.select(keys).take(pa.array(np.repeat(rows, times)))
+                b = pa.array(np.tile(np.arange(first, stop, dtype=np.int32), len(rows)))
+                yield pa.RecordBatch.from_arrays([*whose.columns, b, pa.array(np.repeat(n[rows], times)), pa.array(total.T.ravel())], names=[*keys, "b", "_n", "_s"])
+
+    return run
+
+
+def drawn_means(rows: DataFrame, keys: list[str], value: str, order: list[str], replicates: int, seed: int = 42) -> DataFrame:
+    """keys, b and the mean of what replicate b draws: as many rows as the group has, with replacement, from the rows numbered in ``order``.
+
+    Rows of equal order are numbered by value, so the result does not depend on which
+    comes first. A group's values lie in blocks of bounded size, and each task takes some
+    of the replicates of all blocks, so one large group is dealt as evenly as many small.
+    """
+    d = places(rows, keys, [*order, value], "_i", rows="_n")
+    d = d.groupBy(*keys, "_n", F.floor(F.col("_i") / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_at"))
+    slices = min(replicates, TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    d = d.select(*keys, "_n", "_block", F.col("_at.v").alias("_values"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")).repartitionByRange(slices, "_slice")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    m = d.mapInArrow(_draw(slices, replicates, seed, keys), f"{kinds}, b int, _n bigint, _s double")
+    return m.groupBy(*keys, "b").agg((F.sum("_s") / F.max("_n")).alias("mean"))
+
+
+def bootstrap_means(df: DataFrame, keys: list[str], value: str, replicates: int, seed: int = 42, resolution: float | None = None, row: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Mean of each resample of a group: keys, b, mean (NULL where nothing was drawn)."""
     v = F.col(value).cast("double")
     if resolution:
         v = F.round(v / resolution) * resolution
+    if order is not None:
+        d = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order]), v.alias("_v"))
+        return drawn_means(d, keys, "_v", order, replicates, seed)
     if row is not None:
         d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row).alias("_row"), v.alias("_v"))
         d = drawn_rows(d, "_row", keys, {"_s": F.col("_v") * F.col("_w"), "_c": F.col("_w")}, replicates, seed)
@@ -114,10 +195,14 @@ def bootstrap_means(df: DataFrame, keys: list[str], value: str, replicates: int,
     return d.groupBy(*keys, "b").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_c")).select(*keys, "b", ratio(F.col("_s"), F.col("_c")).alias("mean"))
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 5000, seed: int = 42, level: float = 0.95, resolution: float | None = None, row: str | None = None) -> DataFrame:
-    """keys, lo, hi: percentile interval of the resampled means; ``row`` names a row, and each is then drawn by itself."""
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 5000, seed: int = 42, level: float = 0.95, resolution: float | None = None, row: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """keys, lo, hi: percentile interval of the resampled means.
+
+    With ``order`` a resample draws as many rows as the group has, with replacement;
+    otherwise counts are Poisson, and ``row`` names a row, and each is then drawn by itself.
+    """
     q = (1 - level) / 2
-    m = bootstrap_means(df, keys, value, replicates, seed, resolution, row)
+    m = bootstrap_means(df, keys, value, replicates, seed, resolution, row, order)
     return m.groupBy(*keys).agg(F.percentile("mean", F.lit(q)).alias("lo"), F.percentile("mean", F.lit(1 - q)).alias("hi"))
 
 

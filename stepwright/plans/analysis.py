@@ -209,10 +209,12 @@ def _hash(key: str) -> str:
     return f"('0x' || substr(md5('42:' || b || ':' || {key}), 1, 8))::BIGINT"
 
 
-@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, d AS (SELECT agent, b, C, {_hash('problem_id')} AS h FROM (SELECT agent, C, problem_id, unnest(range(5000)) AS b FROM a WHERE agent IS NOT NULL AND C IS NOT NULL)),
- m AS (SELECT agent, b, sum(C * {_DRAWN})::DOUBLE / nullif(sum({_DRAWN}), 0) AS m FROM d GROUP BY agent, b) SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
+@query("bootstrap_ci", f"""WITH {ATTEMPTS_SQL}, v AS (SELECT agent, C::DOUBLE AS v, row_number() OVER (PARTITION BY agent ORDER BY problem_id, C) - 1 AS i, count(*) OVER (PARTITION BY agent) AS n FROM a WHERE agent IS NOT NULL AND C IS NOT NULL),
+ k AS (SELECT DISTINCT agent, n FROM v), b AS (SELECT agent, n, b, unnest(range(n)) AS k FROM (SELECT *, unnest(range(5000)) AS b FROM k)),
+ p AS (SELECT agent, b, {_hash('k')} % n AS i FROM b), m AS (SELECT agent, b, avg(v) AS m FROM p JOIN v USING (agent, i) GROUP BY agent, b)
+ SELECT agent, {r('quantile_cont(m, 0.025)')} AS lo, {r('quantile_cont(m, 0.975)')} AS hi FROM m GROUP BY agent""")
 def bootstrap_ci(spark, d):
-    return resampling.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", replicates=5000, row="problem_id")
+    return resampling.bootstrap_ci(attempts(spark, d).filter("agent is not null"), ["agent"], "C", replicates=5000, order=["problem_id"])
 
 
 @query("paired_bootstrap", f"""WITH {GRID_SQL}, p AS (SELECT a.agent AS left_, b.agent AS right_, problem_id, a.C - b.C AS x FROM g a JOIN g b USING (problem_id) WHERE a.agent < b.agent), d AS (SELECT left_, right_, b, x, {_hash('problem_id')} AS h FROM (SELECT *, unnest(range(5000)) AS b FROM p)),

@@ -368,6 +368,54 @@ def test_interval_draws_every_row_by_itself(spark):
     assert r == {"g": (pytest.approx(np.quantile(m, 0.025)), pytest.approx(np.quantile(m, 0.975))), "one": (4.0, 4.0)}
 
 
+def means_with_replacement(v, replicates):
+    """Mean of as many draws as there are values, with replacement, for each replicate, by the definition."""
+    import hashlib
+
+    pick = lambda b, k: int(hashlib.md5(f"42:{b}:{k}".encode()).hexdigest()[:8], 16) % len(v)
+    return [sum(v[pick(b, k)] for k in range(len(v))) / len(v) for b in range(replicates)]
+
+
+@pytest.mark.parametrize("block, hashes", [(2**18, 2**18), (3, 2**18), (3, 40), (1, 1)])
+def test_resample_draws_as_many_rows_as_the_group_has(spark, monkeypatch, block, hashes):
+    monkeypatch.setattr(resampling, "BLOCK", block)
+    monkeypatch.setattr(resampling, "HASHES", hashes)
+    groups = {"a": [0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 3.0], "b": [2.0, -1.0, 0.5], None: [4.0, 8.0], "one": [4.0]}
+    rows = [(g, 100 - i, x) for g, v in groups.items() for i, x in reversed(list(enumerate(v)))] + [("h", 1, None), ("a", 200, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(5).withColumn("i", -F.col("i"))
+    got = {}
+    for r in resampling.bootstrap_means(df, ["g"], "v", 60, order=["i"]).collect():
+        got.setdefault(r["g"], {})[r["b"]] = r["mean"]
+    assert {g: [m[b] for b in range(60)] for g, m in got.items()} == {g: pytest.approx(means_with_replacement(v, 60)) for g, v in groups.items()}
+
+
+def test_rows_of_equal_order_are_numbered_by_value(spark):
+    v = [0.0, 1.0, 1.0, 5.0]
+    rows = [("g", 1, x) for x in v]
+    a, b = ({r["b"]: r["mean"] for r in resampling.bootstrap_means(spark.createDataFrame(x, "g string, i int, v double"), ["g"], "v", 30, order=["i"]).collect()} for x in (rows, rows[::-1]))
+    assert a == b and [a[i] for i in range(30)] == pytest.approx(means_with_replacement(v, 30))
+
+
+def test_many_replicates_and_large_groups_of_one_value(spark):
+    df = spark.range(30000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 2 + 0.5).alias("v"))
+    m = resampling.bootstrap_means(df, ["g"], "v", 7, order=["id"]).collect()
+    assert len(m) == 14 and all(r["mean"] == r["g"] + 0.5 for r in m)
+
+
+def test_query_draws_with_replacement_from_all_labelled_rows(spark, tmp_path):
+    import numpy as np
+
+    from stepwright.plans import registry
+
+    labels = [(3, 1), (1, 0), (2, 1), (7, 0), (5, 1), (4, None), (9, 1)]
+    sources = {1: "s", 2: "s", 3: "s", 4: "s", 5: "s", 7: "s", 9: None, 11: "s"}
+    spark.createDataFrame([(i, q, 1) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, "t", "en", s, 14) for i, s in sources.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = registry.QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
+    m = means_with_replacement([0, 1, 1, 1, 0], 5000)
+    assert (r["agent"], r["lo"], r["hi"]) == ("s", *(round(float(x), 6) for x in np.quantile(m, [0.025, 0.975])))
+
+
 def test_paired_bootstrap_draws_every_problem_by_itself(spark):
     import numpy as np
 
